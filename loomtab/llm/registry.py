@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe
+from . import byte_bpe, language, quality
 
-_MODULES = (byte_bpe,)
+_MODULES = (quality, language, byte_bpe)
 
 
 def queries() -> dict:
