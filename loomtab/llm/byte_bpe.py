@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import PieceCache, vocabulary
-from .runtime import column, prepare, slices
+from .runtime import column, nullable, prepare, slices
 
 LANE = 128
 _FREE = np.int64(1) << np.int64(60)
@@ -217,7 +217,7 @@ def bpe_encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str |
                 out = pa.array([blob[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), out], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, nullable(schema))
 
 
 def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "bytes", path: str | None = None) -> DataFrame:
@@ -234,7 +234,7 @@ def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "bytes", path: str |
                 got = [b"".join(map(look, np.frombuffer(x or b"", "<u4").tolist())) for x in column(part, ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, nullable(schema))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import column, prepare, slices, text_bytes
+from .runtime import column, nullable, prepare, slices, text_bytes
 from .words import LOWER, SPACE, mix, prefix_hash, span_hash, word_spans
 
 NGRAMS = (5, 4, 3, 2, 1)
@@ -204,7 +204,7 @@ def identify_language(df: DataFrame, model: LanguageModel, text: str = "text", l
                 langs, p = shared.value.predict(column(part, text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(p)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, nullable(schema))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import column, prepare, slices, text_bytes
+from .runtime import column, nullable, prepare, slices, text_bytes
 from .words import line_spans, mix, prefix_hash, span_hash, windows, word_spans
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -274,7 +274,7 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text: str = "text", ru
                 arrays = [part.column(0), *[pa.array(np.asarray(m, np.int64)) for m in measures], pa.array(failed), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *BASE, "base_failed", "kept"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, nullable(schema))
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language, quality
+from . import byte_bpe, flac, language, quality
 
-_MODULES = (quality, language, byte_bpe)
+_MODULES = (flac, quality, language, byte_bpe)
 
 
 def queries() -> dict:

@@ -94,3 +94,10 @@ def text_bytes(array: pa.Array):
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     data = data[offsets[0] : offsets[-1]] if len(offsets) else data[:0]
     return data, offsets - offsets[0]
+
+
+def nullable(schema):
+    """The schema with every column nullable."""
+    from pyspark.sql.types import StructField, StructType
+
+    return StructType([StructField(f.name, f.dataType, True) for f in schema])
