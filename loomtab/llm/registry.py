@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, flac, language, packing, quality, sharding
+from . import byte_bpe, flac, language, packing, quality, sharding, url_lists
 
-_MODULES = (flac, sharding, quality, packing, language, byte_bpe)
+_MODULES = (flac, sharding, url_lists, quality, packing, language, byte_bpe)
 
 
 def queries() -> dict:
