@@ -101,3 +101,46 @@ def nullable(schema):
     from pyspark.sql.types import StructField, StructType
 
     return StructType([StructField(f.name, f.dataType, True) for f in schema])
+
+
+def whole_groups(batches, keys: int, rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows (the last may have fewer) that never cut a group.
+
+    The input is sorted by its first ``keys`` columns; rows equal in all of them are a group.
+    """
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if count >= rows and batch.num_rows:
+            # what is held ends in a group that may go on: pass it on where the key changes
+            tail = held[-1].slice(held[-1].num_rows - 1)
+            same = np.ones(batch.num_rows, bool)
+            for i in range(keys):
+                same &= batch.column(i).to_numpy(zero_copy_only=False) == tail.column(i)[0].as_py()
+            at = batch.num_rows if same.all() else int(np.argmin(same))
+            if at:
+                held.append(batch.slice(0, at))
+            if at == batch.num_rows:
+                continue
+            yield pa.Table.from_batches(held)
+            held, count, batch = [], 0, batch.slice(at)
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Ids that are sent to every executor at most; beyond it their rows are found by a shuffle join.
+BROADCAST_IDS = 200_000
+
+
+def rows_with(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``df`` with ``wanted`` on ``key``: by broadcast if ``wanted`` is counted to be small."""
+    from pyspark.sql import functions as F
+
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, key)
