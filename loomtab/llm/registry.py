@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, flac, jaccard, language, packing, quality, sharding, url_lists
+from . import byte_bpe, flac, jaccard, language, packing, quality, repeats, sharding, url_lists
 
-_MODULES = (flac, sharding, url_lists, jaccard, quality, packing, language, byte_bpe)
+_MODULES = (flac, sharding, url_lists, jaccard, repeats, quality, packing, language, byte_bpe)
 
 
 def queries() -> dict:
