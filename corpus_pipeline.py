@@ -1,7 +1,77 @@
-"""placeholder"""
-STAGES: list = []
+"""The corpus pipeline: language, quality, near duplicates, repeated passages, packing.
+
+Every stage takes (spark, docs, sf_dir) with the columns of ``documents``; all but the last return those columns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtab.llm.jaccard import jaccard_components
+from loomtab.llm.language import UNKNOWN, fit_language_model, identify_language
+from loomtab.llm.packing import pack_pieces, token_pieces
+from loomtab.llm.quality import quality_filter
+from loomtab.llm.repeats import remove_repeats
+from loomtab.llm.runtime import cut, prepare
+
+#: Score under which no language is sure; words of a shingle and percent of a near duplicate; bytes of a repeated passage.
+SURE, SHINGLE, PERCENT, PASSAGE = 0.5, 5, 80, 200
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is sure; null, letterless and mixed texts go.  Without labels nothing is known, so all stay."""
+    model = fit_language_model(docs)
+    if not model.langs:
+        return docs
+    named = identify_language(docs, model, lang_pred="_lang", score="_score")
+    return named.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= SURE)).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; of rows that repeat one, one.
+
+    Rows with a null id are in no group and stay.
+    """
+    found = jaccard_components(docs, size=SHINGLE, percent=PERCENT)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(others, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id", "_text"])
+    return named.unionByName(left.where("doc_id is null")).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; passages of 200 bytes or more that repeat are cut out of their texts, and n_chars follows."""
+    left = remove_repeats(docs, length=PASSAGE)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token pieces in sequences."""
+    return pack_pieces(cut(token_pieces(docs)))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", packing),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
