@@ -7,11 +7,16 @@ distinct piece is encoded once per worker.  A text with any other white space at
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
 
 
+#: Letters of Latin scripts that stand alone in any normal form, then marks; with a space before where spaces are kept.
+_WORD_MARKS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)").fullmatch
+
+
 class _Known(dict):
     """Piece to number; an unseen piece gets the next number and waits in ``fresh``."""
 
@@ -34,8 +39,9 @@ class PieceCache:
     ``limit`` bounds the pieces held; beyond it the cache starts anew, which costs time only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 600_000):
-        self.encode, self.spaced, self.limit = encode, spaced, limit
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 600_000, joined: Callable | None = None):
+        self.encode, self.spaced, self.limit, self.joined = encode, spaced, limit, joined
+        self.words: dict[str, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -48,15 +54,42 @@ class PieceCache:
     def _learn(self) -> None:
         if not self.fresh:
             return
-        found = self.encode(self.fresh)
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum()))
+        flat, lens = self._fresh_ids() if self.joined else _flatten(self.encode(self.fresh))
         starts = len(self.ids) + np.cumsum(lens) - lens
         self.ids = np.concatenate([self.ids, flat])
         self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
         self.bad = np.concatenate([self.bad, np.array(self.whole, bool)])
         self.fresh, self.whole = [], []
 
+    def _fresh_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the new pieces.  A Latin word and the marks behind it are separate pre-tokens: each is looked up alone."""
+        index: dict[str, int] = {}
+        first, second = [], []
+        for piece in self.fresh:
+            m = _WORD_MARKS(piece)
+            word, marks = m.groups() if m else (piece, None)
+            if m and not self.spaced:
+                word = word.lower()
+            first.append(index.setdefault(word, len(index)))
+            second.append(index.setdefault(marks, len(index)) if marks else -1)
+        if len(self.words) > self.limit:
+            self.words = {}
+        words = self.words
+        new = [w for w in index if w not in words]
+        flat, lens = self.joined(new)
+        ends = np.cumsum(lens).tolist()
+        for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True):
+            words[w] = flat[a:b].copy()
+        held = [words[w] for w in index]
+        sizes = np.array([len(x) for x in held] + [0], np.int64)
+        table = np.concatenate(held) if held else np.zeros(0, np.uint32)
+        begin = np.append(np.cumsum(sizes[:-1]) - sizes[:-1], 0)
+        both = np.stack([np.array(first, np.int64), np.array(second, np.int64)], 1).ravel()
+        each = sizes[both]
+        total = np.cumsum(each)
+        take = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin[both] - (total - each), each)
+        return table[take], each.reshape(-1, 2).sum(1)
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, offsets); None counts as empty."""
         if self.count > self.limit:
@@ -89,8 +122,22 @@ class PieceCache:
         return ids, offsets
 
 
+def _flatten(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum())), lens
+
+
+#: Stands between pieces that are encoded together where the tokenizer drops spaces.
+_BAR = "|"
+
+
 def library_cache(path: str, spaced: bool, limit: int = 600_000) -> PieceCache:
-    """Pieces encoded by the tokenizers library from a vocabulary file, special strings as ordinary text."""
+    """Pieces encoded by the tokenizers library from a vocabulary file, special strings as ordinary text.
+
+    New pieces are encoded a thousand at a time, as one text: a tokenizer that keeps spaces begins each with a token
+    that starts with one, and for the other a bar is put between them.  Pieces for which that is no sign
+    (they hold a bar, or white space) are encoded on their own.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,14 +145,58 @@ def library_cache(path: str, spaced: bool, limit: int = 600_000) -> PieceCache:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    if spaced:
+        opens = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+    else:
+        bar = tokenizer.encode(_BAR, add_special_tokens=False).ids[0]
 
     def encode(pieces: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for i in range(0, len(pieces), 5000):
-            out += [x.ids for x in tokenizer.encode_batch_fast(pieces[i : i + 5000], add_special_tokens=False)]
-        return out
-
-    return PieceCache(encode, spaced, limit)
+        return [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def fits(piece: str) -> bool:
+        if spaced:
+            return len(piece) > 1 and piece[0] == " " and piece[1:].isprintable() and " " not in piece[1:]
+        return bool(piece) and piece.isprintable() and _BAR not in piece
+
+    def joined(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        good = [i for i, p in enumerate(pieces) if fits(p)]
+        lens = np.zeros(len(pieces), np.int64)
+        order: list[int] = []
+        flats: list[np.ndarray] = []
+        for k in range(0, len(good), 1000):
+            own = good[k : k + 1000]
+            text = ("" if spaced else f" {_BAR} ").join(pieces[i] for i in own)
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            if spaced:
+                begin = np.flatnonzero(opens[ids])
+                size = np.diff(np.append(begin, len(ids)))
+            else:
+                at = np.flatnonzero(ids == bar)
+                size = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+                ids = np.delete(ids, at)
+            if len(size) != len(own):
+                raise AssertionError("pieces are not as many as their signs")
+            flats.append(ids)
+            lens[own] = size
+            order += own
+        rest = sorted(set(range(len(pieces))) - set(good))
+        if rest:
+            ids, size = _flatten(encode([pieces[i] for i in rest]))
+            flats.append(ids)
+            lens[rest] = size
+            order += rest
+        # back into the order of the pieces
+        flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
+        at = np.array(order, np.int64)
+        ends = np.cumsum(lens[at])
+        begin = np.zeros(len(pieces), np.int64)
+        begin[at] = ends - lens[at]
+        total = np.cumsum(lens)
+        take = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - (total - lens), lens)
+        return flat[take], lens
+
+    return PieceCache(encode, spaced, limit, joined)
 
 
 def vocabulary(path: str | None, name: str) -> str:
