@@ -49,9 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files every executor can read."""
+    """Write ``df`` to the shared folder and read it back: lineage ends in files every executor can read.
+
+    All files of an application lie in one folder there, which can go when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomtab-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,15 +88,15 @@ def text_bytes(array: pa.Array):
     import numpy as np
     import pyarrow.compute as pc
 
-    kind = pa.large_binary()
+    if not len(array):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    array = array.cast(pa.large_binary())
     if array.null_count:
-        array = pc.fill_null(array, b"" if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type) else "")
-    array = pa.concat_arrays([array.cast(kind)]) if array.offset == 0 else pa.concat_arrays([array.cast(kind)])
+        array = pc.fill_null(array, b"")
     buffers = array.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[array.offset : array.offset + len(array) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
-    data = data[offsets[0] : offsets[-1]] if len(offsets) else data[:0]
-    return data, offsets - offsets[0]
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def nullable(schema):
