@@ -4,8 +4,8 @@ Texts with equal shingle sets form a class.  Classes meet in *tiles*, one for ea
 sets of the wanted similarity share a shingle of their first n - ceil(t n) + 1 in any common order.  A tile's members
 are compared by size, by position, and by parity bitmaps as wide as their size band asks: the bits in which two
 bitmaps differ bound the sets' difference from below, hence their overlap from above.  What is left is intersected
-exactly.  A first round over tiles of the smallest shingle joins most near copies, and the full round looks at pairs
-of different components only.
+exactly.  Two early rounds over tiles of one smallest hash join most near copies into components, and the full round
+looks at pairs of different components only.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ U = np.uint64
 #: so that prefixes hold rare ones; any order gives the same links.
 ORDER_SAMPLE, ORDER_COUNT = 5000, 3
 #: Members of a tile; a larger list is compared block by block.
-FIRST_TILE, TILE = 512, 4096
+FIRST_TILE, TILE = 1024, 4096
+#: Salts of the hashes whose smallest value names a class's tile in the early rounds.
+SALTS = (U(0), U(0x51ED2701))
 _PAIRS = 1 << 20
 
 
@@ -90,10 +92,11 @@ def _follow(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = to
 
 
-def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, block: np.ndarray, off: np.ndarray, bits: list[bytes], percent: int):
-    """Pairs of a tile that may link: (i, j).
+def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, block: np.ndarray, off: np.ndarray, bits: list[bytes] | None, percent: int):
+    """Pairs of a tile that may link, in portions (i, j).
 
-    ``off``: in a tile of two blocks, only pairs across them.  Compared are pairs of different components.
+    ``off``: in a tile of two blocks, only pairs across them.  Compared are pairs of different components.  Without
+    ``bits`` sizes and positions alone decide.
     """
     width = bitmap_bits(n)
     by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -111,7 +114,6 @@ def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.
             by[w] = row, np.concatenate(parts)
         return by[w]
 
-    found = []
     for i, j in _follow(group):
         a, b = n[i], n[j]
         low, high = np.minimum(a, b), np.maximum(a, b)
@@ -121,6 +123,9 @@ def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.
         need = -(-percent * both // (100 + percent))
         ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need
         i, j, both, need = i[ok], j[ok], both[ok], need[ok]
+        if bits is None:
+            yield i, j
+            continue
         w = np.minimum(width[i], width[j])
         for each in np.unique(w):
             row, table = words(int(each))
@@ -129,8 +134,7 @@ def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.
                 part = own[k : k + 50_000]
                 differ = np.bitwise_count(table[row[i[part]]] ^ table[row[j[part]]]).sum(1, dtype=np.int64)
                 part = part[(both[part] - differ) // 2 >= need[part]]
-                found.append(np.stack([i[part], j[part]]))
-    return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+                yield i[part], j[part]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -174,8 +178,8 @@ def frequent_shingles(df: DataFrame, size: int) -> np.ndarray:
     return np.sort(kept["h"].to_numpy().view(U))
 
 
-def set_classes(df: DataFrame, size: int, frequent) -> DataFrame:
-    """(id, n, p1, p2, lead) of every row: size and fingerprints of its set, and its first shingle."""
+def set_classes(df: DataFrame, size: int) -> DataFrame:
+    """(id, n, p1, p2, k0, k1) of every row: size and fingerprints of its set, and its smallest hash by each salt."""
 
     def run(batches):
         for batch in batches:
@@ -183,11 +187,14 @@ def set_classes(df: DataFrame, size: int, frequent) -> DataFrame:
                 values, first = shingles(*text_bytes(part.column(1)), size)
                 p1, p2 = _prints(values, first)
                 n = np.diff(first)
-                ordered, _, _ = _ordered(values, first, frequent.value)
-                lead = np.append(ordered, U(0))[np.minimum(first[:-1], len(ordered))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in (p1, p2, lead))], names=["id", "n", "p1", "p2", "lead"])
+                keys = []
+                for salt in SALTS:
+                    least = np.zeros(len(n), U)
+                    least[n > 0] = np.minimum.reduceat(mix(values ^ salt), first[:-1][n > 0]) if len(values) else 0
+                    keys.append(least)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in (p1, p2, *keys))], names=["id", "n", "p1", "p2", "k0", "k1"])
 
-    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, n long, p1 long, p2 long, lead long")
+    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, n long, p1 long, p2 long, k0 long, k1 long")
 
 
 def prefix_rows(df: DataFrame, size: int, percent: int, frequent) -> DataFrame:
@@ -240,28 +247,46 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return joined.mapInArrow(run, f"{schema}, bits binary, `set` binary")
 
 
-def _first_round(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) between classes of one first shingle: a spanning forest of each tile's exact links."""
-    counts = reps.groupBy("lead").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    parts = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / FIRST_TILE)).cast("int")
-    members = reps.join(counts, "lead").select("lead", parts.alias("sub"), "id", "n", "p1")
-    sets = _sets_of(docs, members, size).select("lead", "sub", "id", "n", "bits", "set")
-    tiles = sets.repartition(shuffle_parts(docs.sparkSession), "lead", "sub").sortWithinPartitions("lead", "sub", "id")
+def _named(reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """The classes with their component; one without links is its own."""
+    named = reps.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
+    return named.select(*[c for c in reps.columns], F.coalesce("component", "id").alias("comp"))
+
+
+def _early_round(docs: DataFrame, named: DataFrame, key: str, size: int, percent: int) -> DataFrame:
+    """(u, v): components that exact links of one tile join, each with the smallest it is joined to.
+
+    ``named`` has the classes with their component so far.  A large tile is dealt into parts: what they miss, the
+    full round finds.
+    """
+    counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    parts = F.pmod(F.xxhash64(F.lit(key), "id"), F.ceil(F.col("members") / FIRST_TILE)).cast("int")
+    members = named.join(counts, key).select(F.col(key).alias("lead"), parts.alias("sub"), "id", "comp", "p1")
+    texts = rows_with(docs, members, "id").select("lead", "sub", "id", "comp", "p1", "text")
+    tiles = texts.repartition(shuffle_parts(docs.sparkSession), "lead", "sub").sortWithinPartitions("lead", "sub", "id")
 
     def run(batches):
-        for table in whole_groups(batches, 2, 1000):
-            lead, sub, ids, n = (table[c].to_numpy() for c in ("lead", "sub", "id", "n"))
+        for table in whole_groups(batches, 2, 500):
+            values, first = shingles(*text_bytes(table["text"].combine_chunks()), size)
+            n = np.diff(first)
+            lead, sub, ids, comp, p1 = (table[c].to_numpy() for c in ("lead", "sub", "id", "comp", "p1"))
             group = np.cumsum(np.concatenate([[0], (lead[1:] != lead[:-1]) | (sub[1:] != sub[:-1])]))
+            sets = [values[first[i] : first[i + 1]] for i in range(len(n))]
+            width = bitmap_bits(n)
+            bits = [bitmap(x, int(w)).tobytes() for x, w in zip(sets, width.tolist(), strict=True)]
             zero = np.zeros(len(n), np.int64)
-            i, j = surviving_pairs(group, n, zero, np.arange(len(n)), zero, zero > 0, table["bits"].to_pylist(), percent)
-            sets_ = [np.frombuffer(s, U) for s in table["set"].to_pylist()]
-            u, out = _Union(len(n)), []
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if ids[a] != ids[b] and u.find(a) != u.find(b) and linked(sets_[a], sets_[b], percent):
-                    u.join(a, b)
-                    out.append((a, b))
-            pick = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pick[:, 0]]), pa.array(ids[pick[:, 1]])], names=["u", "v"])
+            # a row that repeats an id with another text is not the class that was asked for
+            own = _prints(values, first)[0].view(np.int64) == p1
+            labels, node = np.unique(comp, return_inverse=True)
+            u = _Union(int(node.max()) + 1)
+            for i, j in surviving_pairs(group, n, zero, comp, zero, zero > 0, bits, percent):
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    if own[a] and own[b] and u.find(node[a]) != u.find(node[b]) and linked(sets[a], sets[b], percent):
+                        u.join(node[a], node[b])
+            # labels ascend with their numbers, so a root is the smallest of its component
+            root = labels[[u.find(x) for x in range(len(labels))]]
+            moved = np.flatnonzero(root != labels)
+            yield pa.RecordBatch.from_arrays([pa.array(labels[moved]), pa.array(root[moved])], names=["u", "v"])
 
     return tiles.mapInArrow(run, "u long, v long")
 
@@ -274,10 +299,25 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
     lists = prefix_rows(docs, size, percent, frequent).withColumns({"least": F.min("p1").over(by), "most": F.max("p1").over(by)}).where("least <> most")
     # a class met by several tasks stands in a list several times
     lists = cut(lists.select("shingle", "p1", "p2", "place").distinct())
-    named = reps.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "p1", "p2", F.coalesce("component", "id").alias("comp"))
-    placed = lists.join(named, ["p1", "p2"])
+    placed = lists.join(_named(reps, comps).select("id", "p1", "p2", "comp"), ["p1", "p2"])
     mixed = placed.withColumns({"least": F.min("comp").over(by), "most": F.max("comp").over(by), "members": F.count(F.lit(1)).over(by)}).where("least <> most")
-    mixed = cut(mixed.select("shingle", "id", "p1", "comp", "place", "members"))
+    listed = mixed.select("shingle", "id", "p1", "comp", "place", "members").sortWithinPartitions("shingle")
+
+    def pair_up(batches):
+        """Members that sizes and positions allow a partner; lists over a tile pass whole."""
+        for table in whole_groups(batches, 1, 20_000):
+            shingle, comp, place, members = (table[c].to_numpy() for c in ("shingle", "comp", "place", "members"))
+            group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]]))
+            large = members > TILE
+            zero = np.zeros(len(group), np.int64)
+            use = large.copy()
+            small = np.flatnonzero(~large)
+            for i, j in surviving_pairs(group[small], place[small] >> 32, place[small] & 0xFFFFFFFF, comp[small], zero[small], zero[small] > 0, None, percent):
+                use[small[i]] = True
+                use[small[j]] = True
+            yield from table.filter(pa.array(use)).combine_chunks().to_batches()
+
+    mixed = cut(listed.mapInArrow(pair_up, listed.schema))
     bits = cut(_sets_of(docs, mixed.select("id", "p1").distinct(), size).select("id", "bits"))
     blocks = F.ceil(F.col("members") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -289,8 +329,8 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
         for table in whole_groups(batches, 3, 20_000):
             shingle, lo, hi, ids, comp, place, block = (table[c].to_numpy() for c in ("shingle", "lo", "hi", "id", "comp", "place", "block"))
             group = np.cumsum(np.concatenate([[0], (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            i, j = surviving_pairs(group, place >> 32, place & 0xFFFFFFFF, comp, block, lo != hi, table["bits"].to_pylist(), percent)
-            pairs = np.unique(np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], 1), axis=0)
+            found = [np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], 1) for i, j in surviving_pairs(group, place >> 32, place & 0xFFFFFFFF, comp, block, lo != hi, table["bits"].to_pylist(), percent)]
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     pairs = cut(tiles.mapInArrow(run, "u long, v long").distinct())
@@ -318,12 +358,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     spark = prepare(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size))
-    slim = cut(set_classes(docs, size, frequent))
-    reps = cut(slim.where("n > 0 and id is not null").groupBy("p1", "p2", "n", "lead").agg(F.min("id").alias("id")))
-    first = cut(_first_round(docs, reps, size, percent))
+    slim = cut(set_classes(docs, size))
+    reps = cut(slim.where("n > 0 and id is not null").groupBy("p1", "p2", "n", "k0", "k1").agg(F.min("id").alias("id")))
     # rows that repeat an id with another set are one node of the graph: they link through their id
-    comps = connected_components(first)
-    links = first.unionByName(_full_round(docs, reps, comps, size, percent, frequent))
+    links = cut(_early_round(docs, reps.withColumn("comp", F.col("id")), "k0", size, percent))
+    # a class stands in one tile of the first round, so what it is joined to there is its component so far
+    named = _named(reps, links.select(F.col("u").alias("node"), F.col("v").alias("component")))
+    links = cut(links.unionByName(_early_round(docs, named, "k1", size, percent)))
+    links = links.unionByName(_full_round(docs, reps, connected_components(links), size, percent, frequent))
     final = connected_components(links)
     root = reps.join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("p1", "p2", F.coalesce("component", "id").alias("component"))
     out = slim.join(root, ["p1", "p2"], "left")
