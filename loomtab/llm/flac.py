@@ -24,7 +24,7 @@ RATE = 8000
 #: Order, coefficient bits and partition order that the encoder uses; the decoder takes any.
 ORDER, PRECISION, PARTITIONS = 4, 9, 2
 #: Frames worked on at once.
-LANES = 4096
+LANES = 1536
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
 

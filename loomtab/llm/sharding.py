@@ -3,6 +3,8 @@
 Groups of equal texts, ordered by the digest of their text, are cut into contiguous shards so that the largest
 shard is as small as possible: binary search over the capacity, a greedy pass as the check.
 
+Of the partitions within that capacity, the most even one is taken, shard by shard.
+
 The search runs on a table of ordered *items*, ranges of digests with their bytes, whose number is bounded
 whatever the corpus.  A range can only matter if a cut may fall inside it; those ranges, a few dozen for each cut,
 are split by more digits of the digest and counted again, until every cut is certain to fall between groups.
@@ -80,27 +82,63 @@ def _open_items(items: list[Item], shards: int, least: int, most: int) -> set[st
     return found
 
 
+def even_cuts(items: list[Item], capacity: int, shards: int) -> tuple[list[int], set[str]]:
+    """Cuts that keep every shard within ``capacity`` and as near to an equal part of the rest as that allows.
+
+    Also the prefixes of the items, if any, inside which a nearer cut may lie.
+    """
+    sums = [0, *accumulate(i.size for i in items)]
+    cuts, at, inner = [], 0, set()
+    for left in range(shards, 1, -1):
+        goal = sums[at] + (sums[-1] - sums[at]) / left
+        far = bisect_right(sums, sums[at] + capacity) - 1
+        after = bisect_left(sums, goal)
+        if after <= far and sums[after] > goal and items[after - 1].groups > 1:
+            inner.add(items[after - 1].prefix)
+        near = min((j for j in (after - 1, after) if at <= j <= far), key=lambda j: abs(sums[j] - goal), default=far)
+        # what remains must fit: the later the cut, the easier; the greedy cut always does
+        low, high = near, far
+        while low < high:
+            mid = (low + high) // 2
+            rest = [x - sums[mid] for x in sums[mid:]]
+            if greedy_cuts(rest, capacity, left - 1) is None:
+                low = mid + 1
+            else:
+                high = mid
+        at = low
+        cuts.append(at)
+    return [*cuts, len(items)], inner
+
+
 def minimax_boundaries(count: Callable[[list[str], int], list[Item]], largest_group: int, shards: int) -> list[str]:
     """First digests of shards 1, 2, ...: ``count(prefixes, digits)`` gives the items of those ranges.
 
-    Fewer boundaries than shards less one mean that the last shards are empty.
+    The largest shard is as small as can be; within that capacity the cuts are as even as can be.  Fewer boundaries
+    than shards less one mean that the last shards are empty.
     """
-    digits = FIRST_DIGITS
-    items = count([], digits)
+    items = count([], FIRST_DIGITS)
     if not items:
         return []
-    while True:
-        total = sum(i.size for i in items)
-        most, cuts = smallest_capacity((i.size for i in items), shards)
-        opened = _open_items(items, shards, max(largest_group, -(-total // shards)), most)
-        if not opened:
-            return [items[c].prefix for c in cuts if c < len(items)]
+
+    def split(opened: set[str]) -> list[Item]:
         deeper: dict[str, list[Item]] = {}
         for length in sorted({len(p) for p in opened}):
             own = [p for p in opened if len(p) == length]
             for item in count(own, min(ALL_DIGITS, length + MORE_DIGITS)):
                 deeper.setdefault(item.prefix[:length], []).append(item)
-        items = [x for i in items for x in (sorted(deeper[i.prefix], key=lambda y: y.prefix) if i.prefix in opened else [i])]
+        return [x for i in items for x in (sorted(deeper[i.prefix], key=lambda y: y.prefix) if i.prefix in opened else [i])]
+
+    while True:
+        total = sum(i.size for i in items)
+        capacity, _ = smallest_capacity((i.size for i in items), shards)
+        if not (opened := _open_items(items, shards, max(largest_group, -(-total // shards)), capacity)):
+            break
+        items = split(opened)
+    while True:
+        cuts, opened = even_cuts(items, capacity, shards)
+        if not opened:
+            return [items[c].prefix for c in cuts if c < len(items)]
+        items = split(opened)
 
 
 def shard_minimax(df: DataFrame, shards: int, text: str = "text", size: Column | None = None, shard: str = "shard", slot: str = "slot") -> DataFrame:
