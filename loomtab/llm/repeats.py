@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import column, cut, prepare, shuffle_parts, slices, text_bytes, whole_groups
@@ -221,13 +221,18 @@ def repeated_spans(docs: DataFrame, length: int, shared: DataFrame | None = None
 
     ``docs`` has columns uid and text; rows of one uid have one text.
     """
-    of_anchor, of_stretch = Window.partitionBy("anchor"), Window.partitionBy("anchor", "stretch")
+    # counted before any anchor's rows meet: an anchor of a third of all texts is a row for each task and stretch here,
+    # and the two joins can be split where one key is large
     seen = _stretches(docs, length)
-    counted = seen.withColumns({"total": F.count(F.lit(1)).over(of_anchor), "n": F.count(F.lit(1)).over(of_stretch), "turn": F.row_number().over(of_stretch.orderBy("uid", "pos"))}).where("total > 1")
-    kinds = counted.withColumn("kinds", F.sum((F.col("turn") == 1).cast("long")).over(of_anchor))
-    dup = cut(kinds.select("uid", "anchor", "stretch", "pos", "left", "right", "n", "turn", "kinds"))
+    by_stretch = seen.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    by_anchor = by_stretch.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").drop("total")
+    counted = cut(by_stretch.join(by_anchor, "anchor"))
+    dup = cut(seen.join(counted, ["anchor", "stretch"]).select("uid", "anchor", "stretch", "pos", "left", "right", "n", "kinds"))
     whole = dup.where("n > 1").select("uid", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
-    one = dup.where("turn = 1 and kinds > 1").withColumn("alone", F.col("n") == 1)
+    place = ["uid", "pos", "left", "right"]
+    single = dup.where("n = 1 and kinds > 1").select("anchor", "kinds", *place, F.lit(True).alias("alone"))
+    chosen = dup.where("n > 1 and kinds > 1").groupBy("anchor", "stretch", "kinds").agg(F.min(F.struct(*place)).alias("at"))
+    one = single.unionByName(chosen.select("anchor", "kinds", "at.*", F.lit(False).alias("alone")))
     source = docs if shared is None else shared
     some = _with_bytes(source, one.where(F.col("kinds") <= GROUP_LIMIT))
     spans = whole.unionByName(_index_spans(some, length))
