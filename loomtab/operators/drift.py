@@ -139,27 +139,58 @@ def psi_report(reference: DataFrame, live: DataFrame, columns: list[str] | None
     return psi.withColumn("level", psi_level(F.col("psi")))
 
 
+#: Ranges of the hash order in which rows are numbered for folds.
+HASH_RANGES = 256
+
+
 def domain_auc(reference: DataFrame, live: DataFrame, cap: int = 10_000, folds: int = 5, seed: int = 42) -> float:
     """Mean cross-validated ROC-AUC of a logistic regression that tells live from reference rows; 0.5 without numbers.
 
-    At most ``cap`` rows of each side take part, chosen by the hash of their values.
+    Equal rows are counted together, and each of them is dealt to folds by itself.  A model is fitted on at most
+    ``cap`` rows of each side, every n-th row of a fold in hash order, so that a value set has its share of the sample
+    to within a row a fold; the AUC is over all rows of the fold left out.
     """
-    from .models import cross_validate, logistic
+    from .metrics import roc_auc
+    from .models import logistic
 
     columns = numeric_common(reference, live)
     if not columns:
         return 0.5
-    sides = []
-    for side, df in ((0, reference), (1, live)):
-        clean = df.select(*[as_number(c).alias(c) for c in columns]).dropna()
-        picked = clean.withColumn("_h", F.xxhash64(F.lit(seed), *[col(c) for c in columns])).orderBy("_h", *[col(c) for c in columns]).limit(cap)
-        sides.append(picked.drop("_h").withColumn("_side", F.lit(side)))
-    rows = sides[0].unionByName(sides[1])
-    least = min((r["count"] for r in rows.groupBy("_side").count().collect()), default=0)
-    if least < 2 or rows.select("_side").distinct().count() < 2:
-        return 0.5
-    k = min(folds, max(2, least))
-    return cross_validate(rows, columns, "_side", logistic(), metrics=("roc_auc",), folds=k, seed=seed)["roc_auc"][0]
+    names = [col(c) for c in columns]
+    clean = [df.select(*[as_number(c).alias(c) for c in columns]).dropna().withColumn("_side", F.lit(side)) for side, df in ((0, reference), (1, live))]
+    groups = clean[0].unionByName(clean[1]).groupBy(*names, "_side").agg(F.count(F.lit(1)).alias("_n"))
+    hashed = groups.withColumn("_h", F.xxhash64(F.lit(seed), *names)).withColumn("_part", F.pmod("_h", F.lit(HASH_RANGES)).cast("int")).cache()
+    try:
+        base, total = [], [0, 0]  # at most HASH_RANGES rows of each side
+        for r in sorted(hashed.groupBy("_side", "_part").agg(F.sum("_n").alias("n")).collect()):
+            base.append((r["_side"], r["_part"], total[r["_side"]]))
+            total[r["_side"]] += r["n"]
+        least = min(*total, cap)
+        if least < 2:
+            return 0.5
+        k = min(folds, least)
+        upto = F.sum("_n").over(Window.partitionBy("_side", "_part").orderBy("_h", *names))
+        bases = reference.sparkSession.createDataFrame(base, "_side int, _part int, _base long")
+        placed = hashed.withColumn("_upto", upto).join(F.broadcast(bases), ["_side", "_part"]).withColumn("_upto", F.col("_base") + F.col("_upto"))
+        # the rows of a side are numbered; row p is row p div k of fold p mod k
+        each = placed.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        before = lambda p: F.expr(f"({p} - _fold + {k - 1}) div {k}")
+        size = F.when(F.col("_side") == 0, F.lit(total[0])).otherwise(F.lit(total[1]))
+        each = each.withColumns({"_from": before("(_upto - _n)"), "_to": before("_upto"), "_size": size}).withColumn("_size", before("_size")).where("_to > _from")
+        quota = F.lit(cap // k) + (F.col("_fold") < cap % k).cast("int")
+        each = each.withColumn("_quota", F.least(quota.cast("long"), "_size")).withColumns({"_rows": F.col("_to") - F.col("_from"), "_take": F.expr("(_to * _quota) div _size - (_from * _quota) div _size")})
+        rows = each.select(*names, "_side", "_fold", "_rows", "_take").cache()
+        try:
+            sample = rows.where("_take > 0").select(*names, "_side", "_fold", F.explode(F.sequence(F.lit(1).cast("long"), "_take"))).drop("col")
+            found = []
+            for f in range(k):
+                scored = logistic()(sample.where(F.col("_fold") != f), columns, "_side")(rows.where(F.col("_fold") == f))
+                found.append(roc_auc(scored.withColumn("_s", F.get("probability", F.lit(1))), "_side", "_s", "_rows").first()[0])
+            return sum(found) / k
+        finally:
+            rows.unpersist()
+    finally:
+        hashed.unpersist()
 
 
 def detect(reference: DataFrame, live: DataFrame, method: str = "ks") -> dict:

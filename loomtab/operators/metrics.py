@@ -37,12 +37,14 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
     return accuracy.crossJoin(F.broadcast(f1))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """One row (roc_auc): the exact Mann-Whitney statistic for labels 0 and 1; null if a class is missing.
 
     Equal scores are counted together first, so that the running count is over distinct scores, range by range.
+    A row counts as many times as ``weight`` says.
     """
-    by = df.groupBy(col(score).cast("double").alias("s")).agg(F.sum(F.when(col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(col(label) == 1, 0).otherwise(1)).alias("n"))
+    one = col(weight) if weight else F.lit(1)
+    by = df.groupBy(col(score).cast("double").alias("s")).agg(F.sum(F.when(col(label) == 1, one).otherwise(0)).alias("p"), F.sum(F.when(col(label) == 1, 0).otherwise(one)).alias("n"))
     edges = [float(x) for x in (by.agg(F.percentile_approx("s", [i / 64 for i in range(1, 64)], 1000)).first()[0] or [])]
     part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("s"))) if edges else F.lit(0)
     cut = by.withColumn("part", part)
