@@ -25,15 +25,15 @@ def _shuffled(key: Column, seed: int | None) -> Column:
     return key if seed is None else F.sha2(F.concat_ws(":", F.lit(str(seed)), key), 256)
 
 
-def positions(df: DataFrame, order: list[Column], name: str = "pos", within: list[str] | None = None) -> DataFrame:
+def positions(df: DataFrame, order: list[Column], name: str = "pos", within: list[str] | None = None, bounds: list | None = None) -> DataFrame:
     """Add the 0-based position in the order of ``order`` (within groups of equal ``within``).
 
-    The first order column cuts the rows into ranges at approximate quantiles; each range is numbered by itself and
-    moved on by the rows of the ranges before.
+    The first order column cuts the rows into ranges at approximate quantiles or ``bounds``; each range is numbered by
+    itself and moved on by the rows of the ranges before.
     """
     within = within or []
     keyed = df.withColumns({f"_o{i}": o for i, o in enumerate(order)})
-    bounds = [r for r in _bounds(keyed) if r is not None]
+    bounds = [r for r in (_bounds(keyed) if bounds is None else bounds) if r is not None]
     part = F.lit(0)
     if bounds:
         part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_o0")))
@@ -61,6 +61,12 @@ def _bounds(keyed: DataFrame) -> list:
     return sorted(set(keyed.agg(F.percentile_approx("_o0", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []))
 
 
+def text_bounds(values: DataFrame, column: str) -> list[str]:
+    """Range bounds of distinct strings: quantiles of a bounded sample by hash.  They spread the work; positions stay exact."""
+    seen = sorted(r[0] for r in values.select(col(column).alias("v")).where("v is not null").orderBy(F.xxhash64("v"), "v").limit(16 * RANGES).collect())
+    return sorted({seen[i * len(seen) // RANGES] for i in range(1, RANGES)}) if seen else []
+
+
 def _members(folded: DataFrame, folds: int, repeat: int = 0) -> DataFrame:
     """Every row in every fold: validation in its own, train in the others."""
     each = folded.select("row_id", F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
@@ -106,25 +112,45 @@ def stratified(rows: DataFrame, label: str, folds: int = 5, seed: int | None = N
     return _members(placed.withColumn("fold", F.size(F.filter("upto", lambda u: u <= F.col("pos")))), folds, repeat)
 
 
+def deal(load: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Give ``count`` groups of one size to the lightest fold each, in place: (first group, folds taken in turn) of each stretch.
+
+    A stretch lasts until its folds have reached the next lightest one, so there are at most as many as folds.
+    """
+    out, at = [], 0
+    while at < count:
+        order = sorted(range(len(load)), key=lambda f: (load[f], f))
+        low = order[0]
+        turn = [f for f in order if (load[f], f) < (load[low] + size, low)]
+        rounds = min(((load[f] - load[low] - (f < low)) // size for f in order[len(turn) :]), default=count)
+        n = min(rounds * len(turn), count - at)
+        for i, f in enumerate(turn):
+            load[f] += size * (n // len(turn) + (i < n % len(turn)))
+        out.append((at, turn))
+        at += n
+    return out
+
+
 def group_kfold(rows: DataFrame, group: str, folds: int = 5, repeat: int = 0) -> DataFrame:
     """Groups whole: the largest first, each to the lightest fold; equal sizes by key.
 
-    The greedy pass needs the group sizes in order; they are gathered when there are at most a million groups.
-    Beyond that, groups go by the hash of their key, which is even where no group is large.
+    The greedy pass needs only how many groups there are of each size: n rows have at most sqrt(2n) different sizes.
+    Groups are numbered among those of their size in Spark, and their number tells the fold.
     """
     sizes = rows.groupBy(col(group).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.count() > 1_000_000:
-        fold = F.pmod(F.xxhash64(col(group).cast("string")), F.lit(folds)).cast("int")
-        return _members(rows.select("row_id", fold.alias("fold")), folds, repeat)
-    load, where = [0] * folds, []
-    for r in sorted(sizes.collect(), key=lambda r: (-r.n, r.g or "")):
-        f = min(range(folds), key=lambda i: (load[i], i))
-        load[f] += r.n
-        where.append((r.g, f))
+    load, table = [0] * folds, []
+    for r in sorted(sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect(), key=lambda r: -r.n):
+        stretches = deal(load, r.n, r.m)
+        table.append((r.n, [a for a, _ in stretches], [t for _, t in stretches]))
     if sum(x > 0 for x in load) < folds:
         raise SplitError(f"fewer groups than {folds} folds")
-    table = rows.sparkSession.createDataFrame(where, "g string, fold int")
-    joined = rows.select("row_id", col(group).cast("string").alias("k")).join(table, F.col("k").eqNullSafe(F.col("g")))
+    dealt = rows.sparkSession.createDataFrame(table, "n long, starts array<long>, turns array<array<int>>")
+    numbered = positions(sizes, [F.coalesce("g", F.lit("")), F.col("g").isNotNull()], within=["n"], bounds=text_bounds(sizes, "g"))
+    placed = numbered.join(F.broadcast(dealt), "n").withColumn("at", F.size(F.filter("starts", lambda a: a <= F.col("pos"))) - 1)
+    turn = F.get("turns", F.col("at"))
+    fold = F.get(turn, F.pmod(F.col("pos") - F.get("starts", F.col("at")), F.size(turn)).cast("int"))
+    named = placed.select("g", fold.alias("fold"))
+    joined = rows.select("row_id", col(group).cast("string").alias("k")).join(named, F.col("k").eqNullSafe(F.col("g")))
     return _members(joined.select("row_id", "fold"), folds, repeat)
 
 

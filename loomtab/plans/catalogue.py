@@ -229,7 +229,7 @@ def frame_digest_scalable(spark, d):
 
 
 def _ids(spark, d) -> DataFrame:
-    return table(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("row_id"), F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("y"), (F.col("o_custkey") % 40).alias("g"))
+    return table(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("row_id"), F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("y"), F.col("o_custkey").alias("g"))
 
 
 _IDS = "ids as (select sha256(o_orderkey::varchar) as row_id, o_orderdate as t, o_orderpriority as y from orders)"
