@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import categorical_columns, col, date_columns, numeric_columns
+from .splits import positions, text_bounds
 
 
 class PrepError(ValueError):
@@ -72,13 +73,17 @@ def category_codes(df: DataFrame, name: str, code: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class PrepModel:
-    """What preparation learned.  ``transform`` is expressions only; codes of high columns come by a join."""
+    """What preparation learned.  ``transform`` is expressions; codes of large columns come by a join.
+
+    ``codes`` has the values in ascending order; ``tables`` has (value, code) of large columns and their number of values.
+    """
 
     drops: list[str]
     fills: dict[str, float | None]
     tops: dict[str, str | None]
     dates: list[str]
     codes: dict[str, list[str]] = field(default_factory=dict)
+    tables: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Columns: the others, then numeric, then categorical ones, then date parts."""
@@ -86,10 +91,14 @@ class PrepModel:
         rest = [c for c in df.columns if c not in self.fills and c not in self.tops]
         number = [F.coalesce(F.nanvl(col(c).cast("double"), F.lit(None).cast("double")), F.lit(v)).alias(c) for c, v in self.fills.items() if c in df.columns]
         text = []
-        for c, top in self.tops.items():
+        for i, (c, top) in enumerate(self.tops.items()):
             if c not in df.columns:
                 continue
             filled = F.coalesce(col(c), F.lit(top))
+            if c in self.tables:
+                table, n = self.tables[c]
+                df = df.join(table.select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}")), filled == F.col(f"_v{i}"), "left")
+                filled = F.when(filled.isNotNull(), F.coalesce(F.col(f"_c{i}"), F.lit(n)).cast("int"))
             if c in self.codes:
                 # binary search in a sorted literal array; unseen values get the next code
                 known = F.array(*[F.lit(v) for v in self.codes[c]]) if self.codes[c] else F.array().cast("array<string>")
@@ -106,17 +115,20 @@ INLINE_CODES = 1000
 def fit_prep(df: DataFrame, target: str | None = None, ignore: list[str] | None = None, encode: bool = True, accuracy: int | None = None) -> PrepModel:
     """Learn fills and codes from ``df`` (the training rows).  The target is left alone.
 
-    Columns of over ``INLINE_CODES`` values are not coded here: encode those by ``category_codes`` and a join, or
-    by frequency.
+    Columns of over ``INLINE_CODES`` values are coded alike, by a cached table and a join.
     """
     drop_columns(df, ignore or [], target)
     df = df.drop(*(ignore or []))
     number = [c for c in numeric_columns(df) if c != target]
     text = [c for c in categorical_columns(df) if c != target]
-    codes = {}
+    codes, tables = {}, {}
     if encode and text:
         sizes = df.agg(*[F.approx_count_distinct(col(c)).alias(str(i)) for i, c in enumerate(text)]).first()
         for i, c in enumerate(text):
             if sizes[i] <= INLINE_CODES:
                 codes[c] = sorted(r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().collect())
-    return PrepModel(ignore or [], medians(df, number, accuracy), modes(df, text), [c for c in date_columns(df) if c != target], codes)
+            else:
+                values = df.select(col(c).alias("value")).where("value is not null").distinct()
+                table = positions(values, [F.col("value")], "code", bounds=text_bounds(values, "value")).cache()
+                tables[c] = table, table.count()
+    return PrepModel(ignore or [], medians(df, number, accuracy), modes(df, text), [c for c in date_columns(df) if c != target], codes, tables)
