@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import col
-from .features import permuted
+from .features import numbered, permuted
 from .models import cross_validate, logistic, out_of_fold, ridge
 
 
@@ -65,9 +65,12 @@ class LeakageFinding:
 
 
 def leakage_audit(df: DataFrame, features: list[str], label: str, task: str, threshold: float = 0.15, folds: int = 3, seed: int = 42) -> list[LeakageFinding]:
-    """Features whose permutation lowers the cross-validated score (roc_auc or r2) by over ``threshold``, worst first."""
+    """Features whose permutation lowers the cross-validated score (roc_auc or r2) by over ``threshold``, worst first.
+
+    Copies of a row are numbered, so that they go to folds and places of their own.
+    """
     metric, fit = ("r2", ridge()) if task == "regression" else ("roc_auc", logistic(scaled=True))
-    rows = df.select(*[col(c) for c in [*features, label]]).cache()
+    rows = numbered(df.select(*[col(c) for c in [*features, label]])).cache()
     try:
         base = cross_validate(rows, features, label, fit, [metric], folds, seed)[metric][0]
         found = []

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schema import col
 from .models import Fit, cross_validate, measure
+from .splits import positions
 
 
 @dataclass(frozen=True)
@@ -77,24 +78,39 @@ def fit_target_transform(df: DataFrame, target: str, kind: str = "auto") -> Targ
     return TargetTransform(kind, best, mean, std or 1.0)
 
 
+#: Copies of a row that one task numbers at a time.
+COPIES = 10_000
+
+
+def numbered(df: DataFrame, name: str = "_copy") -> DataFrame:
+    """The frame with each row's number among equal rows.
+
+    Equal rows are counted, and the counts unfolded again in stretches of ``COPIES``, which are dealt to all tasks.
+    """
+    names = [col(c) for c in df.columns]
+    counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    stretch = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))).alias("_k"))
+    dealt = stretch.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_k")
+    first = F.col("_k") * COPIES
+    return dealt.select(*names, F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)).alias(name))
+
+
 def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
     """The frame with one column's values dealt to other rows.
 
-    Rows are numbered in two hash orders within hash buckets and joined by number: a permutation of each bucket,
-    with no global order.
+    Rows have positions in two hash orders and are joined by position: a permutation of all rows.  Copies of a row are
+    told apart by their number, ``_copy`` if the frame has it.
     """
-    order = [F.xxhash64(F.lit(s), *[col(c) for c in df.columns]) for s in (seed, seed + 7919)]
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[col(c) for c in df.columns]), F.lit(16))
-    keyed = df.withColumn("_b", bucket)
-    at = lambda o: F.row_number().over(Window.partitionBy("_b").orderBy(o, *[col(c) for c in df.columns]))
-    rows = keyed.withColumn("_i", at(order[0])).drop(column)
-    values = keyed.select("_b", at(order[1]).alias("_i"), col(column).alias(column))
-    return rows.join(values, ["_b", "_i"]).select(*[col(c) for c in df.columns])
+    rows = df if "_copy" in df.columns else numbered(df)
+    names = [col(c) for c in rows.columns]
+    at = lambda s: positions(rows, [F.lower(F.lpad(F.hex(F.xxhash64(F.lit(s), *names)), 16, "0")), *names], "_i")
+    values = at(seed + 7919).select("_i", col(column).alias(column))
+    return at(seed).drop(column).join(values, "_i").select(*[col(c) for c in df.columns])
 
 
 def permutation_importance(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, repeats: int = 5, seed: int = 42) -> dict[str, float]:
     """Mean loss of the metric when a feature is permuted; the model is fitted once."""
-    rows = df.select(*[col(c) for c in [*features, label]]).cache()
+    rows = numbered(df.select(*[col(c) for c in [*features, label]])).cache()
     try:
         score = fit(rows, features, label)
         base = measure(score(rows), label, [metric])[metric]
