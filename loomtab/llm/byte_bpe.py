@@ -212,7 +212,7 @@ def bpe_encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str |
         coder = _coder(path, pattern)
         for batch in batches:
             for part in slices(batch, text):
-                flat, at = coder.cache(column(part, text).to_pylist())
+                flat, at = coder.cache(column(part, text))
                 blob = flat.astype("<u4").tobytes()
                 out = pa.array([blob[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), out], names=names)

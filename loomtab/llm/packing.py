@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import library_cache, vocabulary
+from .pieces import vocabulary, worker_cache
 from .runtime import column, cut, prepare, slices
 
 #: Tokens of a sequence; pieces of one partition (the deal is by hash, so about); rounds of exchange.
@@ -82,10 +82,10 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", path
     kind = dict(slim.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = library_cache(vocabulary(path, "word_bpe_49k.json"), spaced=False)
+        cache = worker_cache(vocabulary(path, "word_bpe_49k.json"), spaced=False)
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, at = cache(part.column(1).to_pylist())
+                flat, at = cache(part.column(1))
                 raw = np.insert(flat, at[1:], end_id).astype("<u4")
                 size = np.diff(at) + 1
                 base = np.cumsum(size) - size

@@ -1,110 +1,134 @@
-"""Token ids of whole texts from cached pieces.
+"""Token ids of whole texts from cached atoms.
 
-A text is cut at each single space that stands between two other characters.  No pre-token of the
-tokenizers used here crosses such a cut, so the ids of the text are those of its pieces in order, and each
-distinct piece is encoded once per worker.  A text with any other white space at a cut is encoded whole.
+A text is cut at each single space that stands between two other characters, around each single line feed, and before
+the punctuation that ends such a piece behind a letter.  No pre-token of the tokenizers used here crosses such a cut, so the ids of the text are those of
+its atoms in order.  The atoms of a slice are spans of its Arrow buffer; they are numbered by dictionary encoding, and
+each distinct one is encoded once per worker.  A text with any other white space at a cut is encoded whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
-
-
-#: Letters of Latin scripts that stand alone in any normal form, then marks; with a space before where spaces are kept.
-_WORD_MARKS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)").fullmatch
-
-
-class _Known(dict):
-    """Piece to number; an unseen piece gets the next number and waits in ``fresh``."""
-
-    def __init__(self, cache: PieceCache, lead: str):
-        super().__init__()
-        self.cache, self.lead = cache, lead
-
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = self.cache.count
-        self.cache.count += 1
-        self.cache.fresh.append(self.lead + piece)
-        self.cache.whole.append(self.cache.spaced and (not piece or piece != piece.strip()))
-        return number
+import pyarrow as pa
+
+from .runtime import text_bytes
+
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+_GRAPH = np.zeros(256, bool)
+_GRAPH[0x21:0x7F] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+
+
+def _letter_ends(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character that ends with byte ``last`` is a letter: of ASCII, or of U+00C0 to U+00FF or U+0400 to U+047F."""
+    byte, lead = data[last], data[np.maximum(last - 1, 0)]
+    latin = (lead == 0xC3) & (byte >= 0x80) & (byte < 0xC0) & (byte != 0x97) & (byte != 0xB7)
+    cyrillic = ((lead == 0xD0) | (lead == 0xD1)) & (byte >= 0x80) & (byte < 0xC0)
+    return _ASCII_LETTER[byte] | ((last > 0) & (latin | cyrillic))
+
+
+def _line_feeds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of the line feeds between two characters of a text that are known not to be white space."""
+    at = np.flatnonzero(data == 0x0A)
+    if not len(at):
+        return at
+    edge = np.zeros(len(data) + 2, bool)
+    edge[offsets] = True
+    at = at[~edge[at] & ~edge[at + 1]]
+    before, after = data[at - 1], data[at + 1]
+    follows = _GRAPH[after] | (after == 0xC3) | (after == 0xD0) | (after == 0xD1)
+    return at[(_GRAPH[before] | _letter_ends(data, at - 1)) & follows]
+
+
+def atom_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, counts): the atoms lie between neighbouring cuts; counts are those of each text.  An empty text has none."""
+    size = np.diff(offsets)
+    full = size > 0
+    # a piece starts with its text or with a space; a text that starts with a space has an empty first piece
+    feeds = _line_feeds(data, offsets)
+    begin = np.concatenate([offsets[:-1][full], np.flatnonzero(data == 0x20), feeds, feeds + 1])
+    begin.sort()
+    end = np.append(begin[1:], len(data))
+    plain = np.arange(len(data))
+    plain[_MARK[data]] = -1
+    body = np.maximum.accumulate(plain)[end - 1] + 1 if len(data) else end  # where a piece's closing marks begin
+    split = (body > begin) & (body < end)
+    split[split] = _letter_ends(data, body[split] - 1)
+    starts = np.concatenate([begin, body[split]])
+    starts.sort()
+    # an empty first piece and the space behind it start at one byte
+    counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
+    counts[~full] = 0
+    return np.append(starts, len(data)), counts
 
 
 class PieceCache:
-    """``encode`` maps a list of strings to their id lists.
+    """Maps a string column, or a list of strings, to the ids of all its texts.
 
+    ``encode`` maps a list of strings to their id lists, ``joined`` to (flat ids, lengths).
     ``spaced``: the tokenizer keeps white space, and a space belongs to the word that follows it.
-    ``limit`` bounds the pieces held; beyond it the cache starts anew, which costs time only.
+    ``limit`` bounds the atoms held: beyond it those go that were not met again since the last time, then all.
+    That costs time only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 600_000, joined: Callable | None = None):
-        self.encode, self.spaced, self.limit, self.joined = encode, spaced, limit, joined
-        self.words: dict[str, np.ndarray] = {}
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 400_000, joined: Callable | None = None):
+        self.encode, self.spaced, self.limit = encode, spaced, limit
+        self.joined = joined or (lambda pieces: _flatten(encode(pieces)))
         self.clear()
 
     def clear(self) -> None:
-        self.count, self.fresh, self.whole = 0, [], []
-        self.first, self.rest = _Known(self, ""), _Known(self, " " if self.spaced else "")
+        self.known: dict[str, int] = {}
         self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.bad = np.zeros(0, bool)
+        self.met = np.zeros(0, np.int32)
 
-    def _learn(self) -> None:
-        if not self.fresh:
+    def _shrink(self) -> None:
+        keep = self.met > 1
+        if 2 * int(keep.sum()) > self.limit:
+            self.clear()
             return
-        flat, lens = self._fresh_ids() if self.joined else _flatten(self.encode(self.fresh))
-        starts = len(self.ids) + np.cumsum(lens) - lens
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
-        self.bad = np.concatenate([self.bad, np.array(self.whole, bool)])
-        self.fresh, self.whole = [], []
-
-    def _fresh_ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the new pieces.  A Latin word and the marks behind it are separate pre-tokens: each is looked up alone."""
-        index: dict[str, int] = {}
-        first, second = [], []
-        for piece in self.fresh:
-            m = _WORD_MARKS(piece)
-            word, marks = m.groups() if m else (piece, None)
-            if m and not self.spaced:
-                word = word.lower()
-            first.append(index.setdefault(word, len(index)))
-            second.append(index.setdefault(marks, len(index)) if marks else -1)
-        if len(self.words) > self.limit:
-            self.words = {}
-        words = self.words
-        new = [w for w in index if w not in words]
-        flat, lens = self.joined(new)
-        ends = np.cumsum(lens).tolist()
-        for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True):
-            words[w] = flat[a:b].copy()
-        held = [words[w] for w in index]
-        sizes = np.array([len(x) for x in held] + [0], np.int64)
-        table = np.concatenate(held) if held else np.zeros(0, np.uint32)
-        begin = np.append(np.cumsum(sizes[:-1]) - sizes[:-1], 0)
-        both = np.stack([np.array(first, np.int64), np.array(second, np.int64)], 1).ravel()
-        each = sizes[both]
-        total = np.cumsum(each)
-        take = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin[both] - (total - each), each)
-        return table[take], each.reshape(-1, 2).sum(1)
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.known = {a: i for i, a in enumerate(a for a, k in zip(self.known, keep.tolist(), strict=True) if k)}
+        starts, self.lens, self.bad = self.starts[keep], self.lens[keep], self.bad[keep]
+        ends = np.cumsum(self.lens)
+        self.ids = self.ids[np.arange(int(self.lens.sum())) + np.repeat(starts - (ends - self.lens), self.lens)]
+        self.starts, self.met = ends - self.lens, np.zeros(len(self.known), np.int32)
+
+    def _numbers(self, atoms: list[str]) -> np.ndarray:
+        """Each atom's number; new ones are encoded and get the next."""
+        known = self.known
+        found = np.fromiter(map(known.get, atoms, repeat(-1)), np.int64, len(atoms))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = [atoms[i] for i in new.tolist()]
+            found[new] = np.arange(len(known), len(known) + len(fresh))
+            flat, lens = self.joined(fresh)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
+            self.lens = np.concatenate([self.lens, lens])
+            self.ids = np.concatenate([self.ids, flat])
+            bodies = [a[1:] if a[:1] == " " else a for a in fresh]
+            self.bad = np.concatenate([self.bad, np.array([self.spaced and b != "\n" and (not b or b != b.strip()) for b in bodies], bool)])
+            self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int32)])
+        self.met[found] += 1
+        return found
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, offsets); None counts as empty."""
-        if self.count > self.limit:
-            self.clear()
-        look, numbers, counts = self.rest.__getitem__, [], []
-        for t in texts:
-            if not t:
-                counts.append(0)
-                continue
-            head, *tail = t.split(" ")
-            numbers.append(self.first[head])
-            numbers.extend(map(look, tail))
-            counts.append(1 + len(tail))
-        self._learn()
-        n = np.array(numbers, np.int64)
+        if len(self.known) > self.limit:
+            self._shrink()
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        data, offsets = text_bytes(texts)
+        cuts, counts = atom_spans(data, offsets)
+        spans = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data))
+        coded = spans.dictionary_encode()
+        n = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         lens = self.lens[n]
         ends = np.cumsum(lens)
@@ -113,9 +137,9 @@ class PieceCache:
         offsets = np.concatenate([[0], ends])[at]
         if self.spaced and self.bad[n].any():
             per_text = np.add.reduceat(np.append(self.bad[n], 0), at[:-1]) * (np.diff(at) > 0)
-            parts = [ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+            parts = [ids[offsets[i] : offsets[i + 1]] for i in range(len(counts))]
             odd = np.flatnonzero(per_text)
-            for i, got in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
+            for i, got in zip(odd, self.encode([texts[int(i)].as_py() for i in odd]), strict=True):
                 parts[i] = np.array(got, np.uint32)
             ids = np.concatenate(parts)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
@@ -131,7 +155,18 @@ def _flatten(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
 _BAR = "|"
 
 
-def library_cache(path: str, spaced: bool, limit: int = 600_000) -> PieceCache:
+_held: dict[tuple, PieceCache] = {}
+
+
+def worker_cache(path: str, spaced: bool) -> PieceCache:
+    """The cache of this worker process for a vocabulary, alive between its tasks; one at a time."""
+    if (path, spaced) not in _held:
+        _held.clear()
+        _held[path, spaced] = library_cache(path, spaced)
+    return _held[path, spaced]
+
+
+def library_cache(path: str, spaced: bool, limit: int = 400_000) -> PieceCache:
     """Pieces encoded by the tokenizers library from a vocabulary file, special strings as ordinary text.
 
     New pieces are encoded a thousand at a time, as one text: a tokenizer that keeps spaces begins each with a token
