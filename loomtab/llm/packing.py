@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences with certified partitions.
 
 Pieces are dealt to partitions of bounded size; each packs its own by best-fit decreasing and computes a lower
-bound on its sequences from dual feasible functions.  A partition that meets its bound is certified.  The pieces of
-the others are dealt anew among themselves and packed again, as long as that saves sequences.
+bound on its sequences from dual feasible functions.  A partition that meets its bound is certified; it keeps all but
+its roomiest sequence.  The others close their fullest sequences.  The pieces of what is left open are dealt anew among
+all partitions and packed again, as long as that saves sequences.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import vocabulary, worker_cache
-from .runtime import column, cut, prepare, slices
+from .runtime import cut, nullable, prepare, slices
 
 #: Tokens of a sequence; pieces of one partition (the deal is by hash, so about); rounds of exchange.
 CAPACITY, PART_ROWS, ROUNDS = 4096, 100_000, 3
@@ -104,56 +105,81 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", path
     return slim.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _pack_round(items: DataFrame, names: list[str], turn: int, part_rows: int, capacity: int) -> DataFrame:
-    """Deal the items to partitions and pack each; adds where they went, and the partition's bins and bound."""
-    parts = max(1, -(-items.count() // part_rows))
-    dealt = items.select(*names, F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(parts)).alias("part"))
+def underfull(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Per bin, whether it goes back: the roomiest bins, as few as hold nine tenths of all room; a full one never does."""
+    room = capacity - np.bincount(bins, weights=lengths).astype(np.int64)
+    order = np.argsort(-room, kind="stable")
+    total = np.cumsum(room[order])
+    back = np.zeros(len(room), bool)
+    back[order[: int(np.searchsorted(total, 0.9 * total[-1])) + 1]] = True
+    return back & (room > 0)
+
+
+def _pack_round(rows: DataFrame, turn: int, part_rows: int, capacity: int) -> DataFrame:
+    """Deal (row, length) to partitions and pack each: adds sequence_id, offset and ``back``.
+
+    ``back`` marks the rows of sequences that go back: the underfull ones of a partition over its bound, one of another; ``closed`` and ``opened``, on one
+    row of each partition, count the sequences that stay and those that go back.
+    """
+    parts = max(1, -(-rows.count() // part_rows))
+    # the rows come from files, so their running numbers are the same when a task runs again; equal rows fall apart
+    dealt = rows.select("row", "length", F.pmod(F.xxhash64(F.lit(turn), F.monotonically_increasing_id()), F.lit(parts)).alias("part"), F.monotonically_increasing_id().alias("number"))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), *((n, "ascending") for n in names if n != "length")])
         lengths = table["length"].to_numpy()
+        order = np.lexsort((table["number"].to_numpy(), -lengths))
+        table, lengths = table.take(pa.array(order)), lengths[order]
         bins, offsets = best_fit_decreasing(lengths, capacity)
         used = int(bins.max()) + 1
+        back = underfull(bins, lengths, capacity)
+        if used <= dual_feasible_bound(lengths, capacity):
+            # certified: alone it can't do better, and only its roomiest sequence may meet those of others
+            back &= (np.arange(used) == np.argmin(np.bincount(bins, weights=lengths))) & (parts > 1)
+        first = np.arange(len(bins)) == 0
         number = (np.int64(turn) << 56) + (table["part"].to_numpy() << 24) + bins
-        bound = dual_feasible_bound(lengths, capacity)
-        same = np.ones(len(bins), np.int64)
-        return table.select(names).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets)).append_column("bins", pa.array(same * used)).append_column("bound", pa.array(same * bound)).append_column("first", pa.array(np.arange(len(bins)) == 0))
+        added = {"sequence_id": number, "offset": offsets, "back": back[bins], "closed": first * int((~back).sum()), "opened": first * int(back.sum())}
+        table = table.select(["row", "length"])
+        for name, values in added.items():
+            table = table.append_column(name, pa.array(values))
+        return table
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in items.select(*names).dtypes] + ["sequence_id long", "offset long", "bins long", "bound long", "first boolean"])
+    schema = nullable(rows.select("row", "length", *[F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset")], F.lit(True).alias("back"), *[F.lit(0).cast("long").alias(c) for c in ("closed", "opened")]).schema)
     return cut(dealt.groupBy("part").applyInArrow(pack, schema))
 
 
 def pack_pieces(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to ``capacity``.
 
-    Offsets of a sequence are gapless from 0.  Repeated rows are packed each; an empty table stays empty.
+    Offsets of a sequence are gapless from 0.  Repeated rows are packed each; an empty table stays empty.  Only
+    ``sequence_id`` and ``offset`` may not be columns already; ``length`` must not be null.
     """
     prepare(items.sparkSession)
     names = items.columns
-    if {"sequence_id", "offset", "bins", "bound", "first", "part"} & set(names):
-        raise ValueError("a column has the name of one that packing adds")
-    done: list[DataFrame] = []
-    current = _pack_round(items, names, 0, part_rows, capacity)
+    if {"sequence_id", "offset"} & set(names):
+        raise ValueError("columns sequence_id and offset must be new")
+    rows = cut(items.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("length").cast("long").alias("length")))
+    packed = _pack_round(rows, 0, part_rows, capacity)
+    final = []
     for turn in range(1, rounds + 1):
-        gaps = current.where("bins > bound")
-        before = gaps.where("first").agg(F.sum("bins"), F.count(F.lit(1))).first()
-        if not before[0]:
+        opened = packed.agg(F.sum("opened")).first()[0]
+        if not opened:
             break
-        # gaps meet in half as many partitions: more to choose from, fewer last sequences
-        again = _pack_round(gaps.select(*names), names, turn, part_rows * 2**turn, capacity)
-        if again.where("first").agg(F.sum("bins")).first()[0] >= before[0]:
+        # what lies in underfull sequences meets anew; full ones are closed
+        again = _pack_round(packed.where("back").select("row", "length"), turn, part_rows, capacity)
+        used = again.agg(F.sum(F.col("closed") + F.col("opened"))).first()[0]
+        if used >= opened:
             break
-        done.append(current.where("bins <= bound"))
-        current = again
-    for d in done:
-        current = current.unionByName(d)
-    return current.select(*names, "sequence_id", "offset")
+        final.append(packed.where("not back"))
+        packed = again
+    for f in final:
+        packed = packed.unionByName(f)
+    return packed.select(*[F.col("row").getField(n).alias(n) for n in names], "sequence_id", "offset")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 4096."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_pieces(cut(token_pieces(docs)))
+    return pack_pieces(token_pieces(docs))
 
 
 QUERIES = {"op8_best_fit_packing": op8_best_fit_packing}

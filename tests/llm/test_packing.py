@@ -4,6 +4,8 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomtab.llm import packing as K
@@ -53,6 +55,34 @@ def test_exchange_saves_sequences(spark):
     assert check(exchanged, 1000) >= K.dual_feasible_bound(np.array(lengths), 1000)
 
 
+def test_full_sequences_stay_and_others_go_back():
+    lengths = np.array([10, 6, 4, 9, 5, 5, 3])
+    bins = np.array([0, 1, 1, 2, 3, 3, 4])
+    assert K.underfull(bins, lengths, 10).tolist() == [False, False, True, False, True]
+    assert not K.underfull(np.array([0]), np.array([10]), 10).any()
+
+
+def test_rows_fall_from_round_to_round(spark, monkeypatch):
+    r = random.Random(5)
+    lengths = [r.choice([400, 350, 333, 290, 10, 9]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    seen, plain = [], K._pack_round
+    monkeypatch.setattr(K, "_pack_round", lambda rows, *a: seen.append(rows.count()) or plain(rows, *a))
+    out = K.pack_pieces(df, 1000, part_rows=300).collect()
+    assert sorted((x.doc_id, x.length) for x in out) == list(enumerate(lengths))
+    check(out, 1000)
+    assert seen[0] == 3000 and len(seen) > 1 and all(b < a for a, b in zip(seen, seen[1:]))
+
+
+def test_clashing_names_and_equal_rows(spark):
+    df = spark.createDataFrame([(5, [1], 7)] * 90, "length int, part array<int>, row int").withColumn("back", F.lit("x")).withColumn("opened", F.lit(None).cast("int"))
+    out = K.pack_pieces(df, 10, part_rows=20)
+    assert out.columns == [*df.columns, "sequence_id", "offset"] and out.drop("sequence_id", "offset").exceptAll(df).isEmpty()
+    assert check(out.collect(), 10) <= 46
+    with pytest.raises(ValueError):
+        K.pack_pieces(df.withColumn("offset", F.lit(1)))
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "word " * 9000), (4, "a b"), (4, "a b"), (None, "x")]
     pieces = K.token_pieces(spark.createDataFrame(rows, "doc_id long, text string"))
