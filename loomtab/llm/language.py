@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import column, nullable, prepare, slices, text_bytes
-from .words import LOWER, SPACE, mix, prefix_hash, span_hash, word_spans
+from .words import LOWER, SPACE, gram_hash, mix, prefix_hash, word_spans
 
 NGRAMS = (5, 4, 3, 2, 1)
 #: Labelled rows that the model is fitted on at most, about; chosen by the hash of their id.
@@ -55,7 +55,7 @@ def _grams(h: np.ndarray, word: np.ndarray, at: np.ndarray, word_end: np.ndarray
     after = np.append(at, 0)[first + size]
     last = np.append(word, -1)[first + size] != word[first]
     stop = np.where(last, word_end[word[first]], after)
-    return first, mix(span_hash(h, at[first], stop) ^ np.uint64(size))
+    return first, mix(gram_hash(h, at[first], stop) ^ np.uint64(size))
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ class LanguageModel:
         docs, wide = len(offsets) - 1, len(self.langs)
         data, starts, ends, first = _letter_words(data, offsets)
         h = prefix_hash(data)
-        hashes = span_hash(h, starts, ends)
+        hashes = gram_hash(h, starts, ends)
         known, at = self._look(0, hashes)
         value = np.zeros((len(starts), wide))
         value[known] = self.logs[0][at[known]]
@@ -137,7 +137,7 @@ def count_features(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                 h = prefix_hash(data)
                 doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
                 word, pos = _char_spans(data, starts, ends)
-                found = [(0, span_hash(h, starts, ends), of[doc])]
+                found = [(0, gram_hash(h, starts, ends), of[doc])]
                 for size in NGRAMS:
                     i, gram = _grams(h, word, pos, ends, size)
                     found.append((size, gram, of[doc[word[i]]]))

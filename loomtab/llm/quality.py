@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import column, nullable, prepare, slices, text_bytes
-from .words import line_spans, mix, prefix_hash, span_hash, windows, word_spans
+from .words import line_spans, mix, span_hash, windows, word_spans
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -73,13 +73,9 @@ def _spans(t: Texts):
     return word_spans(t.data, t.offsets)
 
 
-def _prefix(t: Texts):
-    return prefix_hash(t.data)
-
-
 def _repeat_words(t: Texts) -> np.ndarray:
     starts, ends, first = t.spans
-    found, at, doc = windows(span_hash(t.prefix, starts, ends), first, WINDOW)
+    found, at, doc = windows(span_hash(t.data, starts, ends), first, WINDOW)
     if not len(found):
         return np.zeros(t.n, np.int64)
     keyed = found ^ mix(doc.astype(np.uint64) + np.uint64(1))
@@ -100,7 +96,7 @@ def _dup_lines(t: Texts) -> np.ndarray:
     begins = t.spans[0]
     has = np.searchsorted(begins, ends) > np.searchsorted(begins, starts)
     starts, ends, doc = starts[has], ends[has], doc[has]
-    return _later_equals(span_hash(t.prefix, starts, ends), doc, t.n)
+    return _later_equals(span_hash(t.data, starts, ends), doc, t.n)
 
 
 def _lines(t: Texts) -> np.ndarray:
@@ -114,7 +110,6 @@ _SPACE_WEIGHT[[0x20, *range(0x09, 0x0E)]] = 1
 
 _COMPUTE: dict[str, Callable[[Texts], object]] = {
     "spans": _spans,
-    "prefix": _prefix,
     "n_words": lambda t: np.diff(t.spans[2]),
     "word_chars": lambda t: np.diff(t.offsets) - _sums(_SPACE_WEIGHT, t.data, t.offsets) - _sums(_CONTINUED, t.data, t.offsets),
     "n_symbols": lambda t: _sums(_SYMBOL, t.data, t.offsets),
@@ -124,7 +119,7 @@ _COMPUTE: dict[str, Callable[[Texts], object]] = {
     "n_dup_lines": _dup_lines,
     "n_repeat_words": _repeat_words,
 }
-MEASURES = [k for k in _COMPUTE if k not in ("spans", "prefix")]
+MEASURES = [k for k in _COMPUTE if k != "spans"]
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

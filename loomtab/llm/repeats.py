@@ -1,50 +1,51 @@
-"""Long repeated byte strings by a run-length positional index.
+"""Long repeated byte strings by run-length indexes of content-chosen shards.
 
 A string of ``length`` bytes names one of its positions by content alone: the rightmost smallest gram hash in it,
-its *anchor*.  Equal strings have equal anchors at equal places, so the stretches around the anchors of one hash,
-aligned at the anchor, hold all that can repeat.  Equal stretches repeat as a whole.  The distinct stretches of an
-anchor go into a positional Burrows-Wheeler transform: column by column, the rows stay sorted by their reversed
-prefixes, and a column of the transform is a few runs of equal bytes.  The start of the match between neighbours
-is carried on inside a run; only run ends look further, by the largest start of the runs between.  So streamed,
-the matching statistics of every row are known at every column, and a match of ``length`` bytes marks its bytes.
+its *anchor*.  Equal strings have equal anchors at equal places, so the stretches around the anchors of one hash
+hold all that can repeat, and only anchors met twice or more are looked at.  Equal stretches are one *kind*.  The kinds of
+whole anchors are dealt to shards.  A shard's text holds each of its kinds, and one that was met more than once twice.
+Its Burrows-Wheeler transform is kept as runs, with the match to the neighbouring row sampled at both ends of each run.
+In text order the match shrinks by one from byte to byte until the next sample, so the matching statistics of all
+places stream off the samples; where they reach ``length``, a repeated string starts.  What is found for a kind holds
+for all its stretches.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import column, cut, prepare, shuffle_parts, slices, text_bytes, whole_groups
-from .words import mix, prefix_hash, span_hash
+from .runtime import BROADCAST_IDS, column, cut, nullable, prepare, rows_with, shuffle_parts, slices, text_bytes, whole_groups
+from .words import gram_hash, mix, prefix_hash, span_hash
 
 U = np.uint64
 GRAM = 32
 _POS_BITS = 28
-#: Distinct stretches of one anchor that are indexed together; beyond it every window is hashed and counted instead.
-GROUP_LIMIT = 30_000
-_PAD = 0xFF  # no byte of UTF-8
+#: Bytes of a text that are searched for anchors at once (positions must fit their bits).
+_CHUNK = 1 << 24
+#: Kinds of one key that may stand in a shard; a larger group is split by finer keys.  Parts of each split.
+GROUP_LIMIT, SPLIT = 2000, 8
+#: Kinds of a shard, about.
+SHARD_ROWS = 2500
+_SEPARATOR = 0xFF  # no byte of UTF-8
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(document, anchor position, first byte, end byte, gram hash, stretch hash) of every anchor of a batch.
-
-    The stretch runs from the first to the last string of ``length`` bytes that has this anchor.
-    """
+def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int):
     none = np.zeros(0, np.int64)
     n = len(data)
     starts = n - length + 1
     if starts <= 0:
-        return none, none, none, none, none.view(U), none.view(U)
+        return none, none, none, none, none.view(U)
     gram = min(GRAM, length)
     width = length - gram + 1
-    h = prefix_hash(data)
     at = np.arange(n - gram + 1)
-    g = span_hash(h, at, at + gram)
+    g = gram_hash(prefix_hash(data), at, at + gram)
     key = (g >> U(_POS_BITS) << U(_POS_BITS)) | (U(n) - at.astype(U))
     pad = -len(key) % width
     blocks = np.concatenate([key, np.full(pad, ~U(0))]).reshape(-1, width)
@@ -56,71 +57,131 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     inside = np.flatnonzero(np.arange(starts) + length <= offsets[1:][doc])
     where, doc = where[inside], doc[inside]
     if not len(inside):
-        return none, none, none, none, none.view(U), none.view(U)
+        return none, none, none, none, none.view(U)
     new = np.concatenate([[True], (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(where)) - 1
-    p, lo, hi = where[head], inside[head], inside[tail] + length
-    return doc[head], p, lo, hi, g[p], mix(span_hash(h, lo, hi) + (p - lo).astype(U))
-
-
-def repeated_windows(rows: np.ndarray, length: int) -> np.ndarray:
-    """For aligned rows [rows, columns] of bytes: [rows, columns - length + 1], true where the row's string of
-    ``length`` bytes from that column is also in another row there.  The bytes 0xFF of two rows count as equal."""
-    m, wide = rows.shape
-    found = np.zeros((wide - length + 1, m), bool)
-    if m < 2:
-        return found.T
-    columns = np.ascontiguousarray(rows.T)
-    order = np.arange(m)
-    start = np.zeros(m, np.int32)
-    start[0] = 1
-    for j in range(wide):
-        c = columns[j][order]
-        head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        if len(head) > 1:
-            # runs of the transform: at a run's first row, the match reaches back to the last run of the same byte
-            largest = np.maximum.reduceat(start, head)
-            symbol = c[head]
-            by = np.argsort(symbol, kind="stable")
-            again = np.flatnonzero(symbol[by][1:] == symbol[by][:-1])
-            new = np.full(len(head), j + 1, np.int32)
-            if len(again):
-                cur, prev = by[again + 1], by[again]
-                low = prev + 1
-                span = cur - low
-                level, table, best = 0, largest, np.zeros(len(cur), np.int32)
-                logs = np.frexp(np.maximum(span, 1).astype(np.float32))[1] - 1
-                for level in range(int(logs.max()) + 1):
-                    own = np.flatnonzero(logs == level)
-                    if len(own):
-                        best[own] = np.maximum(table[low[own]], table[cur[own] - (1 << level)])
-                    step = 1 << level
-                    table = np.maximum(table[:-step], table[step:]) if len(table) > step else table
-                new[cur] = np.maximum(best, start[head[cur]])
-            start[head] = new
-            move = np.argsort(c, kind="stable")
-            order, start = order[move], start[move]
-        else:
-            start[0] = j + 1
-        if j + 1 >= length:
-            long = start <= j + 1 - length
-            long[0] = False
-            k = np.flatnonzero(long)
-            if len(k):
-                s = j + 1 - length
-                found[s, order[k]] = True
-                found[s, order[k - 1]] = True
-    return found.T
-
-
-def _runs(flags: np.ndarray):
-    """(row, first, last + 1) of each run of true in a matrix of booleans."""
-    edge = np.zeros((flags.shape[0], flags.shape[1] + 2), np.int8)
-    edge[:, 1:-1] = flags
-    step = np.diff(edge, axis=1)
-    row, first = np.nonzero(step == 1)
-    return row, first, np.nonzero(step == -1)[1]
+    p = where[head]
+    return doc[head], p, inside[head], inside[tail] + length, g[p]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
+    """(document, anchor position, first byte, end byte, gram hash, stretch hash) of every anchor of a batch.
+
+    The stretch runs from the first to the last string of ``length`` bytes that has this anchor.  A very long text is
+    searched in overlapping chunks; each string lies in one of them.
+    """
+    if len(data) <= _CHUNK:
+        doc, p, lo, hi, g = _anchors_of(data, offsets, length)
+    else:
+        found = []
+        for a in range(0, len(data), _CHUNK):
+            b = min(len(data), a + _CHUNK + length - 1)
+            own = np.clip(offsets, a, b) - a
+            doc, p, lo, hi, g = _anchors_of(data[a:b], own, length)
+            found.append((doc, p + a, lo + a, hi + a, g))
+        doc, p, lo, hi, g = (np.concatenate(x) for x in zip(*found, strict=True))
+    return doc, p, lo, hi, g, mix(span_hash(data, lo, hi) + (p - lo).astype(U))
+
+
+# ---- the run-length index -----------------------------------------------------------------------------------
+
+
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of all suffixes in their order, the first 8 bytes from each place): by prefix doubling of open groups."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
+    key = np.zeros(n, U)
+    for j in range(8):
+        key = key << U(8) | padded[j : j + n]
+    order = np.argsort(key)
+    live = np.arange(n)
+    ranked = key[order]
+    rank = np.zeros(n, np.int64)
+    width = 8
+    while True:
+        head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        place = np.arange(len(live))
+        rank[order[live]] = live[np.maximum.accumulate(np.where(head, place, 0))]
+        live = live[~(head & np.append(head[1:], True))]
+        if not len(live):
+            return order, key
+        pos = order[live]
+        then = pos + width
+        follow = np.where(then < n, rank[np.minimum(then, n - 1)] + n + 1, n - pos)  # of two that end, the shorter is first
+        both = rank[pos].astype(U) << U(32) | follow.astype(U)
+        by = np.argsort(both)
+        order[live], ranked = pos[by], both[by]
+        width *= 2
+
+
+def _common(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the match between the suffixes at a and at b."""
+    n = len(key)
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    far = np.maximum(a, b)
+    while len(live):
+        at = out[live]
+        x = key[a[live] + at] ^ key[b[live] + at]
+        same = np.zeros(len(live), np.int64)
+        for j in range(8):
+            same += x >> U(56 - 8 * j) == 0
+        out[live] += same
+        live = live[(same == 8) & (far[live] + at + 8 < n)]
+    return np.minimum(out, n - far)  # behind the end, nothing matches
+
+
+@dataclass(frozen=True)
+class RunLengthIndex:
+    """Runs of the transform, and for both ends of each run its text position and the match with the next row outside."""
+
+    size: int
+    symbols: np.ndarray
+    lengths: np.ndarray
+    heads: np.ndarray
+    head_matches: np.ndarray
+    tails: np.ndarray
+    tail_matches: np.ndarray
+
+    def matching_statistics(self) -> np.ndarray:
+        """For every place of the text, the longest string from there that also starts elsewhere."""
+        return np.maximum(self._stream(self.heads, self.head_matches), self._stream(self.tails, self.tail_matches))
+
+    def _stream(self, places: np.ndarray, matches: np.ndarray) -> np.ndarray:
+        at, value = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        at[places], value[places] = places, matches
+        np.maximum.accumulate(at, out=at)
+        return value[at] - (np.arange(self.size) - at)
+
+
+def run_length_index(text: np.ndarray) -> RunLengthIndex:
+    """The index of a text of at least one byte and less than 2**31."""
+    order, key = suffix_order(text)
+    symbol = text[order - 1].astype(np.int16)
+    symbol[order == 0] = -1  # before the first byte stands a symbol of its own, so the first place is sampled
+    change = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+    first, last = np.concatenate([[0], change]), np.append(change, len(text)) - 1
+    matches = np.concatenate([[0], _common(key, order[change - 1], order[change]), [0]])
+    return RunLengthIndex(len(text), symbol[first], last - first + 1, order[first], matches[:-1], order[last], matches[1:])
+
+
+def repeated_starts(blobs: list[bytes], twice: np.ndarray, length: int):
+    """(blob, offset) of every string of ``length`` bytes in the blobs that also starts elsewhere in them.
+
+    A blob with ``twice`` stands for several copies and goes into the text a second time.
+    """
+    text = np.frombuffer(bytes([_SEPARATOR]).join([*blobs, *(b for b, t in zip(blobs, twice.tolist(), strict=True) if t), b""]), np.uint8)
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    found = run_length_index(text).matching_statistics()
+    count = np.maximum(size - length + 1, 0)
+    blob = np.repeat(np.arange(len(blobs)), count)
+    offset = np.arange(len(blob)) - np.repeat(np.cumsum(count) - count, count)
+    ok = found[(np.cumsum(size + 1) - size - 1)[blob] + offset] >= length
+    return blob[ok], offset[ok]
+
+
+# ---- the job ------------------------------------------------------------------------------------------------
 
 
 def _stretches(docs: DataFrame, length: int) -> DataFrame:
@@ -135,111 +196,118 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
                 arrays = [uid, pa.array(g.view(np.int64)), pa.array(s.view(np.int64)), pa.array(p - offsets[doc]), pa.array((p - lo).astype(np.int32)), pa.array((hi - p).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["uid", "anchor", "stretch", "pos", "left", "right"])
 
-    return docs.mapInArrow(run, "uid long, anchor long, stretch long, pos long, left int, right int")
+    return docs.mapInArrow(run, "uid binary, anchor long, stretch long, pos long, left int, right int")
 
 
-def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, uid, pos, left, alone, bytes): the bytes of the wanted stretches, looked up in their documents."""
-    place = F.struct("anchor", "pos", "left", "right", "alone")
-    by_doc = wanted.groupBy("uid").agg(F.collect_list(place).alias("places"))  # at most a document's anchors
+_UNIT = "key long, sub long, twice boolean, lead int, bytes binary"
+
+
+def _units(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(key, sub, twice, lead, bytes): the bytes of one stretch of each kind, looked up in a document that has it."""
+    place = F.struct("anchor", "stretch", "twice", "pos", "left", "right")
+    by_doc = kinds.groupBy("uid").agg(F.collect_list(place).alias("places"))  # at most a document's anchors
     # a row that stands in the table several times serves its stretches once
-    joined = docs.join(by_doc, "uid").dropDuplicates(["uid"]).select("uid", "places", "text")
+    joined = rows_with(docs, cut(by_doc), "uid").select("uid", "places", "text").dropDuplicates(["uid"]).select("places", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 data, offsets = text_bytes(column(part, "text"))
                 blob = data.tobytes()
-                places = part.column(1)
-                if isinstance(places, pa.ChunkedArray):
-                    places = places.combine_chunks()
+                places = part.column(0)
                 flat = places.flatten()
-                anchor, pos, left, right, alone = (flat.field(i) for i in range(5))
+                anchor, stretch, twice, pos, left, right = (flat.field(i) for i in range(6))
                 row = np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy()))
                 a = offsets[row] + pos.to_numpy() - left.to_numpy()
                 b = offsets[row] + pos.to_numpy() + right.to_numpy()
+                lead = pa.array(-left.to_numpy())
                 for k in range(0, len(a), 5000):
                     piece = pa.array([blob[x:y] for x, y in zip(a[k : k + 5000].tolist(), b[k : k + 5000].tolist(), strict=True)], pa.binary())
-                    cols = [anchor[k : k + 5000], part.column(0).take(pa.array(row[k : k + 5000])), pos[k : k + 5000], left[k : k + 5000], alone[k : k + 5000], piece]
-                    yield pa.RecordBatch.from_arrays(cols, names=["anchor", "uid", "pos", "left", "alone", "bytes"])
+                    yield pa.RecordBatch.from_arrays([*(x[k : k + 5000] for x in (anchor, stretch, twice, lead)), piece], names=["key", "sub", "twice", "lead", "bytes"])
 
-    return joined.mapInArrow(run, "anchor long, uid long, pos long, left int, alone boolean, bytes binary")
+    return joined.mapInArrow(run, _UNIT)
 
 
-def _index_spans(stretches: DataFrame, length: int) -> DataFrame:
-    """(uid, first, last): repeated bytes of the stretches that are alone of their kind, by the positional index."""
-    gram = min(GRAM, length)
-    reach = length - gram
-    dealt = stretches.repartition(shuffle_parts(stretches.sparkSession), "anchor").sortWithinPartitions("anchor", "uid", "pos")
+def _indexed(units: DataFrame, length: int) -> DataFrame:
+    """(key, sub, first, last): repeated bytes of each unit, from its anchor on, by the index of its shard."""
+    dealt = units.repartition(shuffle_parts(units.sparkSession), "key").sortWithinPartitions("key", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 1, 8000):
-            uid, pos, left = (table[c].to_numpy() for c in ("uid", "pos", "left"))
-            alone = table["alone"].to_numpy(zero_copy_only=False)
-            blobs = table["bytes"].to_pylist()
-            size = np.fromiter(map(len, blobs), np.int64, len(blobs))
-            rows = np.full((len(blobs), reach + length), _PAD, np.uint8)
-            total = np.cumsum(size)
-            column_at = np.arange(int(total[-1])) - np.repeat(total - size, size) + np.repeat(reach - left, size)
-            rows[np.repeat(np.arange(len(blobs)), size), column_at] = np.frombuffer(b"".join(blobs), np.uint8)
-            hit = repeated_windows(rows, length)
-            at = np.arange(hit.shape[1])
-            begin = (reach - left)[:, None]
-            hit &= alone[:, None] & (at >= begin) & (at + length <= begin + size[:, None])
-            row, first, last = _runs(hit)
-            base = (pos - reach)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(base + first), pa.array(base + last - 1 + length)], names=["uid", "first", "last"])
-
-    return dealt.mapInArrow(run, "uid long, first long, last long")
-
-
-def _counted_spans(stretches: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many distinct stretches: every window hashed, equal hashes counted by a shuffle."""
+        for table in whole_groups(batches, 1, SHARD_ROWS):
+            key, sub, lead = (table[c].to_numpy() for c in ("key", "sub", "lead"))
+            blob, offset = repeated_starts(table["bytes"].to_pylist(), table["twice"].to_numpy(zero_copy_only=False), length)
+            head = np.flatnonzero(np.concatenate([[True], (blob[1:] != blob[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(blob) else np.zeros(0, np.int64)
+            tail = np.append(head[1:], len(blob)) - 1 if len(blob) else head
+            row = blob[head]
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(sub[row]), pa.array(lead[row] + offset[head]), pa.array(lead[row] + offset[tail] + length)], names=["key", "sub", "first", "last"])
+
+    return dealt.mapInArrow(run, "key long, sub long, first long, last long")
+
+
+def _split(units: DataFrame, length: int, width: int) -> DataFrame:
+    """(key2, sub2) and the unit's own columns: each unit cut into the strings whose anchor lies in one of ranges of ``width``.
+
+    All strings of a range hold the bytes between its latest start and its earliest end, so equal ones agree in them;
+    their hash is the finer key.  In a range of one place these bytes are the whole string.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "bytes", 1 << 20):
+            for part in slices(batch, "bytes", 1 << 18):
                 data, offsets = text_bytes(column(part, "bytes"))
-                h = prefix_hash(data)
-                count = np.maximum(np.diff(offsets) - length + 1, 0)
-                row = np.repeat(np.arange(len(count)), count)
-                i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                a = offsets[row] + i
-                uid, pos, left = (column(part, c).to_numpy() for c in ("uid", "pos", "left"))
-                alone = column(part, "alone").to_numpy(zero_copy_only=False)
-                hashes = span_hash(h, a, a + length)
-                other = mix(hashes ^ span_hash(h, a, a + length // 2))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(other.view(np.int64)), pa.array(uid[row]), pa.array(pos[row] - left[row] + i), pa.array(alone[row])], names=["h1", "h2", "uid", "first", "alone"])
-
-    windows = stretches.mapInArrow(run, "h1 long, h2 long, uid long, first long, alone boolean")
-    counts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return windows.join(counts, ["h1", "h2"]).where("alone").select("uid", "first", (F.col("first") + length).alias("last"))
-
-
-def repeated_spans(docs: DataFrame, length: int, shared: DataFrame | None = None) -> DataFrame:
+                left = -column(part, "lead").to_numpy().astype(np.int64)
+                least = np.maximum(length - (np.diff(offsets) - left), 0)  # an anchor's place in its strings: from least to left
+                from_, to = least // width, left // width
+                count = to - from_ + 1
+                row = np.repeat(np.arange(len(left)), count)
+                part_no = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + from_[row]
+                a = part_no * width
+                high, low = np.minimum(left[row], a + width - 1), np.maximum(least[row], a)
+                zero = offsets[row] + left[row]  # the anchor
+                core = span_hash(data, zero - a, zero - (a + width - 1) + length)
+                lo, hi = zero - high, zero - low + length
+                key2 = mix(core ^ mix(column(part, "key").to_numpy().view(U)[row] + part_no.astype(U)))
+                sub2 = mix(span_hash(data, lo, hi) + high.astype(U))
+                blob = data.tobytes()
+                take = pa.array(row)
+                own = [column(part, c).take(take) for c in ("key", "sub", "twice")]
+                bytes_ = pa.array([blob[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key2.view(np.int64)), pa.array(sub2.view(np.int64)), *own, pa.array((-high).astype(np.int32)), bytes_], names=["key2", "sub2", "key", "sub", "twice", "lead", "bytes"])
+
+    return units.mapInArrow(run, "key2 long, sub2 long, key long, sub long, twice boolean, lead int, bytes binary")
+
+
+def _found(units: DataFrame, length: int, width: int) -> DataFrame:
+    """(key, sub, first, last) of all units; ``width`` is the number of places an anchor may have under one key."""
+    units = cut(units)
+    large = cut(units.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > GROUP_LIMIT).select("key"))
+    if width == 1 or large.isEmpty():
+        return _indexed(units, length)
+    finer = -(-width // SPLIT)
+    parts = cut(_split(rows_with(units, large, "key").select(*units.columns), length, finer))
+    # units that agree in a range are one unit there
+    merged = parts.groupBy("key2", "sub2").agg((F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
+    inner = _found(merged.select(F.col("key2").alias("key"), F.col("sub2").alias("sub"), "twice", "lead", "bytes"), length, finer)
+    back = parts.select("key2", "sub2", "key", "sub").join(inner.select(F.col("key").alias("key2"), F.col("sub").alias("sub2"), "first", "last"), ["key2", "sub2"]).select("key", "sub", "first", "last")
+    return _indexed(units.join(large, "key", "left_anti").select(*units.columns), length).unionByName(back)
+
+
+def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(uid, spans): for each text with bytes to remove, its [first, last) spans, in no order, overlapping.
 
     ``docs`` has columns uid and text; rows of one uid have one text.
     """
-    # counted before any anchor's rows meet: an anchor of a third of all texts is a row for each task and stretch here,
-    # and the two joins can be split where one key is large
-    seen = _stretches(docs, length)
-    by_stretch = seen.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"))
-    by_anchor = by_stretch.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").drop("total")
-    counted = cut(by_stretch.join(by_anchor, "anchor"))
-    dup = cut(seen.join(counted, ["anchor", "stretch"]).select("uid", "anchor", "stretch", "pos", "left", "right", "n", "kinds"))
-    whole = dup.where("n > 1").select("uid", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
-    place = ["uid", "pos", "left", "right"]
-    single = dup.where("n = 1 and kinds > 1").select("anchor", "kinds", *place, F.lit(True).alias("alone"))
-    chosen = dup.where("n > 1 and kinds > 1").groupBy("anchor", "stretch", "kinds").agg(F.min(F.struct(*place)).alias("at"))
-    one = single.unionByName(chosen.select("anchor", "kinds", "at.*", F.lit(False).alias("alone")))
-    source = docs if shared is None else shared
-    some = _with_bytes(source, one.where(F.col("kinds") <= GROUP_LIMIT))
-    spans = whole.unionByName(_index_spans(some, length))
-    many = one.where(F.col("kinds") > GROUP_LIMIT)
-    if not many.isEmpty():
-        spans = spans.unionByName(_counted_spans(_with_bytes(source, many), length))
-    return spans.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # at most a document's bytes
+    seen = cut(_stretches(docs, length))
+    # counted before any anchor's rows meet: an anchor of a third of all texts is one row for each task and kind here
+    by_kind = seen.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "pos", "left", "right")).alias("at"))
+    by_anchor = by_kind.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
+    kinds = cut(by_kind.join(by_anchor, "anchor").select("anchor", "stretch", (F.col("n") > 1).alias("twice"), "at.*"))
+    marks = _found(_units(docs, kinds), length, length - min(GRAM, length) + 1)
+    # at most a stretch's strings
+    per_kind = cut(marks.groupBy(F.col("key").alias("anchor"), F.col("sub").alias("stretch")).agg(F.collect_list(F.struct("first", "last")).alias("marks")))
+    hits = rows_with(seen.select("uid", "anchor", "stretch", "pos"), per_kind, ["anchor", "stretch"])
+    placed = hits.select("uid", F.transform("marks", lambda m: F.struct((F.col("pos") + m["first"]).alias("first"), (F.col("pos") + m["last"]).alias("last"))).alias("spans"))
+    return placed.groupBy("uid").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # at most a document's bytes
 
 
 def _cut_out(data: bytes, spans) -> tuple[bytes, int, int]:
@@ -255,39 +323,38 @@ def _cut_out(data: bytes, spans) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.withColumn("_uid", F.xxhash64(F.col(f"`{id_col}`"), body))
-
-
-def _marked(df: DataFrame, id_col: str, text: str, length: int, carry: list[str]) -> DataFrame:
-    """``carry`` columns, text and spans of every row; the texts are dealt by uid once for both uses."""
-    parts = shuffle_parts(df.sparkSession)
-    keyed = _keyed(df, id_col, text).select(F.col("_uid").alias("uid"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *carry)
-    shared = keyed.repartition(parts, "uid")
-    spans = repeated_spans(keyed.select("uid", "text"), length, shared.select("uid", "text"))
-    return shared.join(spans, "uid", "left")
+def _marked(df: DataFrame, length: int) -> DataFrame:
+    """Columns of ``df`` (with id and text) and the spans of every row."""
+    keyed = df.withColumn("text", F.coalesce("text", F.lit("")))
+    uid = F.unhex(F.md5(F.concat(F.col("text").cast("binary"), F.lit(b"\0"), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))))
+    keyed = keyed.withColumn("uid", uid)
+    spans = cut(repeated_spans(keyed.select("uid", "text"), length))
+    rows, items = spans.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
+    if rows <= BROADCAST_IDS and (items or 0) <= 10 * BROADCAST_IDS:
+        spans = F.broadcast(spans)
+    return keyed.join(spans, "uid", "left").drop("uid")
 
 
 def repeat_report(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts anywhere else, in the same text or
     another, overlaps included; strings never cross texts.  A null text counts as empty; repeated rows are copies
-    of each other.
+    of each other.  ``text`` is what is left, without characters of which a byte was removed.
     """
     prepare(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
-    marked = _marked(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", length, ["id"]).select("id", "text", "spans")
+    marked = _marked(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), length).select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text").cast(pa.binary()).to_pylist()
             out = [(len(t), *_cut_out(t, s)) for t, s in zip(texts, column(batch, "spans").to_pylist(), strict=True)]
             arrays = [batch.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in (0, 2, 3)), pa.array([hashlib.sha256(o[1]).hexdigest() for o in out], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            left = pa.array([o[1].decode(errors="ignore") for o in out], pa.string())
+            yield pa.RecordBatch.from_arrays([*arrays, left], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return marked.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
@@ -298,7 +365,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
     prepare(df.sparkSession)
     rest = [c for c in df.columns if c != text]
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{text}`").isNull().alias("none"))
-    marked = _marked(packed, "id", "text", length, ["row", "none"]).select("row", "none", "text", "spans")
+    marked = _marked(packed, length).select("row", "none", "text", "spans")
     schema = marked.select("row", "text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,14 +374,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
             left = [None if gone else _cut_out(t, s)[0].decode(errors="ignore") for t, s, gone in zip(texts, column(batch, "spans").to_pylist(), none, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["row", "text"])
 
-    from .runtime import nullable
-
     out = marked.mapInArrow(run, nullable(schema))
     return out.select(*[F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op6_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated 400-byte strings: counts and a digest."""
+    """Every document without its repeated 400-byte strings: counts, a digest and the text that is left."""
     return repeat_report(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -140,7 +140,7 @@ def whole_groups(batches, keys: int, rows: int) -> Iterator[pa.Table]:
 BROADCAST_IDS = 200_000
 
 
-def rows_with(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def rows_with(df: DataFrame, wanted: DataFrame, key: str | list[str]) -> DataFrame:
     """Inner join of ``df`` with ``wanted`` on ``key``: by broadcast if ``wanted`` is counted to be small."""
     from pyspark.sql import functions as F
 

@@ -98,3 +98,12 @@ def test_against_sql(spark, sf):
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     want = con.sql(J.ORACLES["op5_jaccard_join"])
     assert got == sorted(want.select("component_id, doc_id, n_shingles").fetchall())
+
+
+def test_regular_words_that_differ(spark):
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, " ".join([a, b] * 40)), (4, " ".join([b, a] * 39 + [b])), (5, f"{a} {a} {b} {b} {a}")]
+    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)

@@ -73,3 +73,23 @@ def test_short_circuit():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert Q.quality_report(df).count() == 0 and Q.quality_filter(df).count() == 0
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_regular_strings_that_differ(spark):
+    """Strings on which a polynomial hash modulo a power of two collides are different lines and words."""
+    a, b = thue_morse(1024)
+    lines, words = "\n".join([a, b]), " ".join([a, b] * 4 + [b, a] * 4)
+    rows = [(1, lines), (2, words), (3, "\n".join([a, a, b]))]
+    got = {r.doc_id: r for r in Q.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_dup_lines, got[3].n_dup_lines) == (0, 1)
+    w = words.split()
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
+    assert got[2].n_repeat_words == len(covered)

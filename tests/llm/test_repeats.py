@@ -26,6 +26,11 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
+def plain(df):
+    assert all(r.text is not None for r in df.collect())
+    return sorted(map(tuple, df.drop("text").collect()), key=str)
+
+
 def make(seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 6)))
@@ -44,34 +49,60 @@ def make(seed):
     return list(enumerate(texts, 1))
 
 
-def test_windows_of_aligned_rows():
-    r = np.random.default_rng(2)
-    for _ in range(40):
-        m, wide, length = int(r.integers(1, 30)), int(r.integers(8, 30)), int(r.integers(2, 8))
-        rows = r.integers(97, 99, (m, wide)).astype(np.uint8)
-        for i in range(1, m):
-            if r.random() < 0.6:
-                rows[i] = rows[r.integers(0, i)]
-                rows[i, r.integers(0, wide)] = r.integers(97, 100)
-        got = R.repeated_windows(rows, length)
-        for s in range(wide - length + 1):
-            strings = [x.tobytes() for x in rows[:, s : s + length]]
-            assert got[:, s].tolist() == [strings.count(x) > 1 for x in strings]
+def test_index_against_brute_force():
+    r = random.Random(2)
+    for _ in range(150):
+        text = bytes(r.choice(b"ab\x00\xff") for _ in range(r.randint(1, 40)))
+        if r.random() < 0.5:
+            text = text * r.randint(1, 4) + text[: r.randint(0, 10)]
+        index = R.run_length_index(np.frombuffer(text, np.uint8))
+        assert index.lengths.sum() == len(text)
+        want = [max([n for j in range(len(text)) if j != i for n in [next((k for k in range(len(text) - max(i, j)) if text[i + k] != text[j + k]), len(text) - max(i, j))]], default=0) for i in range(len(text))]
+        assert index.matching_statistics().tolist() == want
+    assert len(R.run_length_index(np.frombuffer(b"abcde" * 400, np.uint8)).symbols) < 12  # repeats are runs
 
 
-@pytest.mark.parametrize(("seed", "length", "limit"), [(1, 60, None), (2, 60, 2), (3, 100, None), (4, 20, None)])
+@pytest.mark.parametrize(("seed", "length", "limit"), [(1, 60, None), (2, 60, 2), (5, 33, 1), (3, 100, None), (4, 20, None), (6, 100, 1)])
 def test_against_brute_force(spark, monkeypatch, seed, length, limit):
     if limit:
         monkeypatch.setattr(R, "GROUP_LIMIT", limit)
     rows = make(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, R.repeat_report(df, length=length).collect()), key=str) == brute(rows, length)
+    assert plain(R.repeat_report(df, length=length)) == brute(rows, length)
+
+
+def test_chunks_of_a_long_text(spark, monkeypatch):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(3000)) + passage + "x" * (i * 7)) for i in range(3)]
+    blob = np.frombuffer(rows[1][1].encode(), np.uint8)
+    whole = R.anchors(blob, np.array([0, len(blob)]), 100)
+    monkeypatch.setattr(R, "_CHUNK", 700)
+    parts = R.anchors(blob, np.array([0, len(blob)]), 100)
+    assert set(whole[1].tolist()) == set(parts[1].tolist())  # positions are the same, stretches may be cut
+    found = R._marked(spark.createDataFrame(rows, "id long, text string"), 100).collect()
+    assert {len(x.spans or []) > 0 for x in found} == {True}
+    assert plain(R.repeat_report(spark.createDataFrame(rows, "doc_id long, text string"), length=100)) == brute(rows, 100)
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_regular_strings_that_differ(spark):
+    a, b = thue_morse(4096)
+    rows = [(1, "start " + a + " middle"), (2, "other " + b + " middle, end"), (3, a[:2048] + "z" + b[:2048])]
+    for length in (1024, 3000):
+        assert plain(R.repeat_report(spark.createDataFrame(rows, "doc_id long, text string"), length=length)) == brute(rows, length)
 
 
 def test_odd_rows(spark):
     rows = [(1, "a repeated row, long enough to count here"), (1, "a repeated row, long enough to count here"), (None, "a repeated row, long enough to be other"), (1, "another text of the same id, which stays")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, R.repeat_report(df, length=20).collect()), key=str) == brute(rows, 20)
+    assert plain(R.repeat_report(df, length=20)) == brute(rows, 20)
     assert R.repeat_report(df.limit(0)).count() == 0
 
 
@@ -87,4 +118,4 @@ def test_removal_keeps_columns_and_characters(spark):
 
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert sorted(map(tuple, R.op6_run_length_repeats(spark, sf).collect()), key=str) == brute(rows, 400)
+    assert plain(R.op6_run_length_repeats(spark, sf)) == brute(rows, 400)
