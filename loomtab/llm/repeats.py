@@ -2,9 +2,9 @@
 
 A string of ``length`` bytes names one of its positions by content alone: the rightmost smallest gram hash in it,
 its *anchor*.  Equal strings have equal anchors at equal places, so the stretches around the anchors of one hash
-hold all that can repeat, and only anchors met twice or more are looked at.  Equal stretches are one *kind*.  The kinds of
-whole anchors are dealt to shards.  A shard's text holds each of its kinds, and one that was met more than once twice.
-Its Burrows-Wheeler transform is kept as runs, with the match to the neighbouring row sampled at both ends of each run.
+hold all that can repeat, and only anchors met twice or more are looked at.  Equal stretches are one *kind*; a kind met
+twice repeats whole.  What an anchor's different kinds share is found by an index: the kinds of whole anchors are dealt to
+shards, whose text holds each once.  Its Burrows-Wheeler transform is kept as runs, with the match to the neighbouring row sampled at both ends of each run.
 In text order the match shrinks by one from byte to byte until the next sample, so the matching statistics of all
 places stream off the samples; where they reach ``length``, a repeated string starts.  What is found for a kind holds
 for all its stretches.
@@ -30,9 +30,9 @@ _POS_BITS = 28
 #: Bytes of a text that are searched for anchors at once (positions must fit their bits).
 _CHUNK = 1 << 24
 #: Kinds of one key that may stand in a shard; a larger group is split by finer keys.  Parts of each split.
-GROUP_LIMIT, SPLIT = 2000, 8
-#: Kinds of a shard, about.
-SHARD_ROWS = 2500
+GROUP_LIMIT, SPLIT = 500, 8
+#: Kinds of a shard, about; anchors, or kinds with their places, that are sent to every executor at most (some 50 bytes each).
+SHARD_ROWS, BROADCAST_KINDS = 500, 1_000_000
 _SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -87,32 +87,81 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
 # ---- the run-length index -----------------------------------------------------------------------------------
 
 
+#: Four-byte grams of which the smallest names a sampled place; with them 15 bytes decide it, and 16 are compared first.
+_WINDOW = 12
+
+
+def _groups(ranked: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot of the first of each run of equal values, whether the run has several) of sorted values."""
+    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    return slot[np.maximum.accumulate(np.where(head, np.arange(len(slot)), 0))], ~(head & np.append(head[1:], True))
+
+
+def _samples(key: np.ndarray) -> np.ndarray:
+    """For every place, that of the smallest of its next grams: the same for two places that agree in 15 bytes."""
+    n = len(key)
+    if n < _WINDOW:
+        return np.arange(n)
+    mask = (U(1) << U(32)) - U(1)
+    grams = (key >> U(32)) * U(0x9E3779B97F4A7C15) & ~mask | np.arange(n, dtype=U)
+    blocks = np.concatenate([grams, np.full(-n % _WINDOW, ~U(0))]).reshape(-1, _WINDOW)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    own = n - _WINDOW + 1
+    least = np.minimum(after[:own], before[_WINDOW - 1 : _WINDOW - 1 + own])
+    return np.concatenate([(least & mask).astype(np.int64), np.arange(own, n)])
+
+
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of all suffixes in their order, the first 8 bytes from each place): by prefix doubling of open groups."""
+    """(starts of all suffixes in their order, the first 8 bytes from each place).
+
+    Sorted are 16 bytes of each suffix, then what follows from content-chosen sampled places on, by prefix doubling over
+    these alone: two suffixes that agree in 16 bytes reach such a place after equally many.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
     key = np.zeros(n, U)
     for j in range(8):
         key = key << U(8) | padded[j : j + n]
     order = np.argsort(key)
-    live = np.arange(n)
-    ranked = key[order]
+    slot = np.arange(n)
+    group, open_ = _groups(key[order], slot)
     rank = np.zeros(n, np.int64)
-    width = 8
+    rank[order] = group
+
+    def refine(follow) -> None:
+        """Sort the open groups by ``follow`` of their places."""
+        nonlocal slot, group, open_
+        slot, group = slot[open_], group[open_]
+        pos = order[slot]
+        both = group.astype(U) << U(32) | follow(pos).astype(U)
+        by = np.argsort(both)
+        pos = pos[by]
+        order[slot] = pos
+        group, open_ = _groups(both[by], slot)
+        rank[pos] = group
+
+    # of two that end within 8 bytes, the shorter is first
+    refine(lambda pos: np.where(pos + 8 < n, rank[np.minimum(pos + 8, n - 1)] + n + 1, n - pos))
+    if not open_.any():
+        return order, key
+    sample = _samples(key)
+    chosen = np.zeros(n, bool)
+    chosen[sample] = True
+    places = np.flatnonzero(chosen)
+    number = np.cumsum(chosen) - 1
+    then = number[sample[np.minimum(places + 1, n - 1)]]
+    level = rank[places]
     while True:
-        head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        place = np.arange(len(live))
-        rank[order[live]] = live[np.maximum.accumulate(np.where(head, place, 0))]
-        live = live[~(head & np.append(head[1:], True))]
-        if not len(live):
-            return order, key
-        pos = order[live]
-        then = pos + width
-        follow = np.where(then < n, rank[np.minimum(then, n - 1)] + n + 1, n - pos)  # of two that end, the shorter is first
-        both = rank[pos].astype(U) << U(32) | follow.astype(U)
+        both = level.astype(U) << U(32) | level[then].astype(U)
         by = np.argsort(both)
-        order[live], ranked = pos[by], both[by]
-        width *= 2
+        both = both[by]
+        level[by] = np.cumsum(np.concatenate([[0], both[1:] != both[:-1]]))
+        if level[by[-1]] == len(places) - 1:
+            break
+        then = then[then]
+    refine(lambda pos: level[number[sample[pos]]])
+    return order, key
 
 
 def _common(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,12 +215,9 @@ def run_length_index(text: np.ndarray) -> RunLengthIndex:
     return RunLengthIndex(len(text), symbol[first], last - first + 1, order[first], matches[:-1], order[last], matches[1:])
 
 
-def repeated_starts(blobs: list[bytes], twice: np.ndarray, length: int):
-    """(blob, offset) of every string of ``length`` bytes in the blobs that also starts elsewhere in them.
-
-    A blob with ``twice`` stands for several copies and goes into the text a second time.
-    """
-    text = np.frombuffer(bytes([_SEPARATOR]).join([*blobs, *(b for b, t in zip(blobs, twice.tolist(), strict=True) if t), b""]), np.uint8)
+def repeated_starts(blobs: list[bytes], length: int):
+    """(blob, offset) of every string of ``length`` bytes in the blobs that also starts elsewhere in them."""
+    text = np.frombuffer(bytes([_SEPARATOR]).join([*blobs, b""]), np.uint8)
     size = np.fromiter(map(len, blobs), np.int64, len(blobs))
     found = run_length_index(text).matching_statistics()
     count = np.maximum(size - length + 1, 0)
@@ -205,13 +251,20 @@ _UNIT = "key long, sub long, twice boolean, lead int, bytes binary"
 def _units(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """(key, sub, twice, lead, bytes): the bytes of one stretch of each kind, looked up in a document that has it."""
     place = F.struct("anchor", "stretch", "twice", "pos", "left", "right")
-    by_doc = kinds.groupBy("uid").agg(F.collect_list(place).alias("places"))  # at most a document's anchors
-    # a row that stands in the table several times serves its stretches once
-    joined = rows_with(docs, cut(by_doc), "uid").select("uid", "places", "text").dropDuplicates(["uid"]).select("places", "text")
+    by_doc = cut(kinds.groupBy("uid").agg(F.collect_list(place).alias("places")))  # at most a document's anchors
+    if kinds.count() <= BROADCAST_KINDS:
+        by_doc = F.broadcast(by_doc)
+    joined = docs.join(by_doc, "uid").select("places", "text", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        served: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            # a row that stands in the table several times serves its kinds once a task; all of these are met twice
+            uids = column(batch, "uid").to_pylist()
+            new = [not (u in served or served.add(u)) for u in uids]
+            if len(served) > 100_000:
+                served.clear()
+            for part in slices(batch.filter(pa.array(new, pa.bool_())), "text", 1 << 20):
                 data, offsets = text_bytes(column(part, "text"))
                 blob = data.tobytes()
                 places = part.column(0)
@@ -229,13 +282,17 @@ def _units(docs: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def _indexed(units: DataFrame, length: int) -> DataFrame:
-    """(key, sub, first, last): repeated bytes of each unit, from its anchor on, by the index of its shard."""
+    """(key, sub, first, last): repeated bytes of each unit met once, from its anchor on, by the index of its shard."""
     dealt = units.repartition(shuffle_parts(units.sparkSession), "key").sortWithinPartitions("key", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 1, SHARD_ROWS):
+            key, sub = table["key"].to_numpy(), table["sub"].to_numpy()
+            table = table.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])))
             key, sub, lead = (table[c].to_numpy() for c in ("key", "sub", "lead"))
-            blob, offset = repeated_starts(table["bytes"].to_pylist(), table["twice"].to_numpy(zero_copy_only=False), length)
+            blob, offset = repeated_starts(table["bytes"].to_pylist(), length)
+            ok = ~table["twice"].to_numpy(zero_copy_only=False)[blob]  # a unit met twice is known to repeat whole
+            blob, offset = blob[ok], offset[ok]
             head = np.flatnonzero(np.concatenate([[True], (blob[1:] != blob[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(blob) else np.zeros(0, np.int64)
             tail = np.append(head[1:], len(blob)) - 1 if len(blob) else head
             row = blob[head]
@@ -278,49 +335,72 @@ def _split(units: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def _found(units: DataFrame, length: int, width: int) -> DataFrame:
-    """(key, sub, first, last) of all units; ``width`` is the number of places an anchor may have under one key."""
-    units = cut(units)
+    """(key, sub, first, last) of all units, which come from files; ``width``: the places an anchor may have under one key."""
     large = cut(units.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > GROUP_LIMIT).select("key"))
+    twice = units.where("twice").select("key", "sub", F.col("lead").cast("long").alias("first"), (F.col("lead") + F.octet_length("bytes")).cast("long").alias("last"))
     if width == 1 or large.isEmpty():
-        return _indexed(units, length)
+        return _indexed(units, length).unionByName(twice)
     finer = -(-width // SPLIT)
     parts = cut(_split(rows_with(units, large, "key").select(*units.columns), length, finer))
     # units that agree in a range are one unit there
     merged = parts.groupBy("key2", "sub2").agg((F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
-    inner = _found(merged.select(F.col("key2").alias("key"), F.col("sub2").alias("sub"), "twice", "lead", "bytes"), length, finer)
+    inner = _found(cut(merged.select(F.col("key2").alias("key"), F.col("sub2").alias("sub"), "twice", "lead", "bytes")), length, finer)
     back = parts.select("key2", "sub2", "key", "sub").join(inner.select(F.col("key").alias("key2"), F.col("sub").alias("sub2"), "first", "last"), ["key2", "sub2"]).select("key", "sub", "first", "last")
-    return _indexed(units.join(large, "key", "left_anti").select(*units.columns), length).unionByName(back)
+    return _indexed(units.join(large, "key", "left_anti").select(*units.columns), length).unionByName(back).unionByName(twice)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table from files, to be broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KINDS else table
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """(uid, spans): for each text with bytes to remove, its [first, last) spans, in no order, overlapping.
+    """(uid, spans): for each text with bytes to remove, its maximal [first, last) runs, ascending.
 
     ``docs`` has columns uid and text; rows of one uid have one text.
     """
     seen = cut(_stretches(docs, length))
-    # counted before any anchor's rows meet: an anchor of a third of all texts is one row for each task and kind here
-    by_kind = seen.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "pos", "left", "right")).alias("at"))
-    by_anchor = by_kind.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
-    kinds = cut(by_kind.join(by_anchor, "anchor").select("anchor", "stretch", (F.col("n") > 1).alias("twice"), "at.*"))
-    marks = _found(_units(docs, kinds), length, length - min(GRAM, length) + 1)
+    # counted before any anchor's rows meet: an anchor of a third of all texts is one row for each task here
+    by_anchor = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"))
+    by_anchor = cut(by_anchor.where("n > 1").select("anchor", (F.col("least") < F.col("most")).alias("several")))
+    met = seen.join(_small(by_anchor), "anchor").groupBy("anchor", "stretch", "several")
+    kinds = cut(met.agg((F.count(F.lit(1)) > 1).alias("twice"), F.min(F.struct("uid", "pos", "left", "right")).alias("at")).select("anchor", "stretch", "several", "twice", "at.*"))
+    marks = _found(cut(_units(docs, kinds.where("several"))), length, length - min(GRAM, length) + 1)
+    # the only kind of an anchor: all its stretches are equal
+    alone = kinds.where("not several").select(F.col("anchor").alias("key"), F.col("stretch").alias("sub"), (-F.col("left")).cast("long").alias("first"), F.col("right").cast("long").alias("last"))
+    marks = marks.unionByName(alone)
     # at most a stretch's strings
-    per_kind = cut(marks.groupBy(F.col("key").alias("anchor"), F.col("sub").alias("stretch")).agg(F.collect_list(F.struct("first", "last")).alias("marks")))
-    hits = rows_with(seen.select("uid", "anchor", "stretch", "pos"), per_kind, ["anchor", "stretch"])
+    per_kind = cut(marks.groupBy(F.col("key").alias("anchor"), F.col("sub").alias("stretch")).agg(F.collect_set(F.struct("first", "last")).alias("marks")))
+    hits = seen.select("uid", "anchor", "stretch", "pos").join(_small(per_kind), ["anchor", "stretch"])
     placed = hits.select("uid", F.transform("marks", lambda m: F.struct((F.col("pos") + m["first"]).alias("first"), (F.col("pos") + m["last"]).alias("last"))).alias("spans"))
-    return placed.groupBy("uid").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # at most a document's bytes
+    by_doc = placed.groupBy("uid").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # at most a document's bytes
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spans = column(batch, "spans")
+            first, last = (spans.flatten().field(i).to_numpy() for i in range(2))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
+            order = np.lexsort((first, row))
+            first, row = first[order], row[order]
+            reach = np.maximum.accumulate(last[order] + (row << 40))
+            head = np.flatnonzero(np.concatenate([[True], first[1:] + (row[1:] << 40) > reach[:-1]]))
+            end = reach[np.append(head[1:], len(reach)) - 1] - (row[head] << 40)
+            offsets = pa.array(np.searchsorted(row[head], np.arange(batch.num_rows + 1)).astype(np.int32))
+            runs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(first[head]), pa.array(end)], names=["first", "last"]))
+            yield pa.RecordBatch.from_arrays([column(batch, "uid"), runs], names=["uid", "spans"])
+
+    return by_doc.mapInArrow(merge, "uid binary, spans array<struct<first: long, last: long>>")
 
 
 def _cut_out(data: bytes, spans) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal runs removed)."""
     if not spans:
         return data, 0, 0
-    first, last = np.array([s["first"] for s in spans]), np.array([s["last"] for s in spans])
-    cover = np.zeros(len(data) + 1, np.int64)
-    np.add.at(cover, first, 1)
-    np.add.at(cover, last, -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+    stops = [0, *(x for s in spans for x in (s["first"], s["last"])), len(data)]
+    left = b"".join(data[a:b] for a, b in zip(stops[::2], stops[1::2], strict=True))
+    return left, len(data) - len(left), len(spans)
 
 
 def _marked(df: DataFrame, length: int) -> DataFrame:
@@ -330,7 +410,7 @@ def _marked(df: DataFrame, length: int) -> DataFrame:
     keyed = keyed.withColumn("uid", uid)
     spans = cut(repeated_spans(keyed.select("uid", "text"), length))
     rows, items = spans.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-    if rows <= BROADCAST_IDS and (items or 0) <= 10 * BROADCAST_IDS:
+    if rows <= BROADCAST_IDS and (items or 0) <= BROADCAST_KINDS:
         spans = F.broadcast(spans)
     return keyed.join(spans, "uid", "left").drop("uid")
 
