@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import BROADCAST_IDS, cut
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One star step.  ``edges`` (u, v) are distinct and u > v."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("u", "m")))
+    joined = _with_least(both, least)
     if small:
         # every neighbour, all smaller, and u itself hang under the smallest
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -21,6 +21,20 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+#: Edges of a node from which on its smallest neighbour is sent to all tasks instead of its edges to one.
+HUB = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges (u, v) with u's least neighbour m; edges of hubs stay where they are, if hubs are counted to be few."""
+    hubs = least.where(F.col("degree") >= HUB).select("u", "m")
+    if not 0 < hubs.count() <= BROADCAST_IDS:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(hubs)
+    rest = edges.join(hubs, "u", "left_anti").join(least.where(F.col("degree") < HUB).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of every node that has an edge; the component is its smallest node.
 

@@ -1,8 +1,8 @@
 """N-gram Jaccard join: all links of a similarity threshold, and their components.
 
 Texts with equal shingle sets form a class.  Classes meet in *tiles*, one for each shingle of their prefixes: two
-sets of the wanted similarity share a shingle of their first n - ceil(t n) + 1 in any common order.  A tile's members
-are compared by size, by position, and by parity bitmaps as wide as their size band asks: the bits in which two
+sets of the wanted similarity share a shingle of their first n - ceil(t n) + 1 in any common order.  Tiles are parted by
+size band; a member is a guest in the tiles of the next band.  They are compared by size, by position, and by parity bitmaps as wide as their size band asks: the bits in which two
 bitmaps differ bound the sets' difference from below, hence their overlap from above.  What is left is intersected
 exactly.  Two early rounds over tiles of one smallest hash join most near copies into components, and the full round
 looks at pairs of different components only.
@@ -10,11 +10,12 @@ looks at pairs of different components only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -55,6 +56,12 @@ def _ordered(values: np.ndarray, first: np.ndarray, frequent: np.ndarray):
     return values, np.arange(len(values)) - first[:-1][doc], doc
 
 
+def size_band(n: Column, percent: int) -> Column:
+    """The band of a set's size: sizes that may link lie in one band or in neighbouring ones."""
+    # a hair wider than the threshold, so that rounding of logarithms can't part a pair by two bands
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else n.cast("int")
+
+
 def bitmap_bits(n: np.ndarray) -> np.ndarray:
     """Width of a set's bitmap by its size band: the power of two from twice its size on, 64 to 65,536."""
     return np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), 64, 1 << 16)
@@ -92,11 +99,12 @@ def _follow(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = to
 
 
-def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, block: np.ndarray, off: np.ndarray, bits: list[bytes] | None, percent: int):
+def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, block: np.ndarray, off: np.ndarray, guest: np.ndarray, bits: list[bytes] | None, percent: int):
     """Pairs of a tile that may link, in portions (i, j).
 
-    ``off``: in a tile of two blocks, only pairs across them.  Compared are pairs of different components.  Without
-    ``bits`` sizes and positions alone decide.
+    ``off``: in a tile of two blocks, only pairs across them; ``guest``: rows of a smaller size band, compared with those
+    of the tile's own only.  Compared are pairs of different components.  Without ``bits`` sizes and positions alone
+    decide.
     """
     width = bitmap_bits(n)
     by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -117,7 +125,7 @@ def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.
     for i, j in _follow(group):
         a, b = n[i], n[j]
         low, high = np.minimum(a, b), np.maximum(a, b)
-        ok = (comp[i] != comp[j]) & (100 * low >= percent * high) & ~(off[i] & (block[i] == block[j]))
+        ok = (comp[i] != comp[j]) & (100 * low >= percent * high) & ~(off[i] & (block[i] == block[j])) & ~(guest[i] & guest[j])
         i, j = i[ok], j[ok]
         both = n[i] + n[j]
         need = -(-percent * both // (100 + percent))
@@ -259,9 +267,9 @@ def _early_round(docs: DataFrame, named: DataFrame, key: str, size: int, percent
     ``named`` has the classes with their component so far.  A large tile is dealt into parts: what they miss, the
     full round finds.
     """
-    counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select(key, "members")
     parts = F.pmod(F.xxhash64(F.lit(key), "id"), F.ceil(F.col("members") / FIRST_TILE)).cast("int")
-    members = named.join(counts, key).select(F.col(key).alias("lead"), parts.alias("sub"), "id", "comp", "p1")
+    members = rows_with(named, cut(counts), key).select(F.col(key).alias("lead"), parts.alias("sub"), "id", "comp", "p1")
     texts = rows_with(docs, members, "id").select("lead", "sub", "id", "comp", "p1", "text")
     tiles = texts.repartition(shuffle_parts(docs.sparkSession), "lead", "sub").sortWithinPartitions("lead", "sub", "id")
 
@@ -279,7 +287,7 @@ def _early_round(docs: DataFrame, named: DataFrame, key: str, size: int, percent
             own = _prints(values, first)[0].view(np.int64) == p1
             labels, node = np.unique(comp, return_inverse=True)
             u = _Union(int(node.max()) + 1)
-            for i, j in surviving_pairs(group, n, zero, comp, zero, zero > 0, bits, percent):
+            for i, j in surviving_pairs(group, n, zero, comp, zero, zero > 0, zero > 0, bits, percent):
                 for a, b in zip(i.tolist(), j.tolist(), strict=True):
                     if own[a] and own[b] and u.find(node[a]) != u.find(node[b]) and linked(sets[a], sets[b], percent):
                         u.join(node[a], node[b])
@@ -291,45 +299,69 @@ def _early_round(docs: DataFrame, named: DataFrame, key: str, size: int, percent
     return tiles.mapInArrow(run, "u long, v long")
 
 
+def _tiled(listed: DataFrame, percent: int) -> DataFrame:
+    """Rows of the tiles (shingle, band, lo, hi), from list members with ``members`` and ``top``, the list's largest band.
+
+    A member stands in the tiles of its size band and as a guest in those of the next, so that sets of sizes near enough
+    meet.  A group over TILE is dealt to blocks, and a tile holds two of them.  Blocks of the group's commonest component
+    meet those of the others only: near copies of one passage, already joined, aren't multiplied by each other.
+    """
+    bands = F.when(F.col("size_band") < F.col("top"), F.array("size_band", F.col("size_band") + 1)).otherwise(F.array("size_band"))
+    rows = listed.withColumn("band", F.explode(bands)).withColumn("guest", F.col("band") > F.col("size_band"))
+    names = ["shingle", "band", "lo", "hi", "id", "p1", "comp", "place", "block", "guest"]
+    small = rows.where(F.col("members") <= TILE).select("*", *[F.lit(0).alias(c) for c in ("lo", "hi", "block")]).select(*names)
+    large = rows.where(F.col("members") > TILE)
+    kinds = large.groupBy("shingle", "band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    groups = kinds.groupBy("shingle", "band").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    groups = cut(groups.where("all > most").select("shingle", "band", "main", F.ceil(F.col("most") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("rest")))
+    dealt = rows_with(large, groups, ["shingle", "band"])
+    main = F.col("comp") == F.col("main")
+    block = F.when(main, F.pmod(F.xxhash64("id", "p1"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id", "p1"), F.col("rest"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    with_rest = F.transform(F.sequence(F.col("mains"), F.col("mains") + F.col("rest") - 1), lambda b: F.struct(F.least("block", b).alias("lo"), F.greatest("block", b).alias("hi")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: F.struct(b.alias("lo"), F.col("block").alias("hi")))
+    tiles = F.when(main, with_rest).otherwise(F.concat(with_main, with_rest))
+    large = dealt.withColumn("tile", F.explode(tiles)).select("*", "tile.lo", "tile.hi").select(*names)
+    return small.unionByName(large)
+
+
 def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, percent: int, frequent) -> DataFrame:
     """Links (u, v) between classes of different components, over the tiles of all prefix shingles."""
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
-    by = Window.partitionBy("shingle")
-    lists = prefix_rows(docs, size, percent, frequent).withColumns({"least": F.min("p1").over(by), "most": F.max("p1").over(by)}).where("least <> most")
+    parts = shuffle_parts(docs.sparkSession)
+    prefixes = cut(prefix_rows(docs, size, percent, frequent))
+    # pre-aggregated, so that a shingle of a third of all texts is a row for each task
+    shared = prefixes.groupBy("shingle").agg(F.min("p1").alias("least"), F.max("p1").alias("most")).where("least <> most").select("shingle")
     # a class met by several tasks stands in a list several times
-    lists = cut(lists.select("shingle", "p1", "p2", "place").distinct())
-    placed = lists.join(_named(reps, comps).select("id", "p1", "p2", "comp"), ["p1", "p2"])
-    mixed = placed.withColumns({"least": F.min("comp").over(by), "most": F.max("comp").over(by), "members": F.count(F.lit(1)).over(by)}).where("least <> most")
-    listed = mixed.select("shingle", "id", "p1", "comp", "place", "members").sortWithinPartitions("shingle")
+    lists = prefixes.join(shared, "shingle").distinct()
+    placed = cut(lists.join(_named(reps, comps).select("id", "p1", "p2", "comp"), ["p1", "p2"]).withColumn("size_band", size_band(F.shiftright("place", 32), percent)))
+    mixed = placed.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("members"), F.max("size_band").alias("top")).where("least <> most").drop("least", "most")
+    listed = placed.join(mixed, "shingle").select("shingle", "id", "p1", "comp", "place", "members", "size_band", "top")
+    short = listed.where(F.col("members") <= TILE).repartition(parts, "shingle").sortWithinPartitions("shingle")
 
     def pair_up(batches):
-        """Members that sizes and positions allow a partner; lists over a tile pass whole."""
+        """Members of lists up to a tile that sizes and positions allow a partner."""
         for table in whole_groups(batches, 1, 20_000):
-            shingle, comp, place, members = (table[c].to_numpy() for c in ("shingle", "comp", "place", "members"))
+            shingle, comp, place = (table[c].to_numpy() for c in ("shingle", "comp", "place"))
             group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]]))
-            large = members > TILE
             zero = np.zeros(len(group), np.int64)
-            use = large.copy()
-            small = np.flatnonzero(~large)
-            for i, j in surviving_pairs(group[small], place[small] >> 32, place[small] & 0xFFFFFFFF, comp[small], zero[small], zero[small] > 0, None, percent):
-                use[small[i]] = True
-                use[small[j]] = True
+            use = zero > 0
+            for i, j in surviving_pairs(group, place >> 32, place & 0xFFFFFFFF, comp, zero, zero > 0, zero > 0, None, percent):
+                use[i] = True
+                use[j] = True
             yield from table.filter(pa.array(use)).combine_chunks().to_batches()
 
-    mixed = cut(listed.mapInArrow(pair_up, listed.schema))
-    bits = cut(_sets_of(docs, mixed.select("id", "p1").distinct(), size).select("id", "bits"))
-    blocks = F.ceil(F.col("members") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    tiled = mixed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiled = tiled.select("shingle", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "comp", "place", "block").join(bits, "id")
-    tiles = tiled.select("shingle", "lo", "hi", "id", "comp", "place", "block", "bits").repartition(parts, "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "id")
+    mixed = cut(short.mapInArrow(pair_up, short.schema).unionByName(listed.where(F.col("members") > TILE)))
+    bits = cut(_sets_of(docs, mixed.select("id", "p1").distinct(), size).select("id", "p1", "bits"))
+    tiles = _tiled(mixed, percent).join(bits, ["id", "p1"])
+    tiles = tiles.select("shingle", "band", "lo", "hi", "id", "comp", "place", "block", "guest", "bits").repartition(parts, "shingle", "band", "lo", "hi").sortWithinPartitions("shingle", "band", "lo", "hi", "id")
 
     def run(batches):
-        for table in whole_groups(batches, 3, 20_000):
-            shingle, lo, hi, ids, comp, place, block = (table[c].to_numpy() for c in ("shingle", "lo", "hi", "id", "comp", "place", "block"))
-            group = np.cumsum(np.concatenate([[0], (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            found = [np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], 1) for i, j in surviving_pairs(group, place >> 32, place & 0xFFFFFFFF, comp, block, lo != hi, table["bits"].to_pylist(), percent)]
+        for table in whole_groups(batches, 4, 20_000):
+            ids, comp, place, block = (table[c].to_numpy() for c in ("id", "comp", "place", "block"))
+            guest = table["guest"].to_numpy(zero_copy_only=False)
+            keys = [table[c].to_numpy() for c in ("shingle", "band", "lo", "hi")]
+            group = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            found = [np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], 1) for i, j in surviving_pairs(group, place >> 32, place & 0xFFFFFFFF, comp, block, keys[2] != keys[3], guest, table["bits"].to_pylist(), percent)]
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 

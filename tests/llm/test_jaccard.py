@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomtab.llm import jaccard as J
 from loomtab.llm.components import connected_components
@@ -107,3 +108,40 @@ def test_regular_words_that_differ(spark):
     rows = [(1, a), (2, b), (3, " ".join([a, b] * 40)), (4, " ".join([b, a] * 39 + [b])), (5, f"{a} {a} {b} {b} {a}")]
     got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute(rows)
+
+
+def test_size_bands_never_part_a_pair(spark):
+    for percent in (80, 85, 50):
+        pairs = [(a, b) for a in range(1, 400) for b in (a, -(-percent * a // 100)) if b >= 1 and 100 * min(a, b) >= percent * max(a, b)]
+        df = spark.createDataFrame(pairs, "a long, b long")
+        assert df.where(F.abs(J.size_band(F.col("a"), percent) - J.size_band(F.col("b"), percent)) > 1).count() == 0
+
+
+def test_hot_list_with_few_others(spark, monkeypatch):
+    """A list far over a tile: its main component meets the other members, not itself."""
+    monkeypatch.setattr(J, "TILE", 3)
+    rows = [("s", 1, i, 100 + i, 7 if i < 20 else i, (50 << 32) | 1) for i in range(24)]
+    listed = spark.createDataFrame([(1, i, 100 + i, comp, place, 24, 9, 9) for _, _, i, _, comp, place in rows], "shingle long, id long, p1 long, comp long, place long, members long, size_band int, top int")
+    tiles = {}
+    for r in J._tiled(listed, 85).collect():
+        tiles.setdefault((r.shingle, r.band, r.lo, r.hi), []).append((r.id, r.block))
+    met = {frozenset((a, b)) for (_, _, lo, hi), own in tiles.items() for a, x in own for b, y in own if a != b and (lo == hi or x != y)}
+    others = range(20, 24)
+    assert {frozenset((a, b)) for a in others for b in range(24) if a != b} <= met
+    assert sum(map(len, tiles.values())) < 24 * 5
+
+
+def test_one_id_with_short_and_long_texts(spark):
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(base[:30])), (1, " ".join(base)), (2, " ".join(base[:29])), (3, " ".join([*base, "end"])), (4, "far from all of them")]
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_hubs(spark, monkeypatch):
+    from loomtab.llm import components as C
+
+    monkeypatch.setattr(C, "HUB", 4)
+    edges = [(0, i) for i in range(1, 30)] + [(29, 40), (40, 41), (60, 61), (61, 62)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {**dict.fromkeys([*range(30), 40, 41], 0), 60: 60, 61: 60, 62: 60}
