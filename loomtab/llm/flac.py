@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import column, nullable, prepare, slices, text_bytes
@@ -536,10 +536,15 @@ def flac_decode(df: DataFrame, flac: str = "flac") -> DataFrame:
 
 
 def pcm_blocks(decoded: DataFrame, id_col: str, block: str = "block") -> DataFrame:
-    """A row per PCM block: id, block number, ``sample_offset`` and its bytes; null streams have no block."""
-    at = decoded.select(F.col(f"`{id_col}`"), "pcm", "block_offsets", F.posexplode("block_offsets").alias(block, "sample_offset"))
-    stop = F.coalesce(F.get("block_offsets", F.col(block) + 1), F.octet_length("pcm").cast("long"))
-    return at.select(id_col, block, "sample_offset", F.expr("substring(pcm, cast(sample_offset + 1 as int), cast(coalesce(get(block_offsets, %s + 1), octet_length(pcm)) - sample_offset as int))" % block).alias("pcm"), (stop - F.col("sample_offset")).alias("samples"))
+    """A row per PCM block: id, block number, ``sample_offset``, its bytes and ``samples``; null streams have no block."""
+    each = decoded.select(F.col(f"`{id_col}`"), F.posexplode(blocks_of("pcm", "block_offsets")).alias(block, "b"))
+    return each.select(id_col, block, "b.sample_offset", "b.pcm", "b.samples")
+
+
+def blocks_of(pcm: str, offsets: str) -> Column:
+    """The PCM as an array of blocks (sample_offset, samples, pcm): a reader seeks by the offset."""
+    stop = lambda i: F.coalesce(F.get(offsets, i + 1), F.octet_length(pcm).cast("long"))
+    return F.transform(offsets, lambda at, i: F.struct(at.alias("sample_offset"), (stop(i) - at).alias("samples"), F.substring(pcm, (at + 1).cast("int"), (stop(i) - at).cast("int")).alias("pcm")))
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -560,6 +565,8 @@ def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("flac").cast("long").alias("media_bytes"),
         F.sha2("flac", 256).alias("media_sha256"),
         "feature",
+        F.size("block_offsets").alias("n_blocks"),
+        F.element_at("block_offsets", -1).alias("last_block_offset"),
     )
 
 
