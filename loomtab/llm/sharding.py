@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut, prepare
@@ -150,45 +150,44 @@ def shard_minimax(df: DataFrame, shards: int, text: str = "text", size: Column |
     """
     if {shard, slot} & set(df.columns):
         raise ValueError(f"columns {shard} and {slot} must be new")
-    spark = prepare(df.sparkSession)
+    prepare(df.sparkSession)
     body = F.col(f"`{text}`")
     weight = F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 1 if size is None else size
-    slim = df.withColumn("_size", weight).withColumn("_key", F.coalesce(F.md5(body.cast("binary")), F.lit("0" * ALL_DIGITS)))
-    groups = cut(slim.groupBy("_key").agg(F.sum("_size").alias("bytes")))
+    # the caller's columns travel in one struct, so that no name of theirs can meet one of these
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    slim = df.select(row.alias("row"), weight.alias("size"), F.coalesce(F.md5(body.cast("binary")), F.lit("0" * ALL_DIGITS)).alias("key"))
+    groups = cut(slim.groupBy("key").agg(F.sum("size").alias("bytes")))
     largest = groups.agg(F.max("bytes")).first()[0]
 
     def count(prefixes: list[str], digits: int) -> list[Item]:
         part = groups
         if prefixes:
-            part = groups.where(F.substring("_key", 1, len(prefixes[0])).isin(prefixes))
-        by = part.groupBy(F.substring("_key", 1, digits).alias("prefix")).agg(F.sum("bytes").alias("size"), F.count(F.lit(1)).alias("n"))
+            part = groups.where(F.substring("key", 1, len(prefixes[0])).isin(prefixes))
+        by = part.groupBy(F.substring("key", 1, digits).alias("prefix")).agg(F.sum("bytes").alias("size"), F.count(F.lit(1)).alias("n"))
         return sorted((Item(r.prefix, r.size, r.n) for r in by.collect()), key=lambda i: i.prefix)
 
     bounds = minimax_boundaries(count, largest or 0, shards)
     which = F.lit(0)
     for b in bounds:
-        which = which + (F.col("_key") >= b).cast("int")
-    placed = slim.withColumn(shard, which.cast("int")).drop("_key")
-    return _with_slots(placed, shard, slot).drop("_size")
+        which = which + (F.col("key") >= b).cast("int")
+    numbered = _with_slots(slim.select("row", which.cast("int").alias("shard")))
+    return numbered.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("shard").alias(shard), F.col("slot").alias(slot))
 
 
-def _with_slots(df: DataFrame, shard: str, slot: str) -> DataFrame:
-    """Number the rows of each shard without bringing a shard into one task.
+def _with_slots(df: DataFrame) -> DataFrame:
+    """Number the rows (row, shard) of each shard without bringing a shard into one task.
 
     Rows are dealt to buckets by the hash of all their columns' values, numbered within a bucket, and moved on by
     the rows of earlier buckets; only equal rows share a bucket by nature.
     """
-    rest = [F.col(f"`{c}`") for c in df.columns if c != shard]
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*rest), F.lit(SLOT_BUCKETS)).cast("int"))
-    counts = dealt.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
+    hashed = F.xxhash64("row")
+    dealt = df.withColumn("bucket", F.pmod(hashed, F.lit(SLOT_BUCKETS)).cast("int"))
+    counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # at most shards x SLOT_BUCKETS rows
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket")) - F.col("_n")).drop("_n")
-    inner = Window.partitionBy(shard, "_bucket").orderBy(F.xxhash64(*rest))
-    numbered = dealt.withColumn("_row", F.row_number().over(inner) - 1)
-    joined = numbered.join(F.broadcast(before), [shard, "_bucket"])
-    return joined.withColumn(slot, (F.col("_before") + F.col("_row")).cast("long")).select(*df.columns, slot)
+    before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
+    numbered = dealt.withColumn("number", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(hashed)) - 1)
+    joined = numbered.join(F.broadcast(before), ["shard", "bucket"])
+    return joined.select("row", "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"))
 
 
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

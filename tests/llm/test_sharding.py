@@ -80,3 +80,15 @@ def test_whole_table(spark, sf):
 
     order = sorted(groups, key=lambda raw: hashlib.md5(hashlib.md5(raw).hexdigest().encode()).hexdigest())
     assert max(loads) == S.smallest_capacity([groups[x] for x in order], 16)[0]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, f"text {i % 7}" if i % 5 else None, i * 2) for i in range(60)], "_size int, text string, row int")
+    df = df.selectExpr("*", "'k' as _key", "1 as size", "2 as key", "3 as bucket", "4 as number", "5 as n", "6 as before")
+    got = S.shard_minimax(df, 4)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    assert got.drop("shard", "slot").exceptAll(df).isEmpty() and got.count() == 60
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
