@@ -1,8 +1,8 @@
 """Temporal list join: captures against the list entries that were active when they were fetched.
 
 A dated entry says that a list names a domain from then on, or no longer.  The entries of a domain become validity
-intervals; each distinct host gathers the intervals of its own name and of every parent domain; each capture looks
-its host up and keeps, as of its fetch time, the active interval of the longest domain.
+intervals.  Each distinct host and fetch time is joined, as of that time, with the intervals of its own name and of
+every parent domain; the longest domain counts, and every capture of that host and time gets it.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import BROADCAST_IDS, cut, prepare
 
 
 def host_of(url: Column) -> Column:
@@ -45,26 +45,39 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url"
     new = ["host", "blocked", "list_name", "domain", "since"]
     if set(new) & set(captures.columns):
         raise ValueError(f"columns {new} must be new")
-    spans = validity_intervals(entries)
-    seen = captures.withColumn("host", host_of(F.col(f"`{url}`")))
+    spans = cut(validity_intervals(entries))
+    t = F.col(f"`{fetched}`")
+    # the caller's columns travel in one struct, so that no name of theirs can meet one of these
+    row = F.struct(*[F.col(f"`{c}`") for c in captures.columns])
+    seen = captures.select(row.alias("row"), host_of(F.col(f"`{url}`")).alias("host"), t.alias("at"))
+    probes = seen.select("host", "at").dropna().distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    hosts = seen.select("host").where("host is not null").distinct().select("host", F.explode(parents).alias("domain"))
-    found = F.struct((-F.length("domain")).alias("rank"), "list_name", F.negative(F.unix_micros(F.col("valid_from").cast("timestamp"))).alias("newest"), "domain", "valid_from", "valid_to")
-    by_host = hosts.join(spans, "domain").groupBy("host").agg(F.sort_array(F.collect_list(found)).alias("_spans"))
-    t = F.col(f"`{fetched}`")
-    hit = F.get(F.filter("_spans", lambda s: (s["valid_from"] <= t) & (s["valid_to"].isNull() | (t < s["valid_to"]))), F.lit(0))
-    joined = seen.join(by_host, "host", "left").withColumn("_hit", hit)
+    asked = probes.select("host", "at", F.explode(parents).alias("domain"))
+    active = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    # a top-level label is a parent of most hosts: it is no key of a shuffle while the entries that name one are few
+    bare = ~F.col("domain").contains(".")
+    hits = _sized(spans.where(bare), asked.where(bare), active).unionByName(asked.where(~bare).join(spans.where(~bare), "domain").where(active))
+    found = F.struct((-F.length("domain")).alias("rank"), "list_name", F.negative(F.unix_micros(F.col("valid_from").cast("timestamp"))).alias("newest"), "domain", "valid_from")
+    best = cut(hits.groupBy("host", "at").agg(F.min(found).alias("hit")))
+    if best.count() <= BROADCAST_IDS:
+        best = F.broadcast(best)
+    joined = seen.join(best, ["host", "at"], "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in captures.columns],
+        *[F.col("row").getField(c).alias(c) for c in captures.columns],
         "host",
-        F.col("_hit").isNotNull().alias("blocked"),
-        F.col("_hit.list_name").alias("list_name"),
-        F.col("_hit.domain").alias("domain"),
-        F.col("_hit.valid_from").alias("since"),
+        F.col("hit").isNotNull().alias("blocked"),
+        F.col("hit.list_name").alias("list_name"),
+        F.col("hit.domain").alias("domain"),
+        F.col("hit.valid_from").alias("since"),
     )
 
 
+def _sized(spans: DataFrame, asked: DataFrame, active: Column) -> DataFrame:
+    """The probes with their active intervals; these are broadcast if counted to be few, else the join shuffles."""
+    return asked.join(F.broadcast(spans) if spans.count() <= BROADCAST_IDS else spans, "domain").where(active)
+
+
 def example_captures(pages: DataFrame) -> DataFrame:
     """The pages as captures.  The table has no fetch time; page_id stands for one, spread over 2024."""
     day = (F.pmod(F.col("page_id") * 37, F.lit(365))).cast("int")

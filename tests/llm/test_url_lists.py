@@ -60,3 +60,15 @@ def test_against_sql(spark, sf):
     con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
     want = con.sql(L.ORACLES["op4_temporal_lists"])
     assert sorted(map(str, map(tuple, got.select(*sorted(got.columns)).collect()))) == sorted(map(str, want.select(*sorted(want.columns)).fetchall()))
+
+
+def test_clashing_names_and_bare_labels(spark, monkeypatch):
+    entries = spark.createDataFrame([*ENTRIES, ("tld", "zip", D(2), True), ("tld", "localhost", D(1), True)], "list_name string, domain string, at date, active boolean")
+    rows = [(1, "http://a.b.zip/", D(3)), (2, "http://localhost:80", D(1)), (3, "http://zip", D(1)), (4, "http://x.bad.example", D(3))]
+    df = spark.createDataFrame(rows, "row int, url string, fetched date").selectExpr("*", "'x' as _hit", "'y' as _spans", "'z' as at", "7 as hit", "8 as rank", "9 as valid_from")
+    for limit in (L.BROADCAST_IDS, 0):
+        monkeypatch.setattr(L, "BROADCAST_IDS", limit)
+        got = L.temporal_list_join(df, entries)
+        assert got.columns == [*df.columns, "host", "blocked", "list_name", "domain", "since"]
+        assert got.select(*df.columns).exceptAll(df).isEmpty()
+        assert {r.row: (r.blocked, r.domain) for r in got.collect()} == {1: (True, "zip"), 2: (True, "localhost"), 3: (False, None), 4: (True, "x.bad.example")}
