@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,38 @@ def test_regular_strings_that_differ(spark):
     grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
     covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)}
     assert got[2].n_repeat_words == len(covered)
+
+
+def test_costs_count_what_is_known():
+    texts = ["a b c " * 400, "### " * 300] * 20
+    import pyarrow as pa
+
+    from loomtab.llm.runtime import text_bytes
+
+    given = Q.Texts(*text_bytes(pa.array(texts)))
+    for m in Q.BASE:
+        getattr(given, m)
+    fresh = given.subset(np.arange(len(texts)))
+    assert all(m in fresh.__dict__ for m in Q.BASE) and "n_upper" not in fresh.__dict__
+
+
+def test_estimates_in_place(spark):
+    rows = [(i, "short") for i in range(30)] + [(100 + i, "$$ word " * 30) for i in range(10)] + [(200 + i, " ".join(f"word{i}x{k}" for k in range(40))) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = {e.name: e for e in Q.estimate_rules(df, Q.VERDICT_RULES)}
+    placed = {e.name: e for e in Q.estimate_rules(df, Q.VERDICT_RULES, after=Q.BASE_RULES, known=Q.BASE)}
+    assert alone["symbols"].seen == 50 and placed["symbols"].seen == 10
+    assert (alone["symbols"].rejected, placed["symbols"].rejected) == (10, 0)  # the repetitive ones are gone by then
+
+
+def test_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, None, "a", 1), (2, "", "b", 2), (3, long, "c", 3), (4, "some words " * 12, "d", 4), (4, "some words " * 12, "d", 4), (None, "x " * 25, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int")
+    got = Q.quality_report(df).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 6 and [by[i].n_words for i in (1, 2, 3, 4, None)] == [0, 0, 200_000, 24, 25]
+    assert by[1].base_failed and not by[1].kept and not by[3].base_failed
+    assert len({tuple(r) for r in got if r.doc_id == 4}) == 1
+    left = Q.quality_filter(df)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} <= {3, 4, None}
