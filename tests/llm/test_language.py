@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import pytest
 
 from loomtab.llm import language as L
@@ -35,3 +40,51 @@ def test_longest_known_ngram_wins(spark):
     model = L.fit_language_model(df)
     got = L.identify_language(spark.createDataFrame([(1, "zabcd"), (2, "qabxy")], "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got] == ["x", "y"]
+
+
+def plain_words(text):
+    return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.findall("[A-Za-z\x80-\U0010ffff]+", text or "")]
+
+
+def brute(train, texts):
+    """(language, score) of each text by dictionaries of strings."""
+    langs = sorted({lang for _, lang in train})
+    counts = {size: {} for size in (0, *L.NGRAMS)}
+    for text, lang in train:
+        for w in plain_words(text):
+            for size, keys in [(0, [w]), *((n, [w[i : i + n] for i in range(len(w) - n + 1)]) for n in L.NGRAMS)]:
+                for k in keys:
+                    counts[size].setdefault(k, Counter())[lang] += 1
+    logs = {}
+    for size, found in counts.items():
+        kept = {k: c for k, c in found.items() if sum(c.values()) >= L.MIN_COUNT or size == 1}
+        total = {x: sum(c[x] for c in kept.values()) for x in langs}
+        logs[size] = {k: [math.log((c[x] + 0.5) / (total[x] + 0.5 * max(len(kept), 1))) for x in langs] for k, c in kept.items()}
+
+    def of_word(w):
+        if w in logs[0]:
+            return logs[0][w]
+        rows = [next((logs[n][w[i : i + n]] for n in L.NGRAMS if i + n <= len(w) and w[i : i + n] in logs[n]), [-12.0] * len(langs)) for i in range(len(w))]
+        return [sum(col) / len(rows) for col in zip(*rows, strict=True)]
+
+    out = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        words = plain_words(text)
+        total = [sum(col) / math.sqrt(max(len(words), 1)) for col in zip(*map(of_word, words), strict=True)] if words else [0.0] * len(langs)
+        p = [math.exp(x - max(total)) for x in total]
+        out.append((langs[p.index(max(p))], max(p) / sum(p)))
+    return out
+
+
+def test_whole_table_against_brute_force(spark, sf):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = {r.doc_id: r for r in L.op9_language_id(spark, sf).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    train = [(d.text, d.lang) for i, d in docs.items() if not held[i] and d.lang is not None and d.text is not None]
+    assert len(train) < L.TRAIN_ROWS and set(out) == set(docs)
+    for i, (lang, score) in zip(docs, brute(train, [d.text for d in docs.values()]), strict=True):
+        assert out[i].held_out == held[i] and out[i].lang_pred == lang, i
+        assert math.isclose(out[i].score, score, abs_tol=1e-9), i
