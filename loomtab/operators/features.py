@@ -9,13 +9,13 @@ from itertools import combinations
 
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import col
 from .models import Fit, cross_validate, measure
-from .splits import positions
+from .splits import positions, value_codes
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
     """
     rows = df if "_copy" in df.columns else numbered(df)
     names = [col(c) for c in rows.columns]
-    at = lambda s: positions(rows, [F.lower(F.lpad(F.hex(F.xxhash64(F.lit(s), *names)), 16, "0")), *names], "_i")
+    at = lambda s: positions(rows, [F.lower(F.lpad(F.hex(F.xxhash64(F.lit(s), *names)), 16, "0")), *names], "_i", hexed=True)
     values = at(seed + 7919).select("_i", col(column).alias(column))
     return at(seed).drop(column).join(values, "_i").select(*[col(c) for c in df.columns])
 
@@ -176,7 +176,7 @@ def engineer(df: DataFrame, features: list[str], label: str, fit: Fit, metric: s
 
 def contiguous_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): distinct values ascending, coded from 0."""
-    return df.select(col(column).alias("value")).where("value is not null").distinct().withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return value_codes(df, column)
 
 
 def with_codes(df: DataFrame, column: str, codes: DataFrame, name: str) -> DataFrame:

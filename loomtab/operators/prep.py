@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import categorical_columns, col, date_columns, numeric_columns
-from .splits import positions, text_bounds
+from .splits import range_of, value_codes
 
 
 class PrepError(ValueError):
@@ -67,8 +67,7 @@ def orient_target(df: DataFrame, target: str, positive: str) -> DataFrame:
 
 def category_codes(df: DataFrame, name: str, code: str) -> DataFrame:
     """A table (value, code) of the column's values in ascending order, from 0."""
-    values = df.select(col(name).alias(name)).where(col(name).isNotNull()).distinct()
-    return values.withColumn(code, F.row_number().over(Window.orderBy(name)) - 1)
+    return value_codes(df, name, name, code)
 
 
 @dataclass(frozen=True)
@@ -100,10 +99,10 @@ class PrepModel:
                 df = df.join(table.select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}")), filled == F.col(f"_v{i}"), "left")
                 filled = F.when(filled.isNotNull(), F.coalesce(F.col(f"_c{i}"), F.lit(n)).cast("int"))
             if c in self.codes:
-                # binary search in a sorted literal array; unseen values get the next code
+                # the last known value that isn't greater, if it is equal; unseen values get the next code
                 known = F.array(*[F.lit(v) for v in self.codes[c]]) if self.codes[c] else F.array().cast("array<string>")
-                at = F.array_position(known, filled)
-                filled = F.when(filled.isNotNull(), F.when(at > 0, at - 1).otherwise(F.lit(len(self.codes[c]))).cast("int"))
+                at = range_of(filled, self.codes[c]) - 1
+                filled = F.when(filled.isNotNull(), F.when(F.coalesce(F.get(known, at) == filled, F.lit(False)), at).otherwise(F.lit(len(self.codes[c]))).cast("int"))
             text.append(filled.alias(c))
         return date_parts(df.select(*[col(c) for c in rest], *number, *text), [d for d in self.dates if d in df.columns])
 
@@ -129,6 +128,6 @@ def fit_prep(df: DataFrame, target: str | None = None, ignore: list[str] | None
                 codes[c] = sorted(r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().collect())
             else:
                 values = df.select(col(c).alias("value")).where("value is not null").distinct()
-                table = positions(values, [F.col("value")], "code", bounds=text_bounds(values, "value")).cache()
+                table = value_codes(values, "value").cache()
                 tables[c] = table, table.count()
     return PrepModel(ignore or [], medians(df, number, accuracy), modes(df, text), [c for c in date_columns(df) if c != target], codes, tables)

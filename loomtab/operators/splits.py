@@ -6,6 +6,8 @@ counts of id prefixes: no sort of all rows meets in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +27,30 @@ def _shuffled(key: Column, seed: int | None) -> Column:
     return key if seed is None else F.sha2(F.concat_ws(":", F.lit(str(seed)), key), 256)
 
 
-def positions(df: DataFrame, order: list[Column], name: str = "pos", within: list[str] | None = None, bounds: list | None = None) -> DataFrame:
+def range_of(value: Column, bounds: list) -> Column:
+    """How many of the ascending ``bounds`` are at most ``value``; 0 for null.  In two steps of about sqrt(n) comparisons."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    blocks = [F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)]
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= value))
+    block = upto(F.array(*map(F.lit, bounds[::step])))
+    return F.when(value.isNull() | (block == 0), 0).otherwise((block - 1) * step + upto(F.get(F.array(*blocks), block - 1)))
+
+
+def positions(df: DataFrame, order: list[Column], name: str = "pos", within: list[str] | None = None, bounds: list | None = None, hexed: bool = False) -> DataFrame:
     """Add the 0-based position in the order of ``order`` (within groups of equal ``within``).
 
     The first order column cuts the rows into ranges at approximate quantiles or ``bounds``; each range is numbered by
-    itself and moved on by the rows of the ranges before.
+    itself and moved on by the rows of the ranges before.  ``hexed``: it is a hash in lower-case hex digits, whose
+    first two name the range.
     """
     within = within or []
     keyed = df.withColumns({f"_o{i}": o for i, o in enumerate(order)})
-    bounds = [r for r in (_bounds(keyed) if bounds is None else bounds) if r is not None]
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_o0")))
+    if hexed:
+        part = F.conv(F.substring("_o0", 1, 2), 16, 10).cast("int")
+    else:
+        part = range_of(F.col("_o0"), [r for r in (_bounds(keyed) if bounds is None else bounds) if r is not None])
     cut = keyed.withColumn("_part", part)
     counts = cut.groupBy(*within, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*within).orderBy("_part")) - F.col("_n")).drop("_n")
@@ -47,10 +61,10 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos", within: lis
 
 
 def _bounds(keyed: DataFrame) -> list:
-    """Range bounds of the first order column: hex prefixes of a hash, quantiles of a number or time."""
+    """Range bounds of the first order column: quantiles of a string, number or time."""
     kind = dict(keyed.dtypes)["_o0"]
     if kind == "string":
-        return [f"{i:02x}" for i in range(1, RANGES)]
+        return text_bounds(keyed.select("_o0").distinct(), "_o0")
     if kind in ("date", "timestamp", "timestamp_ntz"):
         # days are enough to spread a time
         days = keyed.select(F.unix_date(F.col("_o0").cast("date")).alias("d")).agg(F.percentile_approx("d", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
@@ -61,12 +75,26 @@ def _bounds(keyed: DataFrame) -> list:
     return sorted(set(keyed.agg(F.percentile_approx("_o0", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []))
 
 
+def value_codes(df: DataFrame, column: str, value: str = "value", code: str = "code") -> DataFrame:
+    """(value, code): the column's distinct values ascending, coded from 0; nulls have none."""
+    values = df.select(col(column).alias(value)).where(col(value).isNotNull()).distinct()
+    kind = dict(values.dtypes)[value]
+    spread = kind in ("string", "date", "timestamp", "timestamp_ntz", "tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    numbered = positions(values, [col(value)], code, bounds=None if spread else [])
+    return numbered.select(col(value), F.col(code).cast("int").alias(code))
+
+
 def text_bounds(values: DataFrame, column: str) -> list[str]:
     """Range bounds of distinct strings: quantiles of a bounded sample by hash.  They spread the work; positions stay exact."""
     seen = sorted(r[0] for r in values.select(col(column).alias("v")).where("v is not null").orderBy(F.xxhash64("v"), "v").limit(16 * RANGES).collect())
     return sorted({seen[i * len(seen) // RANGES] for i in range(1, RANGES)}) if seen else []
 
 
+def _all_hex(key: Column) -> Column:
+    """Whether every key begins with two lower-case hex digits."""
+    return F.bool_and(F.coalesce(F.substring(key, 1, 2).rlike("^[0-9a-f]{2}$"), F.lit(False)))
+
+
 def _members(folded: DataFrame, folds: int, repeat: int = 0) -> DataFrame:
     """Every row in every fold: validation in its own, train in the others."""
     each = folded.select("row_id", F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
@@ -83,10 +111,10 @@ def fold_of_position(pos: Column, n: Column, folds: int) -> Column:
 
 def kfold(ids: DataFrame, folds: int = 5, seed: int | None = None, repeat: int = 0) -> DataFrame:
     """Blocks in id order; with ``seed`` in the order of the seeded hash."""
-    n = ids.count()
+    n, plain = ids.agg(F.count(F.lit(1)), _all_hex(F.col("row_id"))).first()
     if folds < 2 or n < folds:
         raise SplitError(f"{n} rows for {folds} folds")
-    placed = positions(ids.select("row_id"), [_shuffled(F.col("row_id"), seed)])
+    placed = positions(ids.select("row_id"), [_shuffled(F.col("row_id"), seed)], hexed=seed is not None or plain)
     return _members(placed.withColumn("fold", fold_of_position(F.col("pos"), F.lit(n), folds)), folds, repeat)
 
 
@@ -98,8 +126,9 @@ def stratified(rows: DataFrame, label: str, folds: int = 5, seed: int | None = N
     """
     order = _shuffled(F.col("row_id"), seed)
     named = rows.select("row_id", F.coalesce(col(label).cast("string"), F.lit("\0null")).alias("y"))
-    sizes = named.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    if sizes.where(F.col("n") < folds).count():
+    sizes = named.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), _all_hex(F.col("row_id")).alias("plain"))
+    small, plain = sizes.agg(F.count_if(F.col("n") < folds), F.bool_and("plain")).first()
+    if small:
         raise SplitError(f"a class has fewer rows than {folds} folds")
     # one row for each class and fold
     line = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +137,7 @@ def stratified(rows: DataFrame, label: str, folds: int = 5, seed: int | None = N
     lead = F.pmod(F.col("fold") - F.col("start"), F.lit(folds))
     share = F.greatest(F.lit(0), F.ceil((F.col("n") - lead) / folds))
     upto = each.withColumn("upto", F.sum(share).over(Window.partitionBy("y").orderBy("fold"))).groupBy("y").agg(F.array_sort(F.collect_list("upto")).alias("upto"))
-    placed = positions(named, [order], within=["y"]).join(upto, "y")
+    placed = positions(named, [order], within=["y"], hexed=seed is not None or bool(plain)).join(upto, "y")
     return _members(placed.withColumn("fold", F.size(F.filter("upto", lambda u: u <= F.col("pos")))), folds, repeat)
 
 
