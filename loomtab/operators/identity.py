@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +25,21 @@ def canonical(df: DataFrame) -> Column:
     return F.concat_ws("|", *parts)
 
 
+#: Copies of a row that one task numbers at a time.
+COPIES = 10_000
+
+
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Add a SHA-256 of the row's content and its number among equal rows; independent of any order."""
-    keyed = df.withColumn("_row", F.sha2(canonical(df), 256))
-    turn = F.row_number().over(Window.partitionBy("_row").orderBy("_row")) - 1
-    return keyed.withColumn(name, F.sha2(F.concat_ws(":", F.col("_row"), turn.cast("string")), 256)).drop("_row")
+    row = F.struct(*[col(c) for c in df.columns])
+    # equal rows are counted, and the counts unfolded again in stretches that are dealt to all tasks
+    kinds = df.select(F.sha2(canonical(df), 256).alias("digest"), row.alias("row")).groupBy("digest").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    small = kinds.where(F.col("n") <= COPIES).select("digest", "row", "n", F.lit(0).cast("long").alias("k"))
+    large = kinds.where(F.col("n") > COPIES).select("digest", "row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))).alias("k"))
+    first = F.col("k") * COPIES
+    dealt = small.unionByName(large.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest", "k"))
+    each = dealt.select("digest", "row", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)).alias("turn"))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.sha2(F.concat_ws(":", F.col("digest"), F.col("turn").cast("string")), 256).alias(name))
 
 
 def schema_string(df: DataFrame) -> str:
@@ -37,11 +47,14 @@ def schema_string(df: DataFrame) -> str:
 
 
 def frame_digest(df: DataFrame) -> DataFrame:
-    """One row (n_rows, digest): the sum and xor of row hashes with the schema; no row is gathered."""
-    h1, h2 = F.xxhash64(canonical(df)), F.xxhash64(F.lit(7), canonical(df))
-    agg = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h1.cast("decimal(38,0)")).alias("s"), F.bit_xor(h2).alias("x"))
-    text = F.concat_ws("|", F.lit(schema_string(df)), F.col("n_rows").cast("string"), F.coalesce(F.col("s"), F.lit(0)).cast("string"), F.coalesce(F.col("x"), F.lit(0)).cast("string"))
-    return agg.select("n_rows", F.sha2(text, 256).alias("digest"))
+    """One row (n_rows, digest): SHA-256 of the schema and of four sums over the rows' SHA-256; no row is gathered.
+
+    Each sum adds 15 of the hex digits, so the digest does not depend on any order and counts repeated rows.
+    """
+    rows = df.select(F.sha2(canonical(df), 256).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)"))
+    agg = rows.agg(F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(part(i), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)])
+    return agg.select("n_rows", F.sha2(F.concat_ws("|", F.lit(schema_string(df)), F.col("n_rows").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("digest"))
 
 
 def strict_digest(df: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.where("_n > 1").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_duplicates"))
 
 
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n) of every key that stands in more than one row."""
+    return df.groupBy(*[col(c) for c in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 class ContractError(ValueError):
     """A table that breaks its contract; ``problems`` lists how."""
 
@@ -102,7 +107,7 @@ class Contract:
             elif types[name] not in (want.lower(), TYPE_NAMES.get(want.lower())):
                 found.append(f"{name} is {types[name]}, not {want}")
         if self.unique and not (missing := set(self.unique) - set(types)):
-            if repeated := df.groupBy(*[col(c) for c in self.unique]).count().where("count > 1").count():
+            if repeated := repeated_keys(df, self.unique).count():
                 found.append(f"{repeated} keys {self.unique} repeat")
         elif self.unique:
             found.append(f"missing key columns {sorted(missing)}")
