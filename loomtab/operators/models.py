@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import col
@@ -30,24 +32,55 @@ Fit = Callable[[DataFrame, list[str], str], Scorer]
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     """Features as a vector; null and NaN count as 0 (impute before)."""
-    numbers = [F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(features)]
+    numbers = [_number(c).alias(f"_f{i}") for i, c in enumerate(features)]
     wide = df.select("*", *numbers)
     return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(wide).drop(*[f"_f{i}" for i in range(len(features))])
 
 
-def _ml(estimator: Callable[[DataFrame, str], object], classifier: bool) -> Fit:
-    def fit(df: DataFrame, features: list[str], label: str) -> Scorer:
-        model = estimator(assembled(df, features), label)
-
-        def score(new: DataFrame) -> DataFrame:
-            out = model.transform(assembled(new, features))
-            if classifier and "probability" in out.columns:
+@dataclass(frozen=True)
+class Fitted:
+    """A fitted model as a Scorer that can be saved: plain numbers, or an MLlib model over the assembled features."""
+
+    features: list[str]
+    constant: float | None = None
+    probability: list[float] | None = None
+    weights: list[float] | None = None
+    model: Model | None = None
+
+    def __call__(self, new: DataFrame) -> DataFrame:
+        if self.model is not None:
+            out = self.model.transform(assembled(new, self.features))
+            if "probability" in out.columns:
                 out = out.withColumn("probability", vector_to_array("probability"))
-            return out.drop("_x", "rawPrediction")
+            return out.drop("_x", "_z", "rawPrediction")
+        line: Column = F.lit(self.constant)
+        for w, c in zip(self.weights or [], self.features, strict=False):
+            line = line + F.lit(w) * _number(c)
+        added = {"prediction": line}
+        if self.probability is not None:
+            added["probability"] = F.array(*map(F.lit, self.probability))
+        return new.withColumns(added)
 
-        return score
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write to a folder of any store that Spark reaches."""
+        plain = {"features": self.features, "constant": self.constant, "probability": self.probability, "weights": self.weights, "mllib": self.model is not None}
+        if self.model is not None:
+            PipelineModel([self.model]).write().overwrite().save(f"{path}/mllib")
+        spark.createDataFrame([(json.dumps(plain),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
-    return fit
+
+def load_model(spark: SparkSession, path: str) -> Fitted:
+    plain = json.loads(spark.read.text(f"{path}/model").first().value)
+    model = PipelineModel.load(f"{path}/mllib") if plain.pop("mllib") else None
+    return Fitted(**plain, model=model)
+
+
+def _number(name: str) -> Column:
+    return F.coalesce(F.nanvl(col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def _ml(estimator: Callable[[DataFrame, str], Model]) -> Fit:
+    return lambda df, features, label: Fitted(features, model=estimator(assembled(df, features), label))
 
 
 def naive() -> Fit:
@@ -56,11 +89,10 @@ def naive() -> Fit:
     def fit(df: DataFrame, features: list[str], label: str) -> Scorer:
         if dict(df.dtypes)[label] in ("double", "float"):
             mean = df.agg(F.avg(col(label))).first()[0]
-            return lambda new: new.withColumn("prediction", F.lit(mean))
+            return Fitted(features, constant=mean)
         counts = df.where(col(label).isNotNull()).groupBy(col(label).alias("y")).count().orderBy(F.desc("count"), "y").collect()
         top, classes = counts[0].y, max(int(r.y) for r in counts) + 1
-        one_hot = F.array(*[F.lit(float(k == int(top))) for k in range(classes)])
-        return lambda new: new.withColumns({"prediction": F.lit(float(top)), "probability": one_hot})
+        return Fitted(features, constant=float(top), probability=[float(k == int(top)) for k in range(classes)])
 
     return fit
 
@@ -73,16 +105,9 @@ def logistic(c: float = 1.0, scaled: bool = False, max_iter: int = 100) -> Fit:
         lr = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
         if not scaled:
             return lr.fit(x)
-        scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(x)
-        model = lr.setFeaturesCol("_z").fit(scaler.transform(x))
-
-        class Both:
-            def transform(self, df: DataFrame) -> DataFrame:
-                return model.transform(scaler.transform(df)).drop("_z")
+        return Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_z", withMean=True), lr.setFeaturesCol("_z")]).fit(x)
 
-        return Both()
-
-    return _ml(estimate, True)
+    return _ml(estimate)
 
 
 def ridge(alpha: float = 1.0) -> Fit:
@@ -90,7 +115,7 @@ def ridge(alpha: float = 1.0) -> Fit:
 
     def fit(df: DataFrame, features: list[str], label: str) -> Scorer:
         names = [*features, label]
-        values = [F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names]
+        values = [_number(c) for c in names]
         d = len(names)
         means = df.agg(*[F.avg(v) for v in values]).first()
         centred = [v - F.lit(m or 0.0) for v, m in zip(values, means, strict=True)]
@@ -101,10 +126,7 @@ def ridge(alpha: float = 1.0) -> Fit:
             gram[i, j] = gram[j, i] = s or 0.0
         w = np.linalg.solve(gram[:-1, :-1] + alpha * np.eye(d - 1), gram[:-1, -1]) if d > 1 else np.zeros(0)
         bias = (means[d - 1] or 0.0) - float(sum(a * (m or 0.0) for a, m in zip(w, means, strict=False)))
-        line: Column = F.lit(bias)
-        for a, v in zip(w.tolist(), values, strict=False):
-            line = line + F.lit(a) * v
-        return lambda new: new.withColumn("prediction", line)
+        return Fitted(features, constant=bias, weights=w.tolist())
 
     return fit
 
@@ -112,22 +134,22 @@ def ridge(alpha: float = 1.0) -> Fit:
 def gbt(task: str, classes: int = 2, trees: int = 50, depth: int = 5, step: float = 0.1, seed: int = 42) -> Fit:
     """Gradient-boosted trees; for more than two classes one model against the rest for each."""
     if task == "regression":
-        return _ml(lambda x, y: GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(x), False)
+        return _ml(lambda x, y: GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(x))
     one = lambda y: GBTClassifier(featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
     if classes <= 2:
-        return _ml(lambda x, y: one(y).fit(x), True)
-    return _ml(lambda x, y: OneVsRest(classifier=one(y), featuresCol="_x", labelCol=y).fit(x), True)
+        return _ml(lambda x, y: one(y).fit(x))
+    return _ml(lambda x, y: OneVsRest(classifier=one(y), featuresCol="_x", labelCol=y).fit(x))
 
 
 def forest(task: str, trees: int = 100, depth: int = 10, seed: int = 42) -> Fit:
     if task == "regression":
-        return _ml(lambda x, y: RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(x), False)
-    return _ml(lambda x, y: RandomForestClassifier(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(x), True)
+        return _ml(lambda x, y: RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(x))
+    return _ml(lambda x, y: RandomForestClassifier(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(x))
 
 
 def perceptron(n_features: int, classes: int, hidden: int = 32, seed: int = 42) -> Fit:
     """A small neural network, in place of deep tabular models that need a GPU."""
-    return _ml(lambda x, y: MultilayerPerceptronClassifier(featuresCol="_x", labelCol=y, layers=[n_features, hidden, classes], seed=seed).fit(x), True)
+    return _ml(lambda x, y: MultilayerPerceptronClassifier(featuresCol="_x", labelCol=y, layers=[n_features, hidden, classes], seed=seed).fit(x))
 
 
 #: Models by name: (task, settings) -> Fit.  One canonical name is used everywhere.
@@ -149,11 +171,9 @@ def make_model(name: str, task: str, **settings) -> Fit:
     return FACTORY[name](task, **settings)
 
 
-def select_models(n_rows: int, requested: Iterable[str] | None = None) -> list[str]:
-    """Baselines first, then trees; one deep forest less on very many rows."""
-    if requested:
-        return ["naive", "linear", *[m for m in requested if m not in ("naive", "linear")]]
-    return ["naive", "linear", "gbt", *(["forest"] if n_rows < 500_000 else [])]
+def select_models(requested: Iterable[str] | None = None) -> list[str]:
+    """Baselines first, then the requested models, else the trees; the same at every size."""
+    return ["naive", "linear", *[m for m in requested or ("gbt", "forest") if m not in ("naive", "linear")]]
 
 
 def with_folds(df: DataFrame, folds: int, seed: int, keys: list[str] | None = None, name: str = "_fold") -> DataFrame:
@@ -162,29 +182,39 @@ def with_folds(df: DataFrame, folds: int, seed: int, keys: list[str] | None = No
 
 
 def measure(scored: DataFrame, label: str, names: Iterable[str], classes: int = 2) -> dict[str, float | None]:
-    """Metrics of a frame with ``prediction`` and maybe ``probability``."""
+    """Metrics of a frame with ``prediction`` and maybe ``probability``: scored once, all plain averages in one aggregate."""
+    names = list(names)
+    if unknown := [n for n in names if n not in _FAMILY and n not in M.METRICS]:
+        raise ModelError(f"no metric {unknown[0]}")
+    if "probability" not in scored.columns and (lacking := [n for n in names if n in ("roc_auc", "log_loss")]):
+        raise ModelError(f"{lacking[0]} needs probabilities")
+    plugins = [n for n in names if n not in _FAMILY]
+    rows = scored if plugins else scored.select(label, *[c for c in ("prediction", "probability") if c in scored.columns])
+    rows = rows.persist()
     out: dict[str, float | None] = {}
-    for name in names:
-        if name in ("rmse", "mae", "r2"):
-            out[name] = M.regression_metrics(scored, label, "prediction").first()[name]
-        elif name in ("accuracy", "f1_macro"):
-            out[name] = M.classification_metrics(scored, label, "prediction").first()[name]
-        elif name in ("roc_auc", "log_loss"):
-            if "probability" not in scored.columns:
-                raise ModelError(f"{name} needs probabilities")
-            if name == "roc_auc" and classes > 2:
-                out[name] = M.roc_auc_ovr(scored, label, "probability", classes)
-            elif name == "roc_auc":
-                out[name] = M.roc_auc(scored.withColumn("_s", F.get("probability", F.lit(1))), label, "_s").first()[0]
-            else:
-                own = F.get("probability", col(label).cast("int"))
-                clipped = F.least(F.greatest(own, F.lit(M.EPSILON)), F.lit(1 - M.EPSILON))
-                out[name] = scored.agg(-F.avg(F.log(clipped))).first()[0]
-        elif name in M.METRICS:
-            out[name] = M.METRICS[name](scored, label, "prediction").first()[0]
-        else:
-            raise ModelError(f"no metric {name}")
-    return out
+    try:
+        wanted = {_FAMILY[n] for n in names if n in _FAMILY}
+        if "error" in wanted:
+            out |= M.regression_metrics(rows, label, "prediction").first().asDict()
+        if "confusion" in wanted:
+            out |= M.classification_metrics(rows, label, "prediction").first().asDict()
+        if "log_loss" in names:
+            own = F.get("probability", col(label).cast("int"))
+            clipped = F.least(F.greatest(own, F.lit(M.EPSILON)), F.lit(1 - M.EPSILON))
+            out["log_loss"] = rows.agg(-F.avg(F.log(clipped))).first()[0]
+        if "roc_auc" in names and classes > 2:
+            out["roc_auc"] = M.roc_auc_ovr(rows, label, "probability", classes)
+        elif "roc_auc" in names:
+            out["roc_auc"] = M.roc_auc(rows.select(col(label), F.get("probability", F.lit(1)).alias("_s")), label, "_s").first()[0]
+        for name in plugins:
+            out[name] = M.METRICS[name](rows, label, "prediction").first()[0]
+    finally:
+        rows.unpersist()
+    return {n: out[n] for n in names}
+
+
+#: Metrics of one aggregate.
+_FAMILY = {"rmse": "error", "mae": "error", "r2": "error", "accuracy": "confusion", "f1_macro": "confusion", "log_loss": "loss", "roc_auc": "rank"}
 
 
 def cross_validate(
@@ -198,7 +228,7 @@ def cross_validate(
     membership: DataFrame | None = None,
     classes: int = 2,
     prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
-    workers: int = 1,
+    workers: int = 4,
 ) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each metric over the folds.
 

@@ -223,9 +223,16 @@ def frame_digest(spark, d):
     return identity.strict_digest(table(spark, d, "region"))
 
 
-@query()
+_DIGITS = ", ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::bigint::hugeint)::varchar as s{i}" for i in range(4))
+
+
+@query(
+    f"""with r as (select sha256(concat_ws('|', '=' || o_custkey::varchar, '=' || o_orderkey::varchar, '=' || o_orderpriority, '=' || o_orderstatus)) as h from orders),
+s as (select count(*) as n_rows, {_DIGITS} from r)
+select n_rows, sha256(concat_ws('|', 'o_custkey:bigint,o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string', n_rows::varchar, s0, s1, s2, s3)) as digest from s"""
+)
 def frame_digest_scalable(spark, d):
-    return identity.frame_digest(table(spark, d, "orders"))
+    return identity.frame_digest(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
 
 
 def _ids(spark, d) -> DataFrame:
@@ -386,7 +393,7 @@ def interaction_ratio(spark, d):
 
 @query("select round(avg(((l_extendedprice - m) / s) ** 3), 6) as skew from lineitem, (select avg(l_extendedprice) as m, stddev_pop(l_extendedprice) as s from lineitem)")
 def target_skewness(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(F.skewness("l_extendedprice"), 6).alias("skew"))
+    return spark.createDataFrame([(features.skewness(table(spark, d, "lineitem"), "l_extendedprice"),)], "skew double").select(F.round("skew", 6).alias("skew"))
 
 
 @query("select event_id, round(ln(1 + value), 9) as z, round(value, 6) as back from events")
@@ -420,7 +427,7 @@ def contract_nulls(spark, d):
 
 @query("select l_orderkey, l_suppkey % 7 as k, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
 def contract_unique(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return profile.repeated_keys(table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 7).alias("k")), ["l_orderkey", "k"])
 
 
 @query("select 'warning' as severity, 'id_like' as code, 'o_orderkey' as \"column\" union all select 'warning', 'continuous_target', 'o_totalprice' union all select 'warning', 'rare_class', 'o_totalprice'")
@@ -606,6 +613,8 @@ def medallion_run(spark, d):
     from .lake import medallion_run as run
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     if base and not base.startswith(("file:", "/")):
         raise ValueError("the lake needs a mounted shared folder")
     root = tempfile.mkdtemp(dir=base.removeprefix("file://").removeprefix("file:") if base else None)

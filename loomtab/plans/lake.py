@@ -162,9 +162,17 @@ def catalog_query(spark: SparkSession, query: str) -> DataFrame:
 
 
 def lineage_closure(edges: DataFrame, product: str, rounds: int = 50) -> DataFrame:
-    """(product_id) of everything that ``product`` was made from."""
-    edges.createOrReplaceTempView("_edges")
-    return edges.sparkSession.sql("with recursive up as (select upstream as product_id from _edges where downstream = :p union all select e.upstream from up join _edges e on e.downstream = up.product_id) select distinct product_id from up", args={"p": product})
+    """(product_id) of everything that ``product`` was made from, in steps of one edge; cycles end, over ``rounds`` steps are an error."""
+    edges = edges.select("upstream", "downstream").distinct().cache()
+    new = edges.where(F.col("downstream") == product).select(F.col("upstream").alias("product_id")).distinct().cache()
+    seen = new
+    for _ in range(rounds):
+        if new.isEmpty():
+            return seen
+        above = edges.join(new, edges.downstream == new.product_id).select(F.col("upstream").alias("product_id")).distinct()
+        new = above.join(seen, "product_id", "left_anti").cache()
+        seen = seen.unionByName(new)
+    raise ValueError(f"more than {rounds} steps above {product}")
 
 
 def quality_json(product: Product, spark: SparkSession) -> str:

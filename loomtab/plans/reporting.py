@@ -30,7 +30,7 @@ def with_primary(events: DataFrame, preferred: str | None = None, scores: str =
 
 
 def newest(events: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``: an aggregate by struct, not a sort of each key's rows."""
+    """The first row of each key in ``order``.  Spark turns the filter into a group limit: each task passes one row of a key on."""
     rest = [c for c in events.columns if c not in keys]
     ranked = events.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_n = 1").select(*keys, *rest)

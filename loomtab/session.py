@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-
-from .operators import drift
-from .operators.models import cross_validate, make_model, select_models
+from pyspark.sql import functions as F
+
+from .operators import drift, splits
+from .operators.audit import drop_noise, label_noise, leakage_audit
+from .operators.features import engineer, interaction_candidates
+from .operators.identity import frame_digest, with_row_ids
+from .operators.metrics import lower_is_better
+from .operators.models import cross_validate, fit_calibrator, make_model, select_models
 from .operators.prep import fit_prep
 from .operators.profile import preflight
 from .plans import lake, reporting
+from .plans.bundle import Predictor, export_bundle, load_bundle
 from .schema import numeric_columns
 from .sources.events import EventLog, read_events
 from .sources.tables import load_data
 
 
+#: Split kinds of a run: (rows with row_id, config) -> membership.
+SPLITS = {
+    "kfold": lambda rows, c: splits.kfold(rows, c.folds, c.seed),
+    "stratified": lambda rows, c: splits.stratified(rows, c.target, c.folds, c.seed),
+    "group": lambda rows, c: splits.group_kfold(rows, c.column, c.folds),
+    "time": lambda rows, c: splits.time_split(rows, c.column, c.folds),
+}
+
+
+def exact_sample(df: DataFrame, share: float, seed: int) -> DataFrame:
+    """``share`` of the rows, rounded, but one at least: those first in the order of a seeded hash of content and copy."""
+    rows = with_row_ids(df, "_id")
+    n = rows.count()
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "_id"), 256)
+    return splits.positions(rows, [order], "_at", hexed=True).where(F.col("_at") < max(1, round(share * n))).drop("_id", "_at")
+
+
+def lifts(scores: dict[str, float], baseline: dict[str, float]) -> dict[str, float]:
+    """Relative gain over the baseline of each metric that both have, in the metric's direction."""
+    out = {}
+    for m, v in scores.items():
+        if baseline.get(m):
+            gain = (v - baseline[m]) / abs(baseline[m])
+            out[m] = -gain if lower_is_better(m) else gain
+    return out
+
+
 @dataclass(frozen=True)
 class ExperimentConfig:
     target: str
@@ -30,11 +65,35 @@ class ExperimentConfig:
     seed: int = 42
     ignore: tuple[str, ...] = ()
     settings: dict = field(default_factory=dict)
-    workers: int = 1
+    workers: int = 4
+    #: Features: as prepared (``none``) or with interactions that help, pruned (``afe``).
+    strategy: str = "none"
+    #: Folds: by row hash, or a stored kind of split; ``column`` is that of a group or time split.
+    split: str = "hash"
+    column: str | None = None
+    calibration: str | None = None
+    #: Least label quality of the rows to train on; loss of score under permutation from which on a feature is named a leak.
+    noise: float | None = None
+    leakage: float | None = None
+    #: Share of the rows to run on, exactly that many; whether an equal run goes on.
+    share: float = 1.0
+    resume: bool = False
 
     def __post_init__(self):
-        if self.task not in ("classification", "regression"):
-            raise ValueError(f"no task {self.task}")
+        for value, known in ((self.task, ("classification", "regression")), (self.strategy, ("none", "afe")), (self.split, ("hash", *SPLITS))):
+            if value not in known:
+                raise ValueError(f"{value} is none of {known}")
+        if not 0 < self.share <= 1:
+            raise ValueError("share must be over 0 and at most 1")
+
+    @property
+    def key(self) -> dict:
+        """What makes two runs equal."""
+        return {k: v for k, v in sorted(asdict(self).items()) if k not in ("workers", "resume")}
+
+    def membership(self, rows: DataFrame) -> DataFrame:
+        """The stored split of rows with a ``row_id``."""
+        return SPLITS[self.split](rows, self)
 
     @property
     def measured(self) -> tuple[str, ...]:
@@ -53,39 +112,91 @@ class ExperimentSession:
         return load_data(self.spark, path)
 
     def plan(self, config: ExperimentConfig, df: DataFrame) -> dict:
-        return {"config": config.__dict__, "rows": (n := df.count()), "models": select_models(n, config.models), "issues": preflight(df, config.target, config.task, list(config.ignore), folds=config.folds)}
+        return {"config": config.__dict__, "rows": (n := df.count()), "models": select_models(config.models), "issues": preflight(df, config.target, config.task, list(config.ignore), folds=config.folds)}
 
     def run(self, config: ExperimentConfig, df: DataFrame) -> DataFrame:
-        """Cross-validate every model, log what came out, update the registry; the leaderboard of this run.
+        """Cross-validate every model, fit it on all rows, calibrate, save and log it; the leaderboard of this run.
 
-        Preparation is fitted on the training rows of each fold.  A model that fails is logged and left out.
+        Preparation is fitted on the training rows of each fold.  A model that fails is logged and left out.  With
+        ``resume`` a run of an equal configuration and equal data goes on: models it completed are not run again.
         """
-        run_id = uuid.uuid4().hex[:12]
-        rows = df.count()
+        if config.share < 1:
+            df = exact_sample(df, config.share, config.seed)
+        digest = frame_digest(df).first()
+        rows = digest.n_rows
+        run_id = hashlib.sha256(json.dumps([config.key, rows, digest.digest], sort_keys=True).encode()).hexdigest()[:12] if config.resume else uuid.uuid4().hex[:12]
         say = lambda **e: self.log.append({"run_id": run_id, "timestamp": datetime.now(timezone.utc).isoformat(), "task": config.task, "n_rows": rows, **e})
-        say(event="experiment_started")
+        past = {r.model for r in self.events().where((F.col("run_id") == run_id) & (F.col("event") == "model_completed")).select("model").collect()} if config.resume and self.log.files() else set()
+        say(event="experiment_started", config=json.dumps(config.key))
         ignore = list(config.ignore)
-        sample = fit_prep(df, config.target, ignore).transform(df)
-        features = [c for c in numeric_columns(sample) if c != config.target]
-        done = 0
-        for name in select_models(rows, config.models):
+        if config.noise is not None:
+            df = self._cleaned(df, config, say)
+        prep = fit_prep(df, config.target, ignore)
+        ready = prep.transform(df)
+        features, interactions = [c for c in numeric_columns(ready) if c != config.target], ()
+        if config.strategy == "afe":
+            fit, metric = make_model("linear", config.task), "r2" if config.task == "regression" else "roc_auc"
+            wide, features = engineer(ready, features, config.target, fit, metric, seed=config.seed)
+            interactions = tuple(i for i in interaction_candidates([c for c in numeric_columns(ready) if c != config.target]) if i.name in features)
+        if config.leakage is not None:
+            for f in leakage_audit(ready, [c for c in features if c in ready.columns], config.target, config.task, config.leakage, seed=config.seed):
+                say(event="leakage_found", config=json.dumps({"feature": f.feature, "baseline": f.baseline, "permuted": f.permuted}))
+        keyed = with_row_ids(df) if config.split != "hash" else df
+        members = config.membership(keyed) if config.split != "hash" else None
+
+        def prepare(train: DataFrame):
+            change = fit_prep(train.drop("_fold", "row_id", "fold", "role"), config.target, ignore).transform
+            return lambda new: change(new).withColumns({i.name: i.expression for i in interactions}) if interactions else change(new)
+
+        done, baseline = len(past), None
+        for name in [m for m in select_models(config.models) if m not in past]:
             began = time.time()
             settings = config.settings.get(name, {})
+            path = f"{self.workspace}/artifacts/{run_id}/{name}"
             try:
                 fit = make_model(name, config.task, **settings)
-                prepare = lambda train: fit_prep(train.drop("_fold"), config.target, ignore).transform
                 metrics = [m for m in config.measured if not (name == "naive" and m == "roc_auc")] or ["accuracy"]
-                scores = cross_validate(df, features, config.target, fit, metrics, config.folds, config.seed, prepare=prepare, workers=config.workers)
-                say(event="model_completed", model=name, cv_scores={m: v[0] for m, v in scores.items()}, cv_std={m: v[1] for m, v in scores.items()}, params={k: str(v) for k, v in settings.items()}, duration_seconds=time.time() - began, artifact_path=f"{run_id}/{name}")
+                scores = cross_validate(keyed, features, config.target, fit, metrics, config.folds, config.seed, membership=members, prepare=prepare, workers=config.workers)
+                wide = ready.withColumns({i.name: i.expression for i in interactions}) if interactions else ready
+                calibrator = None
+                if config.calibration and config.task == "classification" and name != "naive":
+                    calibrator = fit_calibrator(wide, features, config.target, fit, config.calibration, seed=config.seed)
+                export_bundle(self.spark, path, Predictor(prep, fit(wide, features, config.target), interactions, calibrator), {"run_id": run_id, "model": name, "target": config.target})
+                first = {m: v[0] for m, v in scores.items()}
+                baseline = baseline or first
+                say(event="model_completed", model=name, cv_scores=first, cv_std={m: v[1] for m, v in scores.items()}, params={k: str(v) for k, v in settings.items()}, lift=lifts(first, baseline), calibration=config.calibration, duration_seconds=time.time() - began, artifact_path=path)
                 done += 1
             except Exception as e:
                 say(event="model_failed", model=name, error=str(e)[:500])
         if not done:
             raise RuntimeError("every model failed")
-        board = self.leaderboard().where(f"run_id = '{run_id}'")
+        board = self.leaderboard().where(F.col("run_id") == run_id)
         self.registry.update(board)
         return board
 
+    def _cleaned(self, df: DataFrame, config: ExperimentConfig, say) -> DataFrame:
+        """Without rows whose label is probably wrong: those under ``noise``; how many is logged, with the first 100 ids."""
+        if config.task != "classification":
+            return df
+        named = with_row_ids(df)
+        ready = fit_prep(named, config.target, [*config.ignore, "row_id"]).transform(named.withColumn("_id", F.col("row_id"))).withColumnRenamed("_id", "row_id")
+        features = [c for c in numeric_columns(ready) if c != config.target]
+        report = label_noise(ready, features, config.target, seed=config.seed)
+        if not report.enabled:
+            return df
+        flagged = report.scores.where("is_issue").orderBy("row_id").limit(100)
+        say(event="noise_found", config=json.dumps({"rows": report.n_rows, "issues": report.n_issues, "first": [r.row_id for r in flagged.select("row_id").collect()]}))
+        return drop_noise(named, report.scores, config.noise).drop("row_id")
+
+    def predictor(self, artifact: str) -> Predictor:
+        """The saved predictor of a completed model, by its logged ``artifact_path``."""
+        return load_bundle(self.spark, artifact)
+
+    def export(self, key: str, path: str) -> str:
+        """The champion of a registry key as a bundle of its own."""
+        entry = self.registry.load()[key]
+        return export_bundle(self.spark, path, self.predictor(entry["artifact_path"]), entry)
+
     def drift_check(self, reference: DataFrame, live: DataFrame, method: str = "ks") -> dict:
         out = drift.detect(reference, live, method)
         self.log.append({"event": "drift_check", "timestamp": datetime.now(timezone.utc).isoformat(), "error": None, "config": method})
@@ -97,8 +208,9 @@ class ExperimentSession:
     def leaderboard(self, limit: int | None = None) -> DataFrame:
         return reporting.leaderboard(reporting.with_primary(reporting.dedupe_events(self.events())), limit)
 
-    def promote(self, key: str, entry: dict) -> bool:
-        return self.registry.promote(key, entry, force=True)
+    def promote(self, key: str, entry: dict, force: bool = False) -> bool:
+        """Take the entry as champion if it is strictly better; ``force`` takes it in any case."""
+        return self.registry.promote(key, entry, force)
 
     def state(self) -> str:
         return reporting.state_markdown(self.events(), self.registry.load())

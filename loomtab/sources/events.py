@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 EVENT_SCHEMA = (
     "event string, run_id string, timestamp string, model string, task string, dataset string, n_rows long, "
     "cv_scores map<string,double>, cv_std map<string,double>, params map<string,string>, calibration string, "
-    "duration_seconds double, artifact_path string, error string, config string"
+    "duration_seconds double, artifact_path string, error string, config string, lift map<string,double>"
 )
 
 
