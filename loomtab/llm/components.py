@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_IDS, cut
+from .runtime import BROADCAST_IDS, cut, forget
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     before = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, small=False), small=True))
+        last, now = now, cut(_star(_star(now, small=False), small=True))
+        forget(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

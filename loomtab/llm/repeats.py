@@ -28,7 +28,7 @@ U = np.uint64
 GRAM = 32
 _POS_BITS = 28
 #: Bytes of a text that are searched for anchors at once (positions must fit their bits).
-_CHUNK = 1 << 24
+_CHUNK = 1 << 21
 #: Kinds of one key that may stand in a shard; a larger group is split by finer keys.  Parts of each split.
 GROUP_LIMIT, SPLIT = 500, 8
 #: Kinds of a shard, about; anchors, or kinds with their places, that are sent to every executor at most (some 50 bytes each).

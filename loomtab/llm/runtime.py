@@ -38,12 +38,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse's sibling for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session, as in tests, may lack it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found is None:
-        found = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -51,12 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files every executor can read.
 
-    All files of an application lie in one folder there, which can go when the application has ended.
+    All files of an application lie in one folder there, which can go when the application has ended.  ``forget`` deletes
+    those of a frame that nothing reads any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtab-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.cut_path = path
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a cut frame, once all that was made of it is cut too."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -77,6 +89,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
