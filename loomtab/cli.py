@@ -25,6 +25,31 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--task", default="classification")
         s.add_argument("--folds", type=int, default=5)
     run.add_argument("--models", nargs="*", default=[])
+    run.add_argument("--quick", action="store_true", help="run on a fifth of the rows")
+    run.add_argument("--resume", action="store_true", help="go on with an equal run")
+    run.add_argument("--strategy", default="none", choices=["none", "afe"])
+    run.add_argument("--split", default="hash", choices=["hash", "kfold", "stratified", "group", "time"])
+    run.add_argument("--column", help="column of a group or time split")
+    run.add_argument("--calibration", choices=["platt", "isotonic"])
+    plan = sub.add_parser("plan")
+    ingest = sub.add_parser("ingest")
+    for s in (plan, ingest):
+        s.add_argument("--data", required=True)
+    plan.add_argument("--target", required=True)
+    plan.add_argument("--task", default="classification")
+    sub.add_parser("registry")
+    export = sub.add_parser("export")
+    export.add_argument("key")
+    export.add_argument("path")
+    predict = sub.add_parser("predict")
+    predict.add_argument("--bundle", required=True)
+    predict.add_argument("--data", required=True)
+    predict.add_argument("--out", required=True)
+    verify = sub.add_parser("verify")
+    verify.add_argument("layer")
+    verify.add_argument("product")
+    lineage = sub.add_parser("lineage")
+    lineage.add_argument("product")
     hpo.add_argument("--model", default="gbt")
     hpo.add_argument("--trials", type=int, default=10)
     drift = sub.add_parser("drift")
@@ -48,7 +73,25 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     session = ExperimentSession(spark, a.workspace)
     if a.command == "run":
-        session.run(ExperimentConfig(a.target, a.task, models=tuple(a.models), folds=a.folds), session.load(a.data)).show(truncate=False)
+        config = ExperimentConfig(a.target, a.task, models=tuple(a.models), folds=a.folds, strategy=a.strategy, split=a.split, column=a.column, calibration=a.calibration, share=0.2 if a.quick else 1.0, resume=a.resume)
+        session.run(config, session.load(a.data)).show(truncate=False)
+    elif a.command == "plan":
+        print(json.dumps(session.plan(ExperimentConfig(a.target, a.task), session.load(a.data)), default=lambda o: o.__dict__, sort_keys=True))
+    elif a.command == "ingest":
+        print(lake.Lake(spark, f"{a.workspace}/lake").bronze(session.load(a.data), {"path": a.data}).product_id)
+    elif a.command == "registry":
+        print(json.dumps(session.registry.load(), sort_keys=True, indent=2))
+    elif a.command == "export":
+        print(session.export(a.key, a.path))
+    elif a.command == "predict":
+        session.predictor(a.bundle)(session.load(a.data)).drop("probability").write.mode("errorifexists").parquet(a.out)
+    elif a.command == "verify":
+        lake.Lake(spark, f"{a.workspace}/lake").open(a.layer, a.product, verify=True)
+        print("as committed")
+    elif a.command == "lineage":
+        lake.Lake(spark, f"{a.workspace}/lake").catalog()
+        for r in sorted(lake.lineage_closure(spark.table("lineage"), a.product).collect()):
+            print(r.product_id)
     elif a.command == "check":
         issues = session.plan(ExperimentConfig(a.target, a.task, folds=a.folds), session.load(a.data))["issues"]
         for i in issues:
@@ -60,10 +103,12 @@ def main(argv: list[str] | None = None) -> int:
         from .schema import numeric_columns
 
         df = session.load(a.data)
-        ready = fit_prep(df, a.target).transform(df).cache()
-        features = [c for c in numeric_columns(ready) if c != a.target]
+        df = df.cache()
+        features = [c for c in numeric_columns(fit_prep(df, a.target).transform(df)) if c != a.target]
         metric = "r2" if a.task == "regression" else "roc_auc"
-        best, trials = search(lambda s: cross_validate(ready, features, a.target, make_model(a.model, a.task, **s), [metric], a.folds)[metric][0], SPACES[a.model], metric, a.trials)
+        # fitted on each fold's training rows, so that no trial sees its validation rows
+        prepare = lambda train: fit_prep(train.drop("_fold"), a.target).transform
+        best, trials = search(lambda s: cross_validate(df, features, a.target, make_model(a.model, a.task, **s), [metric], a.folds, prepare=prepare)[metric][0], SPACES[a.model], metric, a.trials)
         print(json.dumps({"best": best.settings, metric: best.score, "importances": importances(trials)}))
     elif a.command == "drift":
         print(json.dumps(session.drift_check(session.load(a.reference), session.load(a.new), a.method), default=lambda o: o.__dict__))

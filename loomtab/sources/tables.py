@@ -56,16 +56,18 @@ def check_select(query: str) -> str:
 _SQL_TYPES = {int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType()}
 
 
-def load_sqlite(spark: SparkSession, database: str, query: str) -> DataFrame:
-    """Rows of a SELECT over a local SQLite file, which is read on the driver; meant for small side tables."""
+def load_sqlite(spark: SparkSession, database: str, query: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of a SELECT over a local SQLite file.  The driver reads it, so more than ``most`` rows are an error."""
     query = check_select(query)
     try:
         with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as con:
             cursor = con.execute(query)
             names = [d[0] for d in cursor.description]
-            rows = cursor.fetchall()
+            rows = cursor.fetchmany(most + 1)
     except sqlite3.Error as e:
         raise DataLoadError(f"{database}: {e}") from e
+    if len(rows) > most:
+        raise DataLoadError(f"{database}: more than {most} rows")
     fields = []
     for i, name in enumerate(names):
         kinds = {type(r[i]) for r in rows if r[i] is not None}

@@ -99,3 +99,19 @@ def test_row_ids_of_many_copies(spark, monkeypatch):
     plain = sorted(r.row_id for r in identity.with_row_ids(df).collect())
     monkeypatch.setattr(identity, "COPIES", 4)
     assert sorted(r.row_id for r in identity.with_row_ids(df).collect()) == plain and len(set(plain)) == 26
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomtab.cli import main
+
+    data, work = str(tmp_path / "data.parquet"), str(tmp_path / "work")
+    frame(spark, 120).drop("g").write.parquet(data)
+    say = lambda *words: (main(["--workspace", work, *words]), capsys.readouterr().out)[1]
+    assert json.loads(say("plan", "--data", data, "--target", "y"))["rows"] == 120
+    product = say("ingest", "--data", data).strip()
+    assert say("verify", "bronze", product).strip() == "as committed" and say("lineage", product) == ""
+    assert "linear" in say("run", "--data", data, "--target", "y", "--models", "linear", "--folds", "2", "--split", "stratified", "--calibration", "isotonic")
+    assert json.loads(say("registry"))["classification"]["model"] == "linear"
+    bundle = say("export", "classification", str(tmp_path / "bundle")).strip()
+    say("predict", "--bundle", bundle, "--data", data, "--out", str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).where("score between 0 and 1").count() == 120
