@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from .runtime import BROADCAST_IDS, cut, forget
 
+#: Edges of a node from which on its smallest neighbour is sent to all tasks instead of its edges to one.
+HUB = 1000
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One star step.  ``edges`` (u, v) are distinct and u > v."""
+
+def _star(edges: DataFrame, small: bool, n: int) -> DataFrame:
+    """One star step.  ``edges`` (u, v) are distinct and u > v; ``n`` of them, of which a few need no care for hubs."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("u", "m")))
-    joined = _with_least(both, least)
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("u", "m"))
+    if n < 20 * HUB:
+        joined = both.join(least.select("u", "m"), "u")
+    else:
+        least = cut(least)
+        joined = _with_least(both, least)
     if small:
         # every neighbour, all smaller, and u itself hang under the smallest
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -21,10 +28,6 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-#: Edges of a node from which on its smallest neighbour is sent to all tasks instead of its edges to one.
-HUB = 1000
-
-
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """The edges (u, v) with u's least neighbour m; edges of hubs stay where they are, if hubs are counted to be few."""
     hubs = least.where(F.col("degree") >= HUB).select("u", "m")
@@ -41,14 +44,14 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     ``edges`` has columns u and v, in any order and repetition.  Each round ends in files of the shared folder.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    before = None
+    before, n = None, now.count()
     for _ in range(rounds):
-        last, now = now, cut(_star(_star(now, small=False), small=True))
+        last, now = now, cut(_star(_star(now, False, n), True, n))
         forget(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, n = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     under = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

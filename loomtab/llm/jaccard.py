@@ -24,13 +24,14 @@ from .words import mix, shingles
 
 U = np.uint64
 #: Documents sampled to see which shingles are frequent, and how often one must occur there.  It orders shingles,
-#: so that prefixes hold rare ones; any order gives the same links.
-ORDER_SAMPLE, ORDER_COUNT = 5000, 3
-#: Members of a tile; a larger list is compared block by block.
-FIRST_TILE, TILE = 1024, 4096
+#: so that prefixes hold rare ones; any order gives the same links, so at most ``ORDER_MOST`` are kept.
+ORDER_SAMPLE, ORDER_COUNT, ORDER_MOST = 5000, 3, 500_000
+#: Members, and shingles in all, of a tile of the early rounds; members of a tile; a larger list is compared block by block.
+FIRST_TILE, FIRST_SHINGLES, TILE = 1024, 400_000, 4096
 #: Salts of the hashes whose smallest value names a class's tile in the early rounds.
 SALTS = (U(0), U(0x51ED2701))
-_PAIRS = 1 << 20
+#: Pairs looked at together, and bytes of their bitmaps.
+_PAIRS, _BITMAP_BYTES = 1 << 18, 4 << 20
 
 
 def _prints(values: np.ndarray, first: np.ndarray):
@@ -138,8 +139,9 @@ def surviving_pairs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.
         for each in np.unique(w):
             row, table = words(int(each))
             own = np.flatnonzero(w == each)
-            for k in range(0, len(own), 50_000):
-                part = own[k : k + 50_000]
+            step = max(16, _BITMAP_BYTES * 8 // int(each))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
                 differ = np.bitwise_count(table[row[i[part]]] ^ table[row[j[part]]]).sum(1, dtype=np.int64)
                 part = part[(both[part] - differ) // 2 >= need[part]]
                 yield i[part], j[part]
@@ -171,18 +173,18 @@ class _Union:
 
 
 def frequent_shingles(df: DataFrame, size: int) -> np.ndarray:
-    """Shingles of ``ORDER_COUNT`` or more documents of a bounded sample; at most the sample's shingles over that."""
+    """The commonest shingles of ``ORDER_COUNT`` or more documents of a bounded sample."""
     rows = df.count()
     share = min(1.0, ORDER_SAMPLE / max(rows, 1))
     sample = df.select("text").where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 values, _ = shingles(*text_bytes(part.column(0)), size)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["h"])
 
-    kept = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= ORDER_COUNT).select("h").toArrow()
+    kept = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "h").limit(ORDER_MOST).select("h").toArrow()
     return np.sort(kept["h"].to_numpy().view(U))
 
 
@@ -191,7 +193,7 @@ def set_classes(df: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 values, first = shingles(*text_bytes(part.column(1)), size)
                 p1, p2 = _prints(values, first)
                 n = np.diff(first)
@@ -211,7 +213,7 @@ def prefix_rows(df: DataFrame, size: int, percent: int, frequent) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 values, first = shingles(*text_bytes(part.column(1)), size)
                 p1, p2 = _prints(values, first)
                 n = np.diff(first)
@@ -240,7 +242,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 values, first = shingles(*text_bytes(part.column(len(names))), size)
                 p1, _ = _prints(values, first)
                 ok = np.flatnonzero(p1.view(np.int64) == part.column(names.index("p1")).to_numpy())
@@ -267,8 +269,9 @@ def _early_round(docs: DataFrame, named: DataFrame, key: str, size: int, percent
     ``named`` has the classes with their component so far.  A large tile is dealt into parts: what they miss, the
     full round finds.
     """
-    counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select(key, "members")
-    parts = F.pmod(F.xxhash64(F.lit(key), "id"), F.ceil(F.col("members") / FIRST_TILE)).cast("int")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / FIRST_TILE), F.ceil(F.sum("n") / FIRST_SHINGLES)).cast("int")
+    counts = named.groupBy(key).agg(parts.alias("parts"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select(key, "parts")
+    parts = F.pmod(F.xxhash64(F.lit(key), "id"), F.col("parts")).cast("int")
     members = rows_with(named, cut(counts), key).select(F.col(key).alias("lead"), parts.alias("sub"), "id", "comp", "p1")
     texts = rows_with(docs, members, "id").select("lead", "sub", "id", "comp", "p1", "text")
     tiles = texts.repartition(shuffle_parts(docs.sparkSession), "lead", "sub").sortWithinPartitions("lead", "sub", "id")

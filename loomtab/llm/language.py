@@ -130,7 +130,7 @@ def count_features(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 langs, of = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
                 data, offsets = text_bytes(part.column(0))
                 data, starts, ends, first = _letter_words(data, offsets)
@@ -200,7 +200,7 @@ def identify_language(df: DataFrame, model: LanguageModel, text: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text, 1 << 18):
                 langs, p = shared.value.predict(column(part, text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(p)], names=names)
 

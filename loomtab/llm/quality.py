@@ -198,7 +198,7 @@ def estimate_rules(df: DataFrame, rules: Sequence[Rule], text: str = "text", sam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, gone, seen = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 given = Texts(*text_bytes(part.column(0)))
                 for measure in known:
                     getattr(given, measure)
@@ -246,7 +246,7 @@ def quality_filter(df: DataFrame, text: str = "text", rules: Sequence[Rule] = (*
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 19):
                 yield part.filter(pa.array(run_cascade(Texts(*text_bytes(column(part, text))), order)))
 
     return df.mapInArrow(run, df.schema)
@@ -264,7 +264,7 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text: str = "text", ru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 texts = Texts(*text_bytes(part.column(1)))
                 measures = [getattr(texts, c) for c in BASE]
                 failed = _too_short(texts) | _repetitive(texts)

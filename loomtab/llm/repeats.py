@@ -235,7 +235,7 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 18):
                 data, offsets = text_bytes(part.column(1))
                 doc, p, lo, hi, g, s = anchors(data, offsets, length)
                 uid = part.column(0).take(pa.array(doc))
@@ -264,7 +264,7 @@ def _units(docs: DataFrame, kinds: DataFrame) -> DataFrame:
             new = [not (u in served or served.add(u)) for u in uids]
             if len(served) > 100_000:
                 served.clear()
-            for part in slices(batch.filter(pa.array(new, pa.bool_())), "text", 1 << 20):
+            for part in slices(batch.filter(pa.array(new, pa.bool_())), "text", 1 << 19):
                 data, offsets = text_bytes(column(part, "text"))
                 blob = data.tobytes()
                 places = part.column(0)

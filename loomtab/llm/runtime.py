@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: No Arrow batch handed to Python holds more rows or bytes than this.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _shipped: set[str] = set()
 
 
@@ -119,17 +119,24 @@ def nullable(schema):
     return StructType([StructField(f.name, f.dataType, True) for f in schema])
 
 
-def whole_groups(batches, keys: int, rows: int) -> Iterator[pa.Table]:
-    """Tables of at least ``rows`` rows (the last may have fewer) that never cut a group.
+def whole_groups(batches, keys: int, rows: int, size: int = 4 << 20) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows or ``size`` bytes (the last may have fewer) that never cut a group.
 
     The input is sorted by its first ``keys`` columns; rows equal in all of them are a group.
     """
     import numpy as np
 
     held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        if count >= rows and batch.num_rows:
+    count = held_bytes = 0
+    for whole in batches:
+        # a batch is taken in parts, so that what is held is passed on soon
+        step = max(1, whole.num_rows * size // max(whole.nbytes, 1) // 2)
+        for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+            if count < rows and held_bytes < size:
+                held.append(batch)
+                count += batch.num_rows
+                held_bytes += batch.nbytes
+                continue
             # what is held ends in a group that may go on: pass it on where the key changes
             tail = held[-1].slice(held[-1].num_rows - 1)
             same = np.ones(batch.num_rows, bool)
@@ -141,10 +148,8 @@ def whole_groups(batches, keys: int, rows: int) -> Iterator[pa.Table]:
             if at == batch.num_rows:
                 continue
             yield pa.Table.from_batches(held)
-            held, count, batch = [], 0, batch.slice(at)
-        if batch.num_rows:
-            held.append(batch)
-            count += batch.num_rows
+            held = [batch.slice(at)]
+            count, held_bytes = held[0].num_rows, held[0].nbytes
     if held:
         yield pa.Table.from_batches(held)
 
