@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--models", nargs="*", default=[])
     run.add_argument("--quick", action="store_true", help="run on a fifth of the rows")
     run.add_argument("--resume", action="store_true", help="go on with an equal run")
-    run.add_argument("--strategy", default="none", choices=["none", "afe"])
+    run.add_argument("--strategy", default="none", choices=["none", "afe", "embedding"])
     run.add_argument("--split", default="hash", choices=["hash", "kfold", "stratified", "group", "time"])
     run.add_argument("--column", help="column of a group or time split")
     run.add_argument("--calibration", choices=["platt", "isotonic"])

@@ -176,6 +176,11 @@ def select_models(requested: Iterable[str] | None = None) -> list[str]:
     return ["naive", "linear", *[m for m in requested or ("gbt", "forest") if m not in ("naive", "linear")]]
 
 
+def importance_model(task: str, requested: Iterable[str] | None = None) -> Fit:
+    """The model that features are judged by: the first tree model requested, else the linear one."""
+    return make_model(next((m for m in requested or () if m in ("gbt", "forest")), "linear"), task)
+
+
 def with_folds(df: DataFrame, folds: int, seed: int, keys: list[str] | None = None, name: str = "_fold") -> DataFrame:
     """A fold for each row by the seeded hash of its values: no shuffle, equal rows stay together."""
     return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), *[col(c) for c in keys or df.columns]), F.lit(folds)).cast("int"))

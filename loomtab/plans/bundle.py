@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import Interaction, TargetTransform
+from ..operators.features import Interaction, TargetTransform, augment
 from ..operators.models import Calibrator, Fitted, load_model
 from ..operators.prep import PrepModel
 
@@ -24,10 +24,12 @@ class Predictor:
     interactions: tuple[Interaction, ...] = ()
     calibrator: Calibrator | None = None
     transform: TargetTransform | None = None
+    #: Dense tables of high-cardinality columns, by column.
+    embeddings: dict[str, DataFrame] = field(default_factory=dict)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         """Prepared columns with ``prediction`` and, of a classifier, ``probability``; of two classes, ``score`` is that of class 1."""
-        rows = self.prep.transform(df)
+        rows = self.prep.transform(augment(df, list(self.embeddings), self.embeddings) if self.embeddings else df)
         if self.interactions:
             rows = rows.withColumns({i.name: i.expression for i in self.interactions})
         out = self.model(rows)
@@ -44,11 +46,14 @@ def export_bundle(spark: SparkSession, path: str, predictor: Predictor, about: d
     prep = predictor.prep
     for i, c in enumerate(sorted(prep.tables)):
         prep.tables[c][0].write.mode("overwrite").parquet(f"{path}/codes-{i}")
+    for i, c in enumerate(sorted(predictor.embeddings)):
+        predictor.embeddings[c].write.mode("overwrite").parquet(f"{path}/embedding-{i}")
     predictor.model.save(spark, f"{path}/model")
     body = {
         "version": VERSION,
         "about": about or {},
         "prep": {"drops": prep.drops, "fills": prep.fills, "tops": prep.tops, "dates": prep.dates, "codes": prep.codes, "tables": {c: prep.tables[c][1] for c in sorted(prep.tables)}},
+        "embeddings": sorted(predictor.embeddings),
         "interactions": [asdict(i) for i in predictor.interactions],
         "calibrator": predictor.calibrator and asdict(predictor.calibrator),
         "transform": predictor.transform and asdict(predictor.transform),
@@ -65,4 +70,5 @@ def load_bundle(spark: SparkSession, path: str) -> Predictor:
     tables = {c: (spark.read.parquet(f"{path}/codes-{i}"), n) for i, (c, n) in enumerate(sorted(counts.items()))}
     found = Predictor(replace(PrepModel(**body["prep"]), tables=tables), load_model(spark, f"{path}/model"), tuple(Interaction(**i) for i in body["interactions"]))
     calibrator, transform = body["calibrator"], body["transform"]
-    return replace(found, calibrator=calibrator and Calibrator(**calibrator), transform=transform and TargetTransform(**transform))
+    dense = {c: spark.read.parquet(f"{path}/embedding-{i}") for i, c in enumerate(body["embeddings"])}
+    return replace(found, embeddings=dense, calibrator=calibrator and Calibrator(**calibrator), transform=transform and TargetTransform(**transform))

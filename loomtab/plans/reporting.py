@@ -119,3 +119,19 @@ def state_markdown(events: DataFrame, registry: dict, top: int = 10) -> str:
     failed = events.where("error is not null").orderBy(F.desc("timestamp")).limit(5).collect()
     lines += ["", "## Errors", ""] + [f"- {r.model or ''}: {r.error}" for r in failed]
     return "\n".join(lines) + "\n"
+
+
+#: Fields of a run that may be published.
+PUBLIC = ("run_id", "timestamp", "model", "task", "dataset", "n_rows", "metric", "score", "cv_scores", "cv_std", "lift", "calibration", "duration_seconds")
+
+
+def docs_json(events: DataFrame, registry: dict, limit: int = 100) -> dict[str, str]:
+    """Documents for a web page: ``summary`` and ``runs`` as JSON, the newest ``limit`` runs, public fields only."""
+    runs = with_primary(dedupe_events(events))
+    newest_first = runs.orderBy(F.desc("timestamp"), "run_id", "model").limit(limit).select(*[c for c in PUBLIC if c in runs.columns])
+    by = runs.groupBy("task").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("model").alias("models")).orderBy("task")
+    champions_ = {k: {f: v[f] for f in ("model", "metric_name", "score", "run_id")} for k, v in sorted(registry.items())}
+    return {
+        "summary": json.dumps({"tasks": [r.asDict() for r in by.collect()], "champions": champions_}, sort_keys=True),
+        "runs": "[" + ", ".join(newest_first.toJSON().collect()) + "]",
+    }

@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 
 from .operators import drift, splits
 from .operators.audit import drop_noise, label_noise, leakage_audit
-from .operators.features import engineer, interaction_candidates
+from .operators.features import augment, engineer, fit_frequency_encoding, interaction_candidates
 from .operators.identity import frame_digest, with_row_ids
 from .operators.metrics import lower_is_better
-from .operators.models import cross_validate, fit_calibrator, make_model, select_models
+from .operators.models import cross_validate, fit_calibrator, importance_model, make_model, select_models
 from .operators.prep import fit_prep
-from .operators.profile import preflight
+from .operators.profile import high_cardinality, preflight
 from .plans import lake, reporting
 from .plans.bundle import Predictor, export_bundle, load_bundle
-from .schema import numeric_columns
+from .schema import categorical_columns, numeric_columns
 from .sources.events import EventLog, read_events
 from .sources.tables import load_data
 
@@ -66,7 +66,8 @@ class ExperimentConfig:
     ignore: tuple[str, ...] = ()
     settings: dict = field(default_factory=dict)
     workers: int = 4
-    #: Features: as prepared (``none``) or with interactions that help, pruned (``afe``).
+    #: Features: as prepared (``none``), with interactions that help, pruned (``afe``), or with dense columns in place of
+    #: strings of many values (``embedding``).
     strategy: str = "none"
     #: Folds: by row hash, or a stored kind of split; ``column`` is that of a group or time split.
     split: str = "hash"
@@ -80,7 +81,7 @@ class ExperimentConfig:
     resume: bool = False
 
     def __post_init__(self):
-        for value, known in ((self.task, ("classification", "regression")), (self.strategy, ("none", "afe")), (self.split, ("hash", *SPLITS))):
+        for value, known in ((self.task, ("classification", "regression")), (self.strategy, ("none", "afe", "embedding")), (self.split, ("hash", *SPLITS))):
             if value not in known:
                 raise ValueError(f"{value} is none of {known}")
         if not 0 < self.share <= 1:
@@ -131,11 +132,19 @@ class ExperimentSession:
         ignore = list(config.ignore)
         if config.noise is not None:
             df = self._cleaned(df, config, say)
-        prep = fit_prep(df, config.target, ignore)
-        ready = prep.transform(df)
+        dense = [c for c in high_cardinality(df.drop(*ignore), config.target) if c in categorical_columns(df)] if config.strategy == "embedding" else []
+
+        def embed(train: DataFrame) -> dict[str, DataFrame]:
+            return {c: fit_frequency_encoding(train, c, config.target if config.task == "regression" or binary else None) for c in dense}
+
+        binary = bool(dense) and config.target in numeric_columns(df) and df.select(config.target).distinct().limit(3).count() <= 2
+        tables = embed(df)
+        wide = augment(df, dense, tables)
+        prep = fit_prep(wide, config.target, ignore)
+        ready = prep.transform(wide)
         features, interactions = [c for c in numeric_columns(ready) if c != config.target], ()
         if config.strategy == "afe":
-            fit, metric = make_model("linear", config.task), "r2" if config.task == "regression" else "roc_auc"
+            fit, metric = importance_model(config.task, config.models), "r2" if config.task == "regression" else "roc_auc"
             wide, features = engineer(ready, features, config.target, fit, metric, seed=config.seed)
             interactions = tuple(i for i in interaction_candidates([c for c in numeric_columns(ready) if c != config.target]) if i.name in features)
         if config.leakage is not None:
@@ -145,8 +154,15 @@ class ExperimentSession:
         members = config.membership(keyed) if config.split != "hash" else None
 
         def prepare(train: DataFrame):
-            change = fit_prep(train.drop("_fold", "row_id", "fold", "role"), config.target, ignore).transform
-            return lambda new: change(new).withColumns({i.name: i.expression for i in interactions}) if interactions else change(new)
+            train = train.drop("_fold", "row_id", "fold", "role")
+            found = embed(train)
+            change = fit_prep(augment(train, dense, found), config.target, ignore).transform
+
+            def apply(new: DataFrame) -> DataFrame:
+                out = change(augment(new, dense, found))
+                return out.withColumns({i.name: i.expression for i in interactions}) if interactions else out
+
+            return apply
 
         done, baseline = len(past), None
         for name in [m for m in select_models(config.models) if m not in past]:
@@ -161,7 +177,7 @@ class ExperimentSession:
                 calibrator = None
                 if config.calibration and config.task == "classification" and name != "naive":
                     calibrator = fit_calibrator(wide, features, config.target, fit, config.calibration, seed=config.seed)
-                export_bundle(self.spark, path, Predictor(prep, fit(wide, features, config.target), interactions, calibrator), {"run_id": run_id, "model": name, "target": config.target})
+                export_bundle(self.spark, path, Predictor(prep, fit(wide, features, config.target), interactions, calibrator, embeddings=tables), {"run_id": run_id, "model": name, "target": config.target})
                 first = {m: v[0] for m, v in scores.items()}
                 baseline = baseline or first
                 say(event="model_completed", model=name, cv_scores=first, cv_std={m: v[1] for m, v in scores.items()}, params={k: str(v) for k, v in settings.items()}, lift=lifts(first, baseline), calibration=config.calibration, duration_seconds=time.time() - began, artifact_path=path)

@@ -99,3 +99,28 @@ def describe_parquet(spark: SparkSession, path: str) -> ArtifactRef:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("length", F.sha2("content", 256).alias("sum"))
     found = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("sum"))), 256)).first()
     return ArtifactRef(path, spark.read.parquet(path).count(), found[0], found[1], found[2])
+
+
+def add_file(spark: SparkSession, source: str, folder: str) -> ArtifactRef:
+    """Copy one file into a folder, both anywhere Spark's file systems reach; it must not be there yet."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a = hadoop.Path(source)
+    b = hadoop.Path(folder, a.getName())
+    if b.getFileSystem(conf).exists(b):
+        raise DataLoadError(f"{b} exists")
+    if not hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf):
+        raise DataLoadError(f"{source} could not be copied")
+    size, digest = spark.read.format("binaryFile").load(b.toString()).select("length", F.sha2("content", 256)).first()
+    return ArtifactRef(b.toString(), 0, 1, size, digest)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line; nulls are written."""
+    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def to_markdown(df: DataFrame, limit: int = 100) -> str:
+    """The first rows as a Markdown table: a view for people, so at most ``limit``."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    rows = [[cell(v) for v in r] for r in df.limit(limit).collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["-"] * len(df.columns), *rows])

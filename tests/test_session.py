@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from loomtab.operators import identity, models, prep, splits
 from loomtab.plans.bundle import Predictor, export_bundle, load_bundle
 from loomtab.plans.lake import lineage_closure
+from loomtab.plans.reporting import docs_json
 from loomtab.session import ExperimentConfig, ExperimentSession, exact_sample
+from loomtab.sources import tables
 
 
 def frame(spark, n=240):
@@ -115,3 +118,34 @@ def test_command_line(spark, tmp_path, capsys):
     bundle = say("export", "classification", str(tmp_path / "bundle")).strip()
     say("predict", "--bundle", bundle, "--data", data, "--out", str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("score between 0 and 1").count() == 120
+
+
+def test_embedding_strategy(spark, tmp_path):
+    df = frame(spark, 160).withColumn("shop", F.concat(F.lit("s"), (F.col("t") % 60).cast("string")))
+    session = ExperimentSession(spark, str(tmp_path))
+    board = session.run(ExperimentConfig("y", metrics=("accuracy",), models=("linear",), folds=2, ignore=("g",), strategy="embedding"), df).collect()
+    best = next(r for r in board if r.model == "linear")
+    p = session.predictor(best.artifact_path)
+    assert set(p.embeddings) == {"shop"} and {"shop_emb_0", "shop_emb_1"} <= set(p.model.features)
+    assert p(df.withColumn("shop", F.lit("unseen"))).where("prediction in (0, 1)").count() == 160
+
+
+def test_published_documents(spark, tmp_path):
+    session = ExperimentSession(spark, str(tmp_path))
+    session.run(ExperimentConfig("y", metrics=("accuracy",), models=("linear",), folds=2), frame(spark, 60))
+    found = docs_json(session.events(), session.registry.load())
+    runs = json.loads(found["runs"])
+    assert {r["model"] for r in runs} == {"naive", "linear"} and "artifact_path" not in runs[0]
+    assert json.loads(found["summary"])["champions"]["classification"]["model"] == "linear"
+
+
+def test_files_and_views(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("hello")
+    ref = tables.add_file(spark, str(tmp_path / "a.txt"), str(tmp_path / "store"))
+    assert ref.size == 5 and ref.digest == hashlib.sha256(b"hello").hexdigest()
+    with pytest.raises(tables.DataLoadError):
+        tables.add_file(spark, str(tmp_path / "a.txt"), str(tmp_path / "store"))
+    df = spark.createDataFrame([(1, "x|y"), (2, None)], "a int, b string").coalesce(1)
+    tables.write_json(df, str(tmp_path / "j"))
+    assert {r.a: r.b for r in spark.read.json(str(tmp_path / "j")).collect()} == {1: "x|y", 2: None}
+    assert tables.to_markdown(df.orderBy("a")) == "| a | b |\n| - | - |\n| 1 | x\\|y |\n| 2 |  |"
