@@ -184,7 +184,14 @@ def frequent_shingles(df: DataFrame, size: int) -> np.ndarray:
                 values, _ = shingles(*text_bytes(part.column(0)), size)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["h"])
 
-    kept = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "h").limit(ORDER_MOST).select("h").toArrow()
+    counts = cut(sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= ORDER_COUNT))
+    least, total = ORDER_COUNT, 0
+    for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():  # at most ORDER_SAMPLE rows
+        total += r.n
+        if total > ORDER_MOST:
+            least = r["count"] + 1
+            break
+    kept = counts.where(F.col("count") >= least).select("h").toArrow()
     return np.sort(kept["h"].to_numpy().view(U))
 
 
