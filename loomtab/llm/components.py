@@ -9,13 +9,15 @@ from .runtime import BROADCAST_IDS, cut, forget
 
 #: Edges of a node from which on its smallest neighbour is sent to all tasks instead of its edges to one.
 HUB = 1000
+#: Edges that are no burden even for one task; with fewer, hubs get no care.
+FEW = 1_000_000
 
 
 def _star(edges: DataFrame, small: bool, n: int) -> DataFrame:
     """One star step.  ``edges`` (u, v) are distinct and u > v; ``n`` of them, of which a few need no care for hubs."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("u", "m"))
-    if n < 20 * HUB:
+    if n < FEW:
         joined = both.join(least.select("u", "m"), "u")
     else:
         least = cut(least)

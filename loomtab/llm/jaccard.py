@@ -184,7 +184,7 @@ def frequent_shingles(df: DataFrame, size: int) -> np.ndarray:
                 values, _ = shingles(*text_bytes(part.column(0)), size)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["h"])
 
-    counts = cut(sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= ORDER_COUNT))
+    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= ORDER_COUNT).persist()
     least, total = ORDER_COUNT, 0
     for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():  # at most ORDER_SAMPLE rows
         total += r.n
@@ -192,6 +192,7 @@ def frequent_shingles(df: DataFrame, size: int) -> np.ndarray:
             least = r["count"] + 1
             break
     kept = counts.where(F.col("count") >= least).select("h").toArrow()
+    counts.unpersist()
     return np.sort(kept["h"].to_numpy().view(U))
 
 
@@ -279,7 +280,7 @@ def _early_round(docs: DataFrame, named: DataFrame, key: str, size: int, percent
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / FIRST_TILE), F.ceil(F.sum("n") / FIRST_SHINGLES)).cast("int")
     counts = named.groupBy(key).agg(parts.alias("parts"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select(key, "parts")
     parts = F.pmod(F.xxhash64(F.lit(key), "id"), F.col("parts")).cast("int")
-    members = rows_with(named, cut(counts), key).select(F.col(key).alias("lead"), parts.alias("sub"), "id", "comp", "p1")
+    members = rows_with(named, counts, key).select(F.col(key).alias("lead"), parts.alias("sub"), "id", "comp", "p1")
     texts = rows_with(docs, members, "id").select("lead", "sub", "id", "comp", "p1", "text")
     tiles = texts.repartition(shuffle_parts(docs.sparkSession), "lead", "sub").sortWithinPartitions("lead", "sub", "id")
 
@@ -323,7 +324,7 @@ def _tiled(listed: DataFrame, percent: int) -> DataFrame:
     large = rows.where(F.col("members") > TILE)
     kinds = large.groupBy("shingle", "band", "comp").agg(F.count(F.lit(1)).alias("n"))
     groups = kinds.groupBy("shingle", "band").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    groups = cut(groups.where("all > most").select("shingle", "band", "main", F.ceil(F.col("most") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("rest")))
+    groups = groups.where("all > most").select("shingle", "band", "main", F.ceil(F.col("most") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("rest"))
     dealt = rows_with(large, groups, ["shingle", "band"])
     main = F.col("comp") == F.col("main")
     block = F.when(main, F.pmod(F.xxhash64("id", "p1"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id", "p1"), F.col("rest"))).cast("int")

@@ -251,7 +251,7 @@ _UNIT = "key long, sub long, twice boolean, lead int, bytes binary"
 def _units(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """(key, sub, twice, lead, bytes): the bytes of one stretch of each kind, looked up in a document that has it."""
     place = F.struct("anchor", "stretch", "twice", "pos", "left", "right")
-    by_doc = cut(kinds.groupBy("uid").agg(F.collect_list(place).alias("places")))  # at most a document's anchors
+    by_doc = kinds.groupBy("uid").agg(F.collect_list(place).alias("places"))  # at most a document's anchors
     if kinds.count() <= BROADCAST_KINDS:
         by_doc = F.broadcast(by_doc)
     joined = docs.join(by_doc, "uid").select("places", "text", "uid")
@@ -336,11 +336,11 @@ def _split(units: DataFrame, length: int, width: int) -> DataFrame:
 
 def _found(units: DataFrame, length: int, width: int) -> DataFrame:
     """(key, sub, first, last) of all units, which come from files; ``width``: the places an anchor may have under one key."""
-    large = cut(units.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > GROUP_LIMIT).select("key"))
+    large = units.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > GROUP_LIMIT).select("key")
     twice = units.where("twice").select("key", "sub", F.col("lead").cast("long").alias("first"), (F.col("lead") + F.octet_length("bytes")).cast("long").alias("last"))
     if width == 1 or large.isEmpty():
         return _indexed(units, length).unionByName(twice)
-    finer = -(-width // SPLIT)
+    large, finer = cut(large), -(-width // SPLIT)
     parts = cut(_split(rows_with(units, large, "key").select(*units.columns), length, finer))
     # units that agree in a range are one unit there
     merged = parts.groupBy("key2", "sub2").agg((F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))

@@ -141,7 +141,8 @@ def test_one_id_with_short_and_long_texts(spark):
 def test_hubs(spark, monkeypatch):
     from loomtab.llm import components as C
 
-    monkeypatch.setattr(C, "HUB", 1.5)
+    monkeypatch.setattr(C, "HUB", 4)
+    monkeypatch.setattr(C, "FEW", 0)
     edges = [(0, i) for i in range(1, 30)] + [(29, 40), (40, 41), (60, 61), (61, 62)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {**dict.fromkeys([*range(30), 40, 41], 0), 60: 60, 61: 60, 62: 60}
