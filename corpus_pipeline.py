@@ -54,9 +54,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # rows are told apart by id and digest; only those of a repeated pair are gathered
     key = _free(docs, "digest")
     named = left.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("\0"))).cast("binary"))))
-    repeated = cut(named.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    repeated = named.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
     if repeated.isEmpty():
         return left
+    repeated = cut(repeated)
     once = named.join(_small(repeated), key, "left_anti")
     return once.unionByName(named.join(_small(repeated), key, "left_semi").dropDuplicates([key]).select(*once.columns)).select(*docs.columns)
 
