@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -75,6 +76,16 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds about ``limit`` bytes a piece; a longer value stands alone."""
     import numpy as np
@@ -89,7 +100,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -148,6 +159,7 @@ def whole_groups(batches, keys: int, rows: int, size: int = 4 << 20) -> Iterator
             if at == batch.num_rows:
                 continue
             yield pa.Table.from_batches(held)
+            give_back()
             held = [batch.slice(at)]
             count, held_bytes = held[0].num_rows, held[0].nbytes
     if held:
