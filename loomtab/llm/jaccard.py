@@ -27,11 +27,11 @@ U = np.uint64
 #: so that prefixes hold rare ones; any order gives the same links, so at most ``ORDER_MOST`` are kept.
 ORDER_SAMPLE, ORDER_COUNT, ORDER_MOST = 5000, 3, 500_000
 #: Members, and shingles in all, of a tile of the early rounds; members of a tile; a larger list is compared block by block.
-FIRST_TILE, FIRST_SHINGLES, TILE = 1024, 400_000, 4096
+FIRST_TILE, FIRST_SHINGLES, TILE = 1024, 200_000, 4096
 #: Salts of the hashes whose smallest value names a class's tile in the early rounds.
 SALTS = (U(0), U(0x51ED2701))
 #: Pairs looked at together, and bytes of their bitmaps.
-_PAIRS, _BITMAP_BYTES = 1 << 18, 4 << 20
+_PAIRS, _BITMAP_BYTES = 1 << 17, 2 << 20
 
 
 def _prints(values: np.ndarray, first: np.ndarray):
@@ -285,7 +285,7 @@ def _early_round(docs: DataFrame, named: DataFrame, key: str, size: int, percent
     tiles = texts.repartition(shuffle_parts(docs.sparkSession), "lead", "sub").sortWithinPartitions("lead", "sub", "id")
 
     def run(batches):
-        for table in whole_groups(batches, 2, 500):
+        for table in whole_groups(batches, 2, 200):
             values, first = shingles(*text_bytes(table["text"].combine_chunks()), size)
             n = np.diff(first)
             lead, sub, ids, comp, p1 = (table[c].to_numpy() for c in ("lead", "sub", "id", "comp", "p1"))
@@ -351,7 +351,7 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
 
     def pair_up(batches):
         """Members of lists up to a tile that sizes and positions allow a partner."""
-        for table in whole_groups(batches, 1, 20_000):
+        for table in whole_groups(batches, 1, 10_000):
             shingle, comp, place = (table[c].to_numpy() for c in ("shingle", "comp", "place"))
             group = np.cumsum(np.concatenate([[0], shingle[1:] != shingle[:-1]]))
             zero = np.zeros(len(group), np.int64)
@@ -367,7 +367,7 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
     tiles = tiles.select("shingle", "band", "lo", "hi", "id", "comp", "place", "block", "guest", "bits").repartition(parts, "shingle", "band", "lo", "hi").sortWithinPartitions("shingle", "band", "lo", "hi", "id")
 
     def run(batches):
-        for table in whole_groups(batches, 4, 20_000):
+        for table in whole_groups(batches, 4, 10_000):
             ids, comp, place, block = (table[c].to_numpy() for c in ("id", "comp", "place", "block"))
             guest = table["guest"].to_numpy(zero_copy_only=False)
             keys = [table[c].to_numpy() for c in ("shingle", "band", "lo", "hi")]

@@ -76,7 +76,7 @@ class PieceCache:
     That costs time only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 200_000, joined: Callable | None = None):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 150_000, joined: Callable | None = None):
         self.encode, self.spaced, self.limit = encode, spaced, limit
         self.joined = joined or (lambda pieces: _flatten(encode(pieces)))
         self.clear()
@@ -166,7 +166,7 @@ def worker_cache(path: str, spaced: bool) -> PieceCache:
     return _held[path, spaced]
 
 
-def library_cache(path: str, spaced: bool, limit: int = 200_000) -> PieceCache:
+def library_cache(path: str, spaced: bool, limit: int = 150_000) -> PieceCache:
     """Pieces encoded by the tokenizers library from a vocabulary file, special strings as ordinary text.
 
     New pieces are encoded a thousand at a time, as one text: a tokenizer that keeps spaces begins each with a token

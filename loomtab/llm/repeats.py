@@ -32,7 +32,7 @@ _CHUNK = 1 << 21
 #: Kinds of one key that may stand in a shard; a larger group is split by finer keys.  Parts of each split.
 GROUP_LIMIT, SPLIT = 500, 8
 #: Kinds of a shard, about; anchors, or kinds with their places, that are sent to every executor at most (some 50 bytes each).
-SHARD_ROWS, BROADCAST_KINDS = 500, 1_000_000
+SHARD_ROWS, BROADCAST_KINDS = 500, 300_000
 _SEPARATOR = 0xFF  # no byte of UTF-8
 
 

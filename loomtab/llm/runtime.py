@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: No Arrow batch handed to Python holds more rows or bytes than this.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 _shipped: set[str] = set()
 
 
@@ -130,7 +130,7 @@ def nullable(schema):
     return StructType([StructField(f.name, f.dataType, True) for f in schema])
 
 
-def whole_groups(batches, keys: int, rows: int, size: int = 4 << 20) -> Iterator[pa.Table]:
+def whole_groups(batches, keys: int, rows: int, size: int = 1 << 20) -> Iterator[pa.Table]:
     """Tables of at least ``rows`` rows or ``size`` bytes (the last may have fewer) that never cut a group.
 
     The input is sorted by its first ``keys`` columns; rows equal in all of them are a group.
