@@ -218,6 +218,27 @@ def row_ids(spark, d):
     return identity.with_row_ids(table(spark, d, "nation")).select("n_nationkey", "row_id")
 
 
+_COPIES = """r as (select o_custkey, o_orderpriority, o_orderstatus, sha256(concat_ws('|', '=' || o_custkey::varchar, '=' || o_orderpriority, '=' || o_orderstatus)) as h from orders),
+i as (select o_custkey, o_orderpriority, o_orderstatus, sha256(h || ':' || (row_number() over (partition by h order by h) - 1)::varchar) as row_id from r)"""
+
+
+def _copies(spark, d) -> DataFrame:
+    """orders by customer, priority and status: rows repeat."""
+    return table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
+
+
+@query(f"with {_COPIES} select o_custkey, row_id from i")
+def row_ids_orders(spark, d):
+    return identity.with_row_ids(_copies(spark, d)).select("o_custkey", "row_id")
+
+
+@query(f"with {_COPIES} select o_custkey, o_orderpriority, o_orderstatus from i order by sha256('42:' || row_id) limit (select round(0.1 * count(*))::bigint from orders)")
+def sample_exact(spark, d):
+    from ..session import exact_sample
+
+    return exact_sample(_copies(spark, d), 0.1, 42)
+
+
 @query("select count(*) as n_rows, sha256('r_name:string,r_regionkey:int|' || string_agg(h, '' order by h)) as digest from (select sha256(concat_ws('|', '=' || r_name, '=' || r_regionkey::varchar)) as h from region)")
 def frame_digest(spark, d):
     return identity.strict_digest(table(spark, d, "region"))
