@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, flac, jaccard, language, packing, quality, repeats, sharding, token_files, url_lists
+from . import byte_bpe, filter_audit, flac, jaccard, language, packing, quality, repeats, sharding, token_files, url_lists
 
-_MODULES = (flac, sharding, token_files, url_lists, jaccard, repeats, quality, packing, language, byte_bpe)
+_MODULES = (flac, sharding, token_files, url_lists, jaccard, repeats, quality, packing, language, byte_bpe, filter_audit)
 
 
 def queries() -> dict:
