@@ -51,15 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting to delete the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files every executor can read.
 
     All files of an application lie in one folder there, which can go when the application has ended.  ``forget`` deletes
-    those of a frame that nothing reads any more.
+    those of a frame that nothing reads any more.  The shuffle files of the job go with its end, for nobody reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtab-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     found = spark.read.schema(df.schema).parquet(path)
     found.cut_path = path
     return found
