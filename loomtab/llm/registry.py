@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, filter_audit, flac, jaccard, language, packing, quality, repeats, sharding, token_files, url_lists, vectors
+from . import byte_bpe, filter_audit, flac, jaccard, language, packing, quality, repeats, search, sharding, token_files, url_lists, vectors
 
-_MODULES = (flac, sharding, token_files, url_lists, jaccard, repeats, quality, packing, language, byte_bpe, vectors, filter_audit)
+_MODULES = (flac, sharding, token_files, url_lists, jaccard, repeats, quality, packing, language, byte_bpe, search, vectors, filter_audit)
 
 
 def queries() -> dict:
