@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut, prepare, rows_with, shuffle_parts, slices, text_bytes, whole_groups
+from .runtime import cut, forget, prepare, rows_with, shuffle_parts, slices, text_bytes, whole_groups
 from .words import mix, shingles
 
 U = np.uint64
@@ -337,7 +337,7 @@ def _tiled(listed: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, percent: int, frequent) -> DataFrame:
-    """Links (u, v) between classes of different components, over the tiles of all prefix shingles."""
+    """Links (u, v) between classes of different components, over the tiles of all prefix shingles, written."""
     parts = shuffle_parts(docs.sparkSession)
     prefixes = cut(prefix_rows(docs, size, percent, frequent))
     # pre-aggregated, so that a shingle of a third of all texts is a row for each task
@@ -345,6 +345,7 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
     # a class met by several tasks stands in a list several times
     lists = prefixes.join(shared, "shingle").distinct()
     placed = cut(lists.join(_named(reps, comps).select("id", "p1", "p2", "comp"), ["p1", "p2"]).withColumn("size_band", size_band(F.shiftright("place", 32), percent)))
+    forget(prefixes)
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("members"), F.max("size_band").alias("top")).where("least <> most").drop("least", "most")
     listed = placed.join(mixed, "shingle").select("shingle", "id", "p1", "comp", "place", "members", "size_band", "top")
     short = listed.where(F.col("members") <= TILE).repartition(parts, "shingle").sortWithinPartitions("shingle")
@@ -362,6 +363,7 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
             yield from table.filter(pa.array(use)).combine_chunks().to_batches()
 
     mixed = cut(short.mapInArrow(pair_up, short.schema).unionByName(listed.where(F.col("members") > TILE)))
+    forget(placed)
     bits = cut(_sets_of(docs, mixed.select("id", "p1").distinct(), size).select("id", "p1", "bits"))
     tiles = _tiled(mixed, percent).join(bits, ["id", "p1"])
     tiles = tiles.select("shingle", "band", "lo", "hi", "id", "comp", "place", "block", "guest", "bits").repartition(parts, "shingle", "band", "lo", "hi").sortWithinPartitions("shingle", "band", "lo", "hi", "id")
@@ -377,6 +379,8 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     pairs = cut(tiles.mapInArrow(run, "u long, v long").distinct())
+    forget(mixed)
+    forget(bits)
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = cut(_sets_of(docs, needed.join(reps.select("id", "p1"), "id").select("id", "p1"), size).select("id", "set"))
     with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
@@ -388,7 +392,10 @@ def _full_round(docs: DataFrame, reps: DataFrame, comps: DataFrame, size: int, p
             ok = [linked(np.frombuffer(x, U), np.frombuffer(y, U), percent) for x, y in zip(a, b, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(verify, "u long, v long")
+    links = cut(both.mapInArrow(verify, "u long, v long"))
+    forget(pairs)
+    forget(sets)
+    return links
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:

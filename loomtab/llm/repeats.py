@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_IDS, column, cut, nullable, prepare, rows_with, shuffle_parts, slices, text_bytes, whole_groups
+from .runtime import BROADCAST_IDS, column, cut, forget, nullable, prepare, rows_with, shuffle_parts, slices, text_bytes, whole_groups
 from .words import gram_hash, mix, prefix_hash, span_hash
 
 U = np.uint64
@@ -65,23 +65,60 @@ def _anchors_of(data: np.ndarray, offsets: np.ndarray, length: int):
     return doc[head], p, inside[head], inside[tail] + length, g[p]
 
 
+def _repeats_at(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Whether the bytes lo to hi of each row are those that stand ``step`` further on."""
+    ok = np.zeros(len(lo), bool)
+    for d in np.unique(step).tolist():
+        rows = np.flatnonzero(step == d)
+        if len(rows) < 64:
+            ok[rows] = [np.array_equal(data[a:b], data[a + d : b + d]) for a, b in zip(lo[rows].tolist(), hi[rows].tolist(), strict=True)]
+            continue
+        unlike = np.zeros(len(data) - d + 1, np.int32)
+        np.cumsum(data[d:] != data[:-d], out=unlike[1:])
+        ok[rows] = unlike[hi[rows]] == unlike[lo[rows]]
+    return ok
+
+
+def _series(data: np.ndarray, doc: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, g: np.ndarray):
+    """(first anchor of each series, anchors in it, way from its first to its last).
+
+    A text with a period has an anchor in every period, and all of them have equal stretches at equal steps.
+    """
+    n = len(p)
+    if n < 2:
+        return np.arange(n), np.ones(n, np.int64), np.zeros(n, np.int64)
+    step = np.diff(p)
+    like = (doc[1:] == doc[:-1]) & (g[1:] == g[:-1]) & (np.diff(lo) == step) & (np.diff(hi) == step)
+    at = np.flatnonzero(like)
+    like[at] = _repeats_at(data, lo[at], hi[at], step[at])
+    # a series goes on where the stretch is that of the anchor before and the step is its last one
+    follows = np.zeros(n, bool)
+    follows[1:] = like
+    same_step = np.zeros(n, bool)
+    same_step[2:] = step[1:] == step[:-1]
+    goes_on = follows & (same_step | ~np.append(False, follows[:-1]))
+    head = np.flatnonzero(~goes_on)
+    count = np.diff(np.append(head, n))
+    return head, count, p[head + count - 1] - p[head]
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(document, anchor position, first byte, end byte, gram hash, stretch hash) of every anchor of a batch.
+    """(document, anchor position, first byte, end byte, gram hash, stretch hash, count, way) of every anchor of a batch.
 
-    The stretch runs from the first to the last string of ``length`` bytes that has this anchor.  A very long text is
+    The stretch runs from the first to the last string of ``length`` bytes that has this anchor.  Anchors of equal
+    stretches that follow each other in equal steps are one row, that of the first: there are ``count`` of them, and the last
+    is ``way`` further on.  A step is shorter than a string, so the bytes they cover have no gap.  A very long text is
     searched in overlapping chunks; each string lies in one of them.
     """
-    if len(data) <= _CHUNK:
-        doc, p, lo, hi, g = _anchors_of(data, offsets, length)
-    else:
-        found = []
-        for a in range(0, len(data), _CHUNK):
-            b = min(len(data), a + _CHUNK + length - 1)
-            own = np.clip(offsets, a, b) - a
-            doc, p, lo, hi, g = _anchors_of(data[a:b], own, length)
-            found.append((doc, p + a, lo + a, hi + a, g))
-        doc, p, lo, hi, g = (np.concatenate(x) for x in zip(*found, strict=True))
-    return doc, p, lo, hi, g, mix(span_hash(data, lo, hi) + (p - lo).astype(U))
+    found = []
+    for a in range(0, max(len(data), 1), _CHUNK):
+        b = min(len(data), a + _CHUNK + length - 1)
+        part = data[a:b]
+        doc, p, lo, hi, g = _anchors_of(part, np.clip(offsets, a, b) - a, length)
+        head, count, way = _series(part, doc, p, lo, hi, g)
+        doc, p, lo, hi, g = (x[head] for x in (doc, p, lo, hi, g))
+        found.append((doc, p + a, lo + a, hi + a, g, mix(span_hash(part, lo, hi) + (p - lo).astype(U)), count, way))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 # ---- the run-length index -----------------------------------------------------------------------------------
@@ -231,18 +268,18 @@ def repeated_starts(blobs: list[bytes], length: int):
 
 
 def _stretches(docs: DataFrame, length: int) -> DataFrame:
-    """(uid, anchor, stretch, pos, left, right) of every anchor in the texts."""
+    """(uid, anchor, stretch, pos, left, right, count, way) of every anchor, or series of anchors, in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
                 data, offsets = text_bytes(part.column(1))
-                doc, p, lo, hi, g, s = anchors(data, offsets, length)
+                doc, p, lo, hi, g, s, count, way = anchors(data, offsets, length)
                 uid = part.column(0).take(pa.array(doc))
-                arrays = [uid, pa.array(g.view(np.int64)), pa.array(s.view(np.int64)), pa.array(p - offsets[doc]), pa.array((p - lo).astype(np.int32)), pa.array((hi - p).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["uid", "anchor", "stretch", "pos", "left", "right"])
+                arrays = [uid, pa.array(g.view(np.int64)), pa.array(s.view(np.int64)), pa.array(p - offsets[doc]), pa.array((p - lo).astype(np.int32)), pa.array((hi - p).astype(np.int32)), pa.array(count), pa.array(way)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["uid", "anchor", "stretch", "pos", "left", "right", "count", "way"])
 
-    return docs.mapInArrow(run, "uid binary, anchor long, stretch long, pos long, left int, right int")
+    return docs.mapInArrow(run, "uid binary, anchor long, stretch long, pos long, left int, right int, count long, way long")
 
 
 _UNIT = "key long, sub long, twice boolean, lead int, bytes binary"
@@ -334,8 +371,12 @@ def _split(units: DataFrame, length: int, width: int) -> DataFrame:
     return units.mapInArrow(run, "key2 long, sub2 long, key long, sub long, twice boolean, lead int, bytes binary")
 
 
-def _found(units: DataFrame, length: int, width: int) -> DataFrame:
-    """(key, sub, first, last) of all units, which come from files; ``width``: the places an anchor may have under one key."""
+def _found(units: DataFrame, length: int, width: int, made: list[DataFrame]) -> DataFrame:
+    """(key, sub, first, last) of all units, which come from files; ``width``: the places an anchor may have under one key.
+
+    The files that the result is read from are added to ``made``.
+    """
+    made.append(units)
     large = units.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > GROUP_LIMIT).select("key")
     twice = units.where("twice").select("key", "sub", F.col("lead").cast("long").alias("first"), (F.col("lead") + F.octet_length("bytes")).cast("long").alias("last"))
     if width == 1 or large.isEmpty():
@@ -343,8 +384,9 @@ def _found(units: DataFrame, length: int, width: int) -> DataFrame:
     large, finer = cut(large), -(-width // SPLIT)
     parts = cut(_split(rows_with(units, large, "key").select(*units.columns), length, finer))
     # units that agree in a range are one unit there
+    made += [large, parts]
     merged = parts.groupBy("key2", "sub2").agg((F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
-    inner = _found(cut(merged.select(F.col("key2").alias("key"), F.col("sub2").alias("sub"), "twice", "lead", "bytes")), length, finer)
+    inner = _found(cut(merged.select(F.col("key2").alias("key"), F.col("sub2").alias("sub"), "twice", "lead", "bytes")), length, finer, made)
     back = parts.select("key2", "sub2", "key", "sub").join(inner.select(F.col("key").alias("key2"), F.col("sub").alias("sub2"), "first", "last"), ["key2", "sub2"]).select("key", "sub", "first", "last")
     return _indexed(units.join(large, "key", "left_anti").select(*units.columns), length).unionByName(back).unionByName(twice)
 
@@ -355,25 +397,29 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """(uid, spans): for each text with bytes to remove, its maximal [first, last) runs, ascending.
+    """(uid, spans): for each text with bytes to remove, its maximal [first, last) runs, ascending, written.
 
     ``docs`` has columns uid and text; rows of one uid have one text.
     """
     seen = cut(_stretches(docs, length))
     # counted before any anchor's rows meet: an anchor of a third of all texts is one row for each task here
-    by_anchor = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"))
+    by_anchor = seen.groupBy("anchor").agg(F.sum("count").alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"))
     by_anchor = cut(by_anchor.where("n > 1").select("anchor", (F.col("least") < F.col("most")).alias("several")))
     met = seen.join(_small(by_anchor), "anchor").groupBy("anchor", "stretch", "several")
-    kinds = cut(met.agg((F.count(F.lit(1)) > 1).alias("twice"), F.min(F.struct("uid", "pos", "left", "right")).alias("at")).select("anchor", "stretch", "several", "twice", "at.*"))
-    marks = _found(cut(_units(docs, kinds.where("several"))), length, length - min(GRAM, length) + 1)
+    kinds = cut(met.agg((F.sum("count") > 1).alias("twice"), F.min(F.struct("uid", "pos", "left", "right")).alias("at")).select("anchor", "stretch", "several", "twice", "at.*"))
+    made = [by_anchor, kinds]
+    marks = _found(cut(_units(docs, kinds.where("several"))), length, length - min(GRAM, length) + 1, made)
     # the only kind of an anchor: all its stretches are equal
     alone = kinds.where("not several").select(F.col("anchor").alias("key"), F.col("stretch").alias("sub"), (-F.col("left")).cast("long").alias("first"), F.col("right").cast("long").alias("last"))
     marks = marks.unionByName(alone)
     # at most a stretch's strings
     per_kind = cut(marks.groupBy(F.col("key").alias("anchor"), F.col("sub").alias("stretch")).agg(F.collect_set(F.struct("first", "last")).alias("marks")))
-    hits = seen.select("uid", "anchor", "stretch", "pos").join(_small(per_kind), ["anchor", "stretch"])
-    placed = hits.select("uid", F.transform("marks", lambda m: F.struct((F.col("pos") + m["first"]).alias("first"), (F.col("pos") + m["last"]).alias("last"))).alias("spans"))
-    by_doc = placed.groupBy("uid").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # at most a document's bytes
+    for f in made:
+        forget(f)
+    hits = seen.select("uid", "anchor", "stretch", "pos", "way").join(_small(per_kind), ["anchor", "stretch"])
+    placed = hits.select("uid", F.transform("marks", lambda m: F.struct((F.col("pos") + m["first"]).alias("first"), (F.col("pos") + F.col("way") + m["last"]).alias("last"))).alias("spans"))
+    # a few for each stretch of over 300 bytes of the document
+    by_doc = placed.groupBy("uid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,7 +437,10 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             runs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(first[head]), pa.array(end)], names=["first", "last"]))
             yield pa.RecordBatch.from_arrays([column(batch, "uid"), runs], names=["uid", "spans"])
 
-    return by_doc.mapInArrow(merge, "uid binary, spans array<struct<first: long, last: long>>")
+    spans = cut(by_doc.mapInArrow(merge, "uid binary, spans array<struct<first: long, last: long>>"))
+    for f in (seen, per_kind):
+        forget(f)
+    return spans
 
 
 def _cut_out(data: bytes, spans) -> tuple[bytes, int, int]:
@@ -408,7 +457,7 @@ def _marked(df: DataFrame, length: int) -> DataFrame:
     keyed = df.withColumn("text", F.coalesce("text", F.lit("")))
     uid = F.unhex(F.md5(F.concat(F.col("text").cast("binary"), F.lit(b"\0"), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))))
     keyed = keyed.withColumn("uid", uid)
-    spans = cut(repeated_spans(keyed.select("uid", "text"), length))
+    spans = repeated_spans(keyed.select("uid", "text"), length)
     rows, items = spans.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
     if rows <= BROADCAST_IDS and (items or 0) <= BROADCAST_KINDS:
         spans = F.broadcast(spans)

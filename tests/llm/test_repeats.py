@@ -119,3 +119,38 @@ def test_removal_keeps_columns_and_characters(spark):
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert plain(R.op6_run_length_repeats(spark, sf)) == brute(rows, 400)
+
+
+def test_periods_are_series():
+    for text in (b"x" * 5000, b"abcdefg" * 900, b"one line of text, sixty bytes long or a few more than that.\n" * 300):
+        data = np.frombuffer(text + b"unlike" + text, np.uint8)
+        doc, p, lo, hi, g, s, count, way = R.anchors(data, np.array([0, len(data)]), 100)
+        assert len(p) < 60 and count.sum() > len(p)
+        covered = np.zeros(len(data), bool)
+        for a, b, w in zip(lo, hi, way, strict=True):
+            covered[a : b + w] = True
+        assert covered.all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_structured_texts(spark, seed):
+    r = random.Random(seed)
+    piece = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 90)))
+    rows = []
+    for i in range(6):
+        p, q = piece(), piece()
+        rows.append((i, "".join(r.choice([p * r.randint(1, 9), q * r.randint(1, 9), "c", piece()]) for _ in range(12))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for length in (40, 130):
+        assert plain(R.repeat_report(df, length=length)) == brute(rows, length)
+
+
+def test_very_long_texts(spark):
+    n = 20_000_000
+    kinds = {1: F.repeat(F.lit("x"), n), 2: F.repeat(F.lit("the same line of some sixty bytes, again and again and again\n"), n // 60), 3: F.lit("short")}
+    df = None
+    for i, text in kinds.items():
+        one = spark.range(1).select(F.lit(i).cast("long").alias("doc_id"), text.alias("text"))
+        df = one if df is None else df.unionByName(one)
+    got = {r.doc_id: r for r in R.repeat_report(df).drop("text").collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(n, 1), (got[2].n_bytes, 1), (0, 0)]
