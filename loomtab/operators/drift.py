@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import psi_level
 from ..functions.special import chi2_p_value, ks_p_value
 from ..schema import as_number, col, common_columns, numeric_columns
+from .quantiles import quantiles
 
 ALPHA, BINS, FLOOR, SEPARABLE = 0.05, 10, 1e-6, 0.7
 
@@ -117,13 +118,15 @@ def drift_report(reference: DataFrame, live: DataFrame, alpha: float = ALPHA) ->
 def psi_bins(reference: DataFrame, live: DataFrame, columns: list[str] | None = None, bins: int = BINS, accuracy: int | None = None) -> DataFrame:
     """(column, bin, r, l): counts between pooled quantiles; bin i is from the i-th inner edge on.
 
-    Edges are exact unless ``accuracy`` asks for approximate ones, which hold no more than that many values.
+    Edges are exact, by ``quantiles``, unless ``accuracy`` asks for those of a sketch in one pass.
     """
     columns = numeric_common(reference, live) if columns is None else columns
     values = unpivot_numbers(reference, live, columns)
     inner = [i / bins for i in range(1, bins)]
-    quantiles = F.percentile_approx("value", inner, accuracy) if accuracy else F.percentile("value", F.array(*map(F.lit, inner)))
-    edges = values.groupBy("column").agg(quantiles.alias("edges"))
+    if accuracy:
+        edges = values.groupBy("column").agg(F.percentile_approx("value", inner, accuracy).alias("edges"))
+    else:
+        edges = reference.sparkSession.createDataFrame(list(quantiles(values, inner).items()), "column string, edges array<double>")
     placed = values.join(F.broadcast(edges), "column").withColumn("bin", F.size(F.filter("edges", lambda e: F.col("value") >= e)))
     return placed.groupBy("column", "bin").agg(F.sum((F.col("side") == 0).cast("long")).alias("r"), F.sum((F.col("side") == 1).cast("long")).alias("l"))
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import categorical_columns, col, date_columns, numeric_columns
+from ..schema import as_number, categorical_columns, col, date_columns, numeric_columns, unpivoted
+from .quantiles import quantiles
 from .splits import range_of, value_codes
 
 
@@ -25,12 +26,14 @@ def drop_columns(df: DataFrame, names: list[str], target: str | None = None) ->
 
 
 def medians(df: DataFrame, names: list[str], accuracy: int | None = None) -> dict[str, float | None]:
-    """Medians of numeric columns in one pass; with ``accuracy`` approximate ones, for columns of very many values."""
+    """Exact medians of numeric columns, by ``quantiles``; with ``accuracy`` those of a sketch in one pass."""
     if not names:
         return {}
-    pick = (lambda c: F.percentile_approx(c, 0.5, accuracy)) if accuracy else F.median
-    row = df.agg(*[pick(F.nanvl(col(n).cast("double"), F.lit(None).cast("double"))).alias(str(i)) for i, n in enumerate(names)]).first()
-    return {n: row[i] for i, n in enumerate(names)}
+    if accuracy:
+        row = df.agg(*[F.percentile_approx(as_number(n), 0.5, accuracy).alias(str(i)) for i, n in enumerate(names)]).first()
+        return {n: row[i] for i, n in enumerate(names)}
+    found = quantiles(unpivoted(df, names), [0.5])
+    return {n: found[n][0] if n in found else None for n in names}
 
 
 def modes(df: DataFrame, names: list[str]) -> dict[str, str | None]:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import col, date_columns, numeric_columns
+from ..schema import col, date_columns, numeric_columns, unpivoted
+from .quantiles import quantiles
 
 
 def _wide(df: DataFrame, exprs: dict[str, dict[str, F.Column]]) -> DataFrame:
@@ -40,7 +41,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """(column, n, n_null, mean, std, min, q25, q50, q75, max) of the numeric columns."""
+    """(column, n, n_null, mean, std, min, q25, q50, q75, max) of the numeric columns; quartiles exact, without NaN."""
+    names = numeric_columns(df)
+    quartiles = quantiles(unpivoted(df, names), [0.25, 0.5, 0.75]) if names else {}
     return _wide(
         df,
         {
@@ -50,10 +53,10 @@ def describe(df: DataFrame) -> DataFrame:
                 "mean": F.avg(x),
                 "std": F.stddev_samp(x),
                 "min": F.min(x),
-                **{f"q{q}": F.percentile(x, q / 100) for q in (25, 50, 75)},
+                **{f"q{q}": F.max(F.lit(v).cast("double")) for q, v in zip((25, 50, 75), quartiles.get(c, [None] * 3), strict=True)},
                 "max": F.max(x),
             }
-            for c in numeric_columns(df)
+            for c in names
         },
     )
 

@@ -526,6 +526,25 @@ def last_n_events(spark, d):
     return reporting.last_events(_runs(spark, d), 15).select("line", "run_id", "model")
 
 
+_SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+_SPREAD = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    " union all ".join(
+        f"""select '{c}' as "column", {", ".join(f"round(quantile_cont({c}, {s}), 6) as q{round(100 * s)}" for s in _SHARES)} from lineitem""" for c in _SPREAD
+    )
+)
+def exact_quantiles(spark, d):
+    from ..operators.quantiles import quantiles
+    from ..schema import unpivoted
+
+    found = quantiles(unpivoted(table(spark, d, "lineitem"), list(_SPREAD)), _SHARES)
+    names = [f"q{round(100 * s)}" for s in _SHARES]
+    rows = spark.createDataFrame([(c, *map(float, v)) for c, v in found.items()], ", ".join(["column string", *[f"{n} double" for n in names]]))
+    return rows.select("column", *[F.round(n, 6).alias(n) for n in names])
+
+
 # ---- catalog ------------------------------------------------------------------------------------------------
 
 _EDGES = [("bronze-a", "silver-a"), ("silver-a", "gold-a"), ("gold-a", "platinum-a"), ("bronze-b", "silver-b"), ("bronze-b", "gold-a")]

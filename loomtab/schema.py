@@ -35,3 +35,9 @@ def as_number(name: str) -> Column:
     """The column as double; null where it is null or NaN."""
     x = col(name).cast("double")
     return F.when(~F.isnan(x), x)
+
+
+def unpivoted(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value): the numbers of the columns, a row each; nulls and NaN left out."""
+    entries = F.array(*[F.struct(F.lit(n).alias("column"), as_number(n).alias("value")) for n in names])
+    return df.select(F.explode(entries).alias("e")).select("e.*").where("value is not null")
