@@ -64,7 +64,7 @@ class LeakageFinding:
         return self.baseline - self.permuted
 
 
-def leakage_audit(df: DataFrame, features: list[str], label: str, task: str, threshold: float = 0.15, folds: int = 3, seed: int = 42) -> list[LeakageFinding]:
+def leakage_audit(df: DataFrame, features: list[str], label: str, task: str, threshold: float = 0.15, folds: int = 3, seed: int = 42, classes: int = 2) -> list[LeakageFinding]:
     """Features whose permutation lowers the cross-validated score (roc_auc or r2) by over ``threshold``, worst first.
 
     Copies of a row are numbered, so that they go to folds and places of their own.
@@ -72,10 +72,10 @@ def leakage_audit(df: DataFrame, features: list[str], label: str, task: str, thr
     metric, fit = ("r2", ridge()) if task == "regression" else ("roc_auc", logistic(scaled=True))
     rows = numbered(df.select(*[col(c) for c in [*features, label]])).cache()
     try:
-        base = cross_validate(rows, features, label, fit, [metric], folds, seed)[metric][0]
+        base = cross_validate(rows, features, label, fit, [metric], folds, seed, classes=classes)[metric][0]
         found = []
         for i, f in enumerate(features):
-            score = cross_validate(permuted(rows, f, seed + i), features, label, fit, [metric], folds, seed)[metric][0]
+            score = cross_validate(permuted(rows, f, seed + i), features, label, fit, [metric], folds, seed, classes=classes)[metric][0]
             if base - score > threshold:
                 found.append(LeakageFinding(f, round(base, 4), round(score, 4)))
         return sorted(found, key=lambda x: -x.drop)

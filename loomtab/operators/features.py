@@ -108,15 +108,15 @@ def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
     return at(seed).drop(column).join(values, "_i").select(*[col(c) for c in df.columns])
 
 
-def permutation_importance(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, repeats: int = 5, seed: int = 42) -> dict[str, float]:
+def permutation_importance(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, repeats: int = 5, seed: int = 42, classes: int = 2) -> dict[str, float]:
     """Mean loss of the metric when a feature is permuted; the model is fitted once."""
     rows = numbered(df.select(*[col(c) for c in [*features, label]])).cache()
     try:
         score = fit(rows, features, label)
-        base = measure(score(rows), label, [metric])[metric]
+        base = measure(score(rows), label, [metric], classes)[metric]
         out = {}
         for i, f in enumerate(features):
-            drops = [base - measure(score(permuted(rows, f, seed + i + 1000 * r)), label, [metric])[metric] for r in range(repeats)]
+            drops = [base - measure(score(permuted(rows, f, seed + i + 1000 * r)), label, [metric], classes)[metric] for r in range(repeats)]
             out[f] = sum(drops) / repeats
         return out
     finally:
@@ -153,25 +153,25 @@ def interaction_candidates(features: list[str], cap: int = 200) -> list[Interact
     return [Interaction(kind, a, b) for a, b in combinations(features, 2) for kind in ("multiply", "ratio")][:cap]
 
 
-def discover_interactions(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, top: list[str], least_lift: float = 0.01, cap: int = 200, folds: int = 3, seed: int = 42) -> list[tuple[Interaction, float]]:
+def discover_interactions(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, top: list[str], least_lift: float = 0.01, cap: int = 200, folds: int = 3, seed: int = 42, classes: int = 2) -> list[tuple[Interaction, float]]:
     """Candidates whose column lifts the cross-validated metric by over ``least_lift``, best first."""
-    base = cross_validate(df, features, label, fit, [metric], folds, seed)[metric][0]
+    base = cross_validate(df, features, label, fit, [metric], folds, seed, classes=classes)[metric][0]
     kept = []
     for c in interaction_candidates(top, cap):
         wide = df.withColumn(c.name, c.expression)
-        lift = cross_validate(wide, [*features, c.name], label, fit, [metric], folds, seed)[metric][0] - base
+        lift = cross_validate(wide, [*features, c.name], label, fit, [metric], folds, seed, classes=classes)[metric][0] - base
         if lift > least_lift:
             kept.append((c, lift))
     return sorted(kept, key=lambda x: -x[1])
 
 
-def engineer(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, k: int = 5, seed: int = 42) -> tuple[DataFrame, list[str]]:
+def engineer(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, k: int = 5, seed: int = 42, classes: int = 2) -> tuple[DataFrame, list[str]]:
     """Fit, take the most important features, add interactions that help, refit, prune."""
-    first = permutation_importance(df, features, label, fit, metric, 1, seed)
-    found = discover_interactions(df, features, label, fit, metric, top_features(first, k), seed=seed)
+    first = permutation_importance(df, features, label, fit, metric, 1, seed, classes)
+    found = discover_interactions(df, features, label, fit, metric, top_features(first, k), seed=seed, classes=classes)
     wide = df.withColumns({i.name: i.expression for i, _ in found}) if found else df
     names = [*features, *[i.name for i, _ in found]]
-    return wide, prune_features(permutation_importance(wide, names, label, fit, metric, 1, seed))
+    return wide, prune_features(permutation_importance(wide, names, label, fit, metric, 1, seed, classes))
 
 
 def contiguous_codes(df: DataFrame, column: str) -> DataFrame:

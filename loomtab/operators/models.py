@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..schema import col
 from . import metrics as M
+from .boosting import Boosted, fit_boosted
 
 
 class ModelError(ValueError):
@@ -39,15 +40,19 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fitted:
-    """A fitted model as a Scorer that can be saved: plain numbers, or an MLlib model over the assembled features."""
+    """A fitted model as a Scorer that can be saved: plain numbers, boosted trees, or an MLlib model over the assembled features."""
 
     features: list[str]
     constant: float | None = None
     probability: list[float] | None = None
     weights: list[float] | None = None
     model: Model | None = None
+    boosted: Boosted | None = None
 
     def __call__(self, new: DataFrame) -> DataFrame:
+        if self.boosted is not None:
+            out = new.withColumn("probability", self.boosted.probability([_number(c) for c in self.features]))
+            return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
         if self.model is not None:
             out = self.model.transform(assembled(new, self.features))
             if "probability" in out.columns:
@@ -63,16 +68,19 @@ class Fitted:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write to a folder of any store that Spark reaches."""
-        plain = {"features": self.features, "constant": self.constant, "probability": self.probability, "weights": self.weights, "mllib": self.model is not None}
+        plain = {"features": self.features, "constant": self.constant, "probability": self.probability, "weights": self.weights, "boosted": self.boosted and asdict(self.boosted), "mllib": self.model is not None}
         if self.model is not None:
             PipelineModel([self.model]).write().overwrite().save(f"{path}/mllib")
         spark.createDataFrame([(json.dumps(plain),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
 
-def load_model(spark: SparkSession, path: str) -> Fitted:
+def load_model(spark: SparkSession, path: str) -> Fitted | Calibrated:
     plain = json.loads(spark.read.text(f"{path}/model").first().value)
+    if "maps" in plain:
+        return Calibrated(plain["method"], [(load_model(spark, f"{path}/member-{i}"), m) for i, m in enumerate(plain["maps"])])
     model = PipelineModel.load(f"{path}/mllib") if plain.pop("mllib") else None
-    return Fitted(**plain, model=model)
+    boosted = plain.pop("boosted", None)
+    return Fitted(**plain, model=model, boosted=boosted and Boosted(**boosted))
 
 
 def _number(name: str) -> Column:
@@ -83,16 +91,19 @@ def _ml(estimator: Callable[[DataFrame, str], Model]) -> Fit:
     return lambda df, features, label: Fitted(features, model=estimator(assembled(df, features), label))
 
 
-def naive() -> Fit:
-    """The mean of a float target, else the most frequent class (the smallest of equal ones) with certainty."""
+def naive(classes: int | None = None) -> Fit:
+    """The mean of a float target, else the most frequent class (the smallest of equal ones) with certainty.
+
+    Without ``classes`` there are as many as the training rows show.
+    """
 
     def fit(df: DataFrame, features: list[str], label: str) -> Scorer:
         if dict(df.dtypes)[label] in ("double", "float"):
             mean = df.agg(F.avg(col(label))).first()[0]
             return Fitted(features, constant=mean)
         counts = df.where(col(label).isNotNull()).groupBy(col(label).alias("y")).count().orderBy(F.desc("count"), "y").collect()
-        top, classes = counts[0].y, max(int(r.y) for r in counts) + 1
-        return Fitted(features, constant=float(top), probability=[float(k == int(top)) for k in range(classes)])
+        top, seen = counts[0].y, max(int(r.y) for r in counts) + 1
+        return Fitted(features, constant=float(top), probability=[float(k == int(top)) for k in range(classes or seen)])
 
     return fit
 
@@ -132,13 +143,18 @@ def ridge(alpha: float = 1.0) -> Fit:
 
 
 def gbt(task: str, classes: int = 2, trees: int = 50, depth: int = 5, step: float = 0.1, seed: int = 42) -> Fit:
-    """Gradient-boosted trees; for more than two classes one model against the rest for each."""
+    """Gradient-boosted trees: MLlib's for numbers and two classes, for more the histogram trees with a softmax loss."""
     if task == "regression":
         return _ml(lambda x, y: GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(x))
     one = lambda y: GBTClassifier(featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
     if classes <= 2:
         return _ml(lambda x, y: one(y).fit(x))
-    return _ml(lambda x, y: OneVsRest(classifier=one(y), featuresCol="_x", labelCol=y).fit(x))
+    return boosted_trees(classes, trees=trees, depth=depth, step=step)
+
+
+def boosted_trees(classes: int, **settings) -> Fit:
+    """Histogram boosting for labels 0 to ``classes`` - 1."""
+    return lambda df, features, label: Fitted(features, boosted=fit_boosted(df, [_number(c) for c in features], label, classes, **settings))
 
 
 def forest(task: str, trees: int = 100, depth: int = 10, seed: int = 42) -> Fit:
@@ -152,22 +168,34 @@ def perceptron(n_features: int, classes: int, hidden: int = 32, seed: int = 42)
     return _ml(lambda x, y: MultilayerPerceptronClassifier(featuresCol="_x", labelCol=y, layers=[n_features, hidden, classes], seed=seed).fit(x))
 
 
+def network(task: str, classes: int = 2, hidden: int = 32, seed: int = 42) -> Fit:
+    """``perceptron`` over as many features as there are."""
+    if task == "regression":
+        raise ModelError("perceptron is a classifier")
+    return lambda df, features, label: perceptron(len(features), classes, hidden, seed)(df, features, label)
+
+
 #: Models by name: (task, settings) -> Fit.  One canonical name is used everywhere.
 FACTORY: dict[str, Callable[..., Fit]] = {
-    "naive": lambda task, **o: naive(),
+    "naive": lambda task, **o: naive(**o),
     "linear": lambda task, **o: ridge(**o) if task == "regression" else logistic(scaled=True, **o),
     "gbt": lambda task, **o: gbt(task, **o),
     "forest": lambda task, **o: forest(task, **o),
+    "perceptron": lambda task, **o: network(task, **o),
 }
+#: Models that are told the number of classes; the others see it in their rows.
+TOLD_CLASSES = {"naive", "gbt", "perceptron"}
 
 
 def register_model(name: str, build: Callable[..., Fit]) -> None:
     FACTORY[name] = build
 
 
-def make_model(name: str, task: str, **settings) -> Fit:
+def make_model(name: str, task: str, classes: int | None = None, **settings) -> Fit:
     if name not in FACTORY:
         raise ModelError(f"no model {name}; there are {sorted(FACTORY)}")
+    if classes is not None and task == "classification" and name in TOLD_CLASSES:
+        settings = {"classes": classes, **settings}
     return FACTORY[name](task, **settings)
 
 
@@ -176,9 +204,9 @@ def select_models(requested: Iterable[str] | None = None) -> list[str]:
     return ["naive", "linear", *[m for m in requested or ("gbt", "forest") if m not in ("naive", "linear")]]
 
 
-def importance_model(task: str, requested: Iterable[str] | None = None) -> Fit:
+def importance_model(task: str, requested: Iterable[str] | None = None, classes: int | None = None) -> Fit:
     """The model that features are judged by: the first tree model requested, else the linear one."""
-    return make_model(next((m for m in requested or () if m in ("gbt", "forest")), "linear"), task)
+    return make_model(next((m for m in requested or () if m in ("gbt", "forest")), "linear"), task, classes)
 
 
 def with_folds(df: DataFrame, folds: int, seed: int, keys: list[str] | None = None, name: str = "_fold") -> DataFrame:
@@ -324,3 +352,113 @@ def fit_calibrator(df: DataFrame, features: list[str], label: str, fit: Fit, met
             m = IsotonicRegression(featuresCol="s", labelCol="y").fit(pairs.withColumn("s", F.round("s", 4)))
             maps.append((m.boundaries.toArray().tolist(), m.predictions.toArray().tolist()))
     return Calibrator(method, maps)
+
+
+@dataclass(frozen=True)
+class Calibrated:
+    """An ensemble of models, each with maps from its scores to probabilities, fitted on rows that it did not see.
+
+    Of two classes a member has one map, that of class 1; of more, one for each class against the rest, and what they give is
+    made to sum to 1.  The probabilities of the members are averaged.
+    """
+
+    method: str
+    members: list[tuple[Fitted, list]]
+
+    @property
+    def features(self) -> list[str]:
+        return self.members[0][0].features
+
+    def __call__(self, new: DataFrame) -> DataFrame:
+        out, names = new, []
+        for i, (model, maps) in enumerate(self.members):
+            names.append(f"_p{i}")
+            out = model(out).withColumn(names[-1], _mapped(self.method, maps)).drop("prediction", "probability")
+        total = F.col(names[0])
+        for n in names[1:]:
+            total = F.zip_with(total, F.col(n), lambda a, b: a + b)
+        out = out.withColumn("probability", F.transform(total, lambda p: p / len(names))).drop(*names)
+        return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        for i, (model, _) in enumerate(self.members):
+            model.save(spark, f"{path}/member-{i}")
+        plain = {"method": self.method, "maps": [m for _, m in self.members]}
+        spark.createDataFrame([(json.dumps(plain),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+
+def _mapped(method: str, maps: list) -> Column:
+    """The probabilities of one member from its column ``probability``."""
+
+    def one(k: int, m: list) -> Column:
+        s = F.get("probability", F.lit(k))
+        return 1 / (1 + F.exp(-(F.lit(m[0]) * s + F.lit(m[1])))) if method == "platt" else _interpolate(s, *m)
+
+    if len(maps) == 1:
+        p = one(1, maps[0])
+        return F.array(1 - p, p)
+    each = F.array(*[one(k, m) for k, m in enumerate(maps)])
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(each, lambda p: F.when(total > 0, p / total).otherwise(1 / len(maps)))
+
+
+def fit_calibrated(df: DataFrame, features: list[str], label: str, fit: Fit, classes: int, method: str = "platt", folds: int = 3, seed: int = 42) -> Calibrated:
+    """A member for each fold: the model of the other folds, and maps of its scores on this one.
+
+    ``platt`` is a sigmoid with smoothed targets, ``isotonic`` a monotone map.  Folds come from the rows' hash.
+    """
+    if method not in ("platt", "isotonic"):
+        raise ModelError(f"no calibration {method}")
+    rows = with_folds(df, folds, seed, [*features, label])
+    own = [1] if classes == 2 else list(range(classes))
+    members = []
+    for k in range(folds):
+        model = fit(rows.where(F.col("_fold") != k), features, label)
+        scored = model(rows.where(F.col("_fold") == k)).select("probability", col(label).cast("int").alias("y")).persist()
+        try:
+            members.append((model, _platt(scored, own) if method == "platt" else [_isotonic(scored, c) for c in own]))
+        finally:
+            scored.unpersist()
+    return Calibrated(method, members)
+
+
+def _isotonic(scored: DataFrame, k: int) -> list:
+    pairs = scored.select(F.round(F.get("probability", F.lit(k)), 4).alias("s"), (F.col("y") == k).cast("double").alias("y"))
+    m = IsotonicRegression(featuresCol="s", labelCol="y").fit(pairs)
+    return [m.boundaries.toArray().tolist(), m.predictions.toArray().tolist()]
+
+
+def _platt(scored: DataFrame, classes: list[int]) -> list[list[float]]:
+    """Slope and bias of each class's sigmoid by Newton steps; one aggregate a step serves all classes."""
+    sizes = scored.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("y") == k).alias(f"n{k}") for k in classes]).first()
+    at = np.array([[0.0, float(np.log((sizes[f"n{k}"] + 1) / (sizes.n - sizes[f"n{k}"] + 1)))] for k in classes])
+    targets = [((sizes[f"n{k}"] + 1) / (sizes[f"n{k}"] + 2), 1 / (sizes.n - sizes[f"n{k}"] + 2)) for k in classes]
+
+    def sums(at: np.ndarray) -> np.ndarray:
+        """By class: loss, gradient (2), hessian (3)."""
+        out = []
+        for (a, b), k, (high, low) in zip(at.tolist(), classes, targets, strict=True):
+            s = F.get("probability", F.lit(k))
+            z = F.lit(a) * s + F.lit(b)
+            p, t = 1 / (1 + F.exp(-z)), F.when(F.col("y") == k, high).otherwise(low)
+            loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z
+            w = p * (1 - p)
+            out += [F.sum(x) for x in (loss, (p - t) * s, p - t, w * s * s, w * s, w)]
+        return np.array([float(v or 0) for v in scored.agg(*[x.alias(f"x{i}") for i, x in enumerate(out)]).first()]).reshape(-1, 6)
+
+    now = sums(at)
+    step = np.zeros_like(at)
+    for _ in range(50):
+        for i, (_, ga, gb, haa, hab, hbb) in enumerate(now):
+            step[i] = np.linalg.solve([[haa + 1e-9, hab], [hab, hbb + 1e-9]], [ga, gb])
+        if np.abs(step).max() < 1e-8:
+            break
+        share = np.ones((len(at), 1))
+        for _ in range(30):
+            then = sums(at - share * step)
+            worse = then[:, 0] > now[:, 0] + 1e-12 * np.abs(now[:, 0])
+            if not worse.any():
+                break
+            share[worse] /= 2
+        at, now = at - share * step, then
+    return at.tolist()

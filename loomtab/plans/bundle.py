@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import Interaction, TargetTransform, augment
-from ..operators.models import Calibrator, Fitted, load_model
+from ..operators.labels import Labels
+from ..operators.models import Calibrated, Calibrator, Fitted, load_model
 from ..operators.prep import PrepModel
 
 VERSION = 1
@@ -20,15 +21,20 @@ class Predictor:
     """Everything between a raw frame and its predictions."""
 
     prep: PrepModel
-    model: Fitted
+    model: Fitted | Calibrated
     interactions: tuple[Interaction, ...] = ()
     calibrator: Calibrator | None = None
     transform: TargetTransform | None = None
     #: Dense tables of high-cardinality columns, by column.
     embeddings: dict[str, DataFrame] = field(default_factory=dict)
+    #: The values behind a classifier's codes.
+    labels: Labels | None = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        """Prepared columns with ``prediction`` and, of a classifier, ``probability``; of two classes, ``score`` is that of class 1."""
+        """Prepared columns with ``prediction`` and, of a classifier, ``probability``; of two classes, ``score`` is that of class 1.
+
+        With ``labels``, ``prediction`` is a value of the target; probabilities are in the order of its values.
+        """
         rows = self.prep.transform(augment(df, list(self.embeddings), self.embeddings) if self.embeddings else df)
         if self.interactions:
             rows = rows.withColumns({i.name: i.expression for i in self.interactions})
@@ -38,6 +44,8 @@ class Predictor:
         if "probability" in out.columns:
             score = F.get("probability", F.lit(1))
             out = out.withColumn("score", self.calibrator.apply(score) if self.calibrator else score)
+        if self.labels:
+            out = out.withColumn("prediction", self.labels.decode(F.col("prediction")))
         return out
 
 
@@ -57,6 +65,7 @@ def export_bundle(spark: SparkSession, path: str, predictor: Predictor, about: d
         "interactions": [asdict(i) for i in predictor.interactions],
         "calibrator": predictor.calibrator and asdict(predictor.calibrator),
         "transform": predictor.transform and asdict(predictor.transform),
+        "labels": predictor.labels and asdict(predictor.labels),
     }
     spark.createDataFrame([(json.dumps(body, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return path
@@ -71,4 +80,5 @@ def load_bundle(spark: SparkSession, path: str) -> Predictor:
     found = Predictor(replace(PrepModel(**body["prep"]), tables=tables), load_model(spark, f"{path}/model"), tuple(Interaction(**i) for i in body["interactions"]))
     calibrator, transform = body["calibrator"], body["transform"]
     dense = {c: spark.read.parquet(f"{path}/embedding-{i}") for i, c in enumerate(body["embeddings"])}
-    return replace(found, embeddings=dense, calibrator=calibrator and Calibrator(**calibrator), transform=transform and TargetTransform(**transform))
+    labels = body.get("labels")
+    return replace(found, embeddings=dense, labels=labels and Labels(**labels), calibrator=calibrator and Calibrator(**calibrator), transform=transform and TargetTransform(**transform))

@@ -17,13 +17,14 @@ from .operators import drift, splits
 from .operators.audit import drop_noise, label_noise, leakage_audit
 from .operators.features import augment, engineer, fit_frequency_encoding, interaction_candidates
 from .operators.identity import frame_digest, with_row_ids
+from .operators.labels import fit_labels
 from .operators.metrics import lower_is_better
-from .operators.models import cross_validate, fit_calibrator, importance_model, make_model, select_models
+from .operators.models import cross_validate, fit_calibrated, importance_model, make_model, select_models
 from .operators.prep import fit_prep
 from .operators.profile import high_cardinality, preflight
 from .plans import lake, reporting
 from .plans.bundle import Predictor, export_bundle, load_bundle
-from .schema import categorical_columns, numeric_columns
+from .schema import categorical_columns, col, numeric_columns
 from .sources.events import EventLog, read_events
 from .sources.tables import load_data
 
@@ -118,7 +119,8 @@ class ExperimentSession:
     def run(self, config: ExperimentConfig, df: DataFrame) -> DataFrame:
         """Cross-validate every model, fit it on all rows, calibrate, save and log it; the leaderboard of this run.
 
-        Preparation is fitted on the training rows of each fold.  A model that fails is logged and left out.  With
+        The classes of a classification may be of any type and number; predictions are its values again.  The lift of a model
+        is over the naive baseline of the same run, none if that failed.  Preparation is fitted on the training rows of each fold.  A model that fails is logged and left out.  With
         ``resume`` a run of an equal configuration and equal data goes on: models it completed are not run again.
         """
         if config.share < 1:
@@ -130,6 +132,10 @@ class ExperimentSession:
         past = {r.model for r in self.events().where((F.col("run_id") == run_id) & (F.col("event") == "model_completed")).select("model").collect()} if config.resume and self.log.files() else set()
         say(event="experiment_started", config=json.dumps(config.key))
         ignore = list(config.ignore)
+        # classes are codes from here on; a row without a class has nothing to learn or to score
+        labels = fit_labels(df, config.target) if config.task == "classification" else None
+        classes = max(2, len(labels.values)) if labels else None
+        df = labels.encode(df) if labels else df.where(col(config.target).isNotNull())
         if config.noise is not None:
             df = self._cleaned(df, config, say)
         dense = [c for c in high_cardinality(df.drop(*ignore), config.target) if c in categorical_columns(df)] if config.strategy == "embedding" else []
@@ -137,18 +143,18 @@ class ExperimentSession:
         def embed(train: DataFrame) -> dict[str, DataFrame]:
             return {c: fit_frequency_encoding(train, c, config.target if config.task == "regression" or binary else None) for c in dense}
 
-        binary = bool(dense) and config.target in numeric_columns(df) and df.select(config.target).distinct().limit(3).count() <= 2
+        binary = classes == 2
         tables = embed(df)
         wide = augment(df, dense, tables)
         prep = fit_prep(wide, config.target, ignore)
         ready = prep.transform(wide)
         features, interactions = [c for c in numeric_columns(ready) if c != config.target], ()
         if config.strategy == "afe":
-            fit, metric = importance_model(config.task, config.models), "r2" if config.task == "regression" else "roc_auc"
-            wide, features = engineer(ready, features, config.target, fit, metric, seed=config.seed)
+            fit, metric = importance_model(config.task, config.models, classes), "r2" if config.task == "regression" else "roc_auc"
+            wide, features = engineer(ready, features, config.target, fit, metric, seed=config.seed, classes=classes or 2)
             interactions = tuple(i for i in interaction_candidates([c for c in numeric_columns(ready) if c != config.target]) if i.name in features)
         if config.leakage is not None:
-            for f in leakage_audit(ready, [c for c in features if c in ready.columns], config.target, config.task, config.leakage, seed=config.seed):
+            for f in leakage_audit(ready, [c for c in features if c in ready.columns], config.target, config.task, config.leakage, seed=config.seed, classes=classes or 2):
                 say(event="leakage_found", config=json.dumps({"feature": f.feature, "baseline": f.baseline, "permuted": f.permuted}))
         keyed = with_row_ids(df) if config.split != "hash" else df
         members = config.membership(keyed) if config.split != "hash" else None
@@ -164,22 +170,23 @@ class ExperimentSession:
 
             return apply
 
-        done, baseline = len(past), None
+        done, baseline = len(past), self._scores(run_id, "naive") if "naive" in past else {}
         for name in [m for m in select_models(config.models) if m not in past]:
             began = time.time()
             settings = config.settings.get(name, {})
             path = f"{self.workspace}/artifacts/{run_id}/{name}"
             try:
-                fit = make_model(name, config.task, **settings)
-                metrics = [m for m in config.measured if not (name == "naive" and m == "roc_auc")] or ["accuracy"]
-                scores = cross_validate(keyed, features, config.target, fit, metrics, config.folds, config.seed, membership=members, prepare=prepare, workers=config.workers)
+                fit = make_model(name, config.task, classes, **settings)
+                scores = cross_validate(keyed, features, config.target, fit, config.measured, config.folds, config.seed, membership=members, classes=classes or 2, prepare=prepare, workers=config.workers)
                 wide = ready.withColumns({i.name: i.expression for i in interactions}) if interactions else ready
-                calibrator = None
-                if config.calibration and config.task == "classification" and name != "naive":
-                    calibrator = fit_calibrator(wide, features, config.target, fit, config.calibration, seed=config.seed)
-                export_bundle(self.spark, path, Predictor(prep, fit(wide, features, config.target), interactions, calibrator, embeddings=tables), {"run_id": run_id, "model": name, "target": config.target})
+                if config.calibration and labels and name != "naive":
+                    model = fit_calibrated(wide, features, config.target, fit, classes, config.calibration, seed=config.seed)
+                else:
+                    model = fit(wide, features, config.target)
+                export_bundle(self.spark, path, Predictor(prep, model, interactions, embeddings=tables, labels=labels), {"run_id": run_id, "model": name, "target": config.target})
                 first = {m: v[0] for m, v in scores.items()}
-                baseline = baseline or first
+                if name == "naive":
+                    baseline = first
                 say(event="model_completed", model=name, cv_scores=first, cv_std={m: v[1] for m, v in scores.items()}, params={k: str(v) for k, v in settings.items()}, lift=lifts(first, baseline), calibration=config.calibration, duration_seconds=time.time() - began, artifact_path=path)
                 done += 1
             except Exception as e:
@@ -190,6 +197,11 @@ class ExperimentSession:
         self.registry.update(board)
         return board
 
+    def _scores(self, run_id: str, model: str) -> dict[str, float]:
+        """The logged scores of a completed model of a run."""
+        found = reporting.dedupe_events(self.events()).where((F.col("run_id") == run_id) & (F.col("model") == model)).select("cv_scores").first()
+        return dict(found.cv_scores or {}) if found else {}
+
     def _cleaned(self, df: DataFrame, config: ExperimentConfig, say) -> DataFrame:
         """Without rows whose label is probably wrong: those under ``noise``; how many is logged, with the first 100 ids."""
         if config.task != "classification":
