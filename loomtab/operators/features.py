@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import col
-from .models import Fit, cross_validate, measure
+from .models import Fit, cross_validate, measure, with_folds
+from .moments import candidate_lifts
 from .splits import positions, value_codes
 
 
@@ -154,12 +155,19 @@ def interaction_candidates(features: list[str], cap: int = 200) -> list[Interact
 
 
 def discover_interactions(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, top: list[str], least_lift: float = 0.01, cap: int = 200, folds: int = 3, seed: int = 42, classes: int = 2) -> list[tuple[Interaction, float]]:
-    """Candidates whose column lifts the cross-validated metric by over ``least_lift``, best first."""
+    """Candidates whose column lifts the cross-validated metric by over ``least_lift``, best first.
+
+    With ``ridge`` and r2 all candidates are scored from one pass of sums; other models are fitted for each.
+    """
+    if metric == "r2" and getattr(fit, "alpha", None) is not None:
+        found = interaction_candidates(top, cap)
+        lifts = candidate_lifts(with_folds(df, folds, seed, name="_fold"), features, label, "_fold", folds, {c.name: c.expression for c in found}, fit.alpha)
+        return sorted(((c, lifts[c.name]) for c in found if lifts[c.name] > least_lift), key=lambda x: -x[1])
     base = cross_validate(df, features, label, fit, [metric], folds, seed, classes=classes)[metric][0]
     kept = []
     for c in interaction_candidates(top, cap):
         wide = df.withColumn(c.name, c.expression)
-        lift = cross_validate(wide, [*features, c.name], label, fit, [metric], folds, seed, classes=classes)[metric][0] - base
+        lift = cross_validate(wide, [*features, c.name], label, fit, [metric], folds, seed, classes=classes, keys=df.columns)[metric][0] - base
         if lift > least_lift:
             kept.append((c, lift))
     return sorted(kept, key=lambda x: -x[1])

@@ -139,6 +139,7 @@ def ridge(alpha: float = 1.0) -> Fit:
         bias = (means[d - 1] or 0.0) - float(sum(a * (m or 0.0) for a, m in zip(w, means, strict=False)))
         return Fitted(features, constant=bias, weights=w.tolist())
 
+    fit.alpha = alpha  # by which a fit is known that sums of products can stand in for
     return fit
 
 
@@ -262,14 +263,15 @@ def cross_validate(
     classes: int = 2,
     prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
     workers: int = 4,
+    keys: list[str] | None = None,
 ) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each metric over the folds.
 
-    Folds come from ``membership`` (row_id, fold, role) by a join, else from the hash of the rows.  ``prepare`` is
+    Folds come from ``membership`` (row_id, fold, role) by a join, else from the hash of the rows, or of the columns ``keys``.  ``prepare`` is
     fitted on each fold's training rows, so that nothing leaks into validation.  Folds run at once up to ``workers``.
     """
     if membership is None:
-        rows = with_folds(df, folds, seed).cache()
+        rows = with_folds(df, folds, seed, keys).cache()
         sides = [(rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k)) for k in range(folds)]
     else:
         rows = df.join(membership.select("row_id", "fold", "role"), "row_id").cache()

@@ -566,6 +566,65 @@ def lineage_edges(spark, d):
     return lineage_closure(spark.createDataFrame(_EDGES, "upstream string, downstream string"), "platinum-a")
 
 
+_FOLDED = """folded as (select (l_orderkey % 5)::int as fold, 1.0::double as one, l_quantity::double - 25 as quantity, l_discount::double as discount,
+  l_extendedprice::double - 30000 as price from lineitem)"""
+_NAMES = ("one", "quantity", "discount", "price")
+
+
+def _folded(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.select((F.col("l_orderkey") % 5).cast("int").alias("fold"), F.lit(1.0).alias("one"), (F.col("l_quantity").cast("double") - 25).alias("quantity"), F.col("l_discount").cast("double").alias("discount"), (F.col("l_extendedprice").cast("double") - 30000).alias("price"))
+
+
+@query(
+    f"with {_FOLDED} "
+    + " union all ".join(f"select fold, '{a}' as a, '{b}' as b, round(sum({a} * {b}), 1) as total from folded group by fold" for i, a in enumerate(_NAMES) for b in _NAMES[i:])
+)
+def fold_moments(spark, d):
+    from ..operators.moments import fold_products
+
+    return fold_products(_folded(spark, d), "fold", {n: F.col(n) for n in _NAMES}).withColumn("total", F.round("total", 1))
+
+
+@query(
+    f"""with {_FOLDED}, folds as (select unnest(range(5))::int as k),
+  trained as (select k, covar_pop(quantity, price) * count(*) / (var_pop(quantity) * count(*) + 1.0) as w, avg(price) as my, avg(quantity) as mx
+    from folds, folded where fold <> k group by k)
+  select k as fold, round(1 - avg(power(price - my - w * (quantity - mx), 2)) / var_pop(price), 6) as r2,
+    round(sqrt(avg(power(price - my - w * (quantity - mx), 2))), 4) as rmse from trained, folded where fold = k group by k"""
+)
+def ridge_moments_cv(spark, d):
+    from ..operators.moments import fold_moments as moments
+    from ..operators.moments import ridge_scores
+
+    scores = ridge_scores(moments(_folded(spark, d), ["quantity"], "price", "fold", 5))
+    rows = spark.createDataFrame([(k, s["r2"], s["rmse"]) for k, s in enumerate(scores)], "fold int, r2 double, rmse double")
+    return rows.select("fold", F.round("r2", 6).alias("r2"), F.round("rmse", 4).alias("rmse"))
+
+
+_RULED = """ruled as (select l_orderkey, l_linenumber, ((l_returnflag = 'R')::int) as y, ((l_orderkey * 37 + l_linenumber * 11) % 101) / 100.0::double as p from lineitem)"""
+
+
+@query(
+    f"""with {_RULED}, bars as (select avg(p) filter (y = 1) as t1, avg(1 - p) filter (y = 0) as t0 from ruled),
+  sure as (select y, case when p >= t1 and (1 - p < t0 or p > 1 - p) then 1 when 1 - p >= t0 then 0 end as j from ruled, bars),
+  counted as (select y, j, count(*) as n from sure where j is not null group by 1, 2),
+  sized as (select y, count(*) as size from ruled group by 1)
+  select c.y as label, c.j as likely, c.n as confident, ((2 * c.n * s.size + sum(c.n) over (partition by c.y)) // (2 * sum(c.n) over (partition by c.y)))::bigint as estimated
+  from counted c join sized s using (y)"""
+)
+def confident_joint(spark, d):
+    from ..operators.audit import confident_counts, estimated_joint
+
+    li = table(spark, d, "lineitem")
+    p = F.expr("(l_orderkey * 37 + l_linenumber * 11) % 101").cast("double") / 100
+    scored = li.select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.array(1 - p, p).alias("probability"))
+    sizes = {r.y: r.n for r in scored.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = confident_counts(scored, 2)
+    joint = estimated_joint(counts, [sizes.get(k, 0) for k in range(2)])
+    return spark.createDataFrame([(i, j, counts[i][j], joint[i][j]) for i in range(2) for j in range(2) if counts[i][j]], "label int, likely int, confident long, estimated long")
+
+
 # ---- models: rows only --------------------------------------------------------------------------------------
 
 
