@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import discard, written
 from ..schema import col
 from .splits import range_of
 
@@ -86,17 +86,6 @@ def bin_edges(df: DataFrame, features: list[Column], bins: int) -> list[list[flo
     return [sorted({v for v in row[f"q{i}"] or [] if v > row[f"m{i}"]}) for i in range(len(features))]
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    """Written to the folder of ``spark.checkpoint.dir`` and read again; only a local session may lack that setting."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if found is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def fit_boosted(df: DataFrame, features: list[Column], label: str, classes: int, trees: int = 20, depth: int = 4, step: float = 0.3, bins: int = 32, ridge: float = 1.0, least: float = 1e-3) -> Boosted:
     """Softmax boosting of ``trees`` rounds with second-order leaf values.
 
@@ -107,7 +96,7 @@ def fit_boosted(df: DataFrame, features: list[Column], label: str, classes: int,
     known = df.where(col(label).isNotNull())
     edges = bin_edges(known, features, bins)
     binned = known.select(col(label).cast("int").alias("y"), F.array(*[range_of(x, e).cast("int") for x, e in zip(features, edges, strict=True)]).alias("bins"))
-    rows = _durable(binned.groupBy("y", "bins").agg(F.count(F.lit(1)).alias("n")))
+    rows = written(binned.groupBy("y", "bins").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     if unknown := [y for y in sizes if not 0 <= y < classes]:
         raise ValueError(f"labels {sorted(unknown)[:5]} are not 0 to {classes - 1}")
@@ -132,13 +121,15 @@ def fit_boosted(df: DataFrame, features: list[Column], label: str, classes: int,
             added = F.transform(_trees(grown), lambda t: _value(t, F.col("bins"), depth))
             scored = now.select("y", "bins", "n", F.zip_with("scores", added, lambda s, v: s + v).alias("scores"))
             if (i + 1) % CUT == 0:
-                scored = _durable(scored)
+                scored, last = written(scored), rows
                 for f in held:
                     f.unpersist()
-                held = []
+                discard(last)
+                rows, held = scored, []
     finally:
         for f in held:
             f.unpersist()
+        discard(rows)
     return model
 
 

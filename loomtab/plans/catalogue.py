@@ -625,6 +625,41 @@ def confident_joint(spark, d):
     return spark.createDataFrame([(i, j, counts[i][j], joint[i][j]) for i in range(2) for j in range(2) if counts[i][j]], "label int, likely int, confident long, estimated long")
 
 
+def _with_year(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate").cast("string"))
+
+
+@query(
+    """with t as (select '0=' || l_returnflag as a, '1=' || l_linestatus as b, '2=' || year(l_shipdate)::varchar as c from lineitem),
+  p as (select a as u, b as v from t union all select b, a from t union all select a, c from t union all select c, a from t union all select b, c from t union all select c, b from t),
+  n as (select u, v, count(*) as n from p group by 1, 2), d as (select u, sum(n) as d from n group by 1)
+  select n.u, n.v, n.n, round(n.n / sqrt(d.d::double * e.d::double), 9) as w from n join d on n.u = d.u join d e on n.v = e.u"""
+)
+def category_co_occurrence(spark, d):
+    from ..operators.embedding import co_occurrence, normalised
+
+    counts = co_occurrence(_with_year(spark, d), ["l_returnflag", "l_linestatus", "year"])
+    return counts.join(normalised(counts), ["u", "v"]).select("u", "v", "n", F.round("w", 9).alias("w"))
+
+
+@query()
+def entity_embedding(spark, d):
+    from ..operators.embedding import fit_embeddings
+
+    rows = _with_year(spark, d).withColumn("l_partkey", F.col("l_partkey").cast("string"))
+    return fit_embeddings(rows, ["l_partkey"], 4, ["l_returnflag", "year", "l_linestatus"])["l_partkey"]
+
+
+@query()
+def denoised_categories(spark, d):
+    from ..operators.embedding import fit_denoiser
+
+    rows = _with_year(spark, d)
+    found = fit_denoiser(rows, ["l_returnflag", "l_linestatus", "year"], latent=4)
+    z = found.encode()
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(F.get(z, F.lit(i)), 6).alias(f"z{i}") for i in range(4)])
+
+
 # ---- models: rows only --------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .operators import drift, splits
 from .operators.audit import drop_noise, label_noise, leakage_audit
+from .operators.embedding import fit_embeddings
 from .operators.features import augment, engineer, fit_frequency_encoding, interaction_candidates
 from .operators.identity import frame_digest, with_row_ids
 from .operators.labels import fit_labels
@@ -70,6 +71,8 @@ class ExperimentConfig:
     #: Features: as prepared (``none``), with interactions that help, pruned (``afe``), or with dense columns in place of
     #: strings of many values (``embedding``).
     strategy: str = "none"
+    #: Learned dense columns of such a string.
+    dim: int = 4
     #: Folds: by row hash, or a stored kind of split; ``column`` is that of a group or time split.
     split: str = "hash"
     column: str | None = None
@@ -141,9 +144,16 @@ class ExperimentSession:
         dense = [c for c in high_cardinality(df.drop(*ignore), config.target) if c in categorical_columns(df)] if config.strategy == "embedding" else []
 
         def embed(train: DataFrame) -> dict[str, DataFrame]:
-            return {c: fit_frequency_encoding(train, c, config.target if config.task == "regression" or binary else None) for c in dense}
+            if not dense:
+                return {}
+            # frequency (and of one class or a number, its smoothed mean) first, then vectors learned from what stands together
+            mean = config.target if config.task == "regression" or classes == 2 else None
+            others = [c for c in categorical_columns(train) if c not in (*dense, *ignore, config.target)]
+            learned = fit_embeddings(train, dense, config.dim, [*others, *([config.target] if labels else [])])
+            plain = {c: fit_frequency_encoding(train, c, mean) for c in dense}
+            first = {c: len(t.columns) - 1 for c, t in plain.items()}
+            return {c: plain[c].join(learned[c].select(F.col("value").alias("_v"), *[F.col(f"emb_{i}").alias(f"emb_{first[c] + i}") for i in range(config.dim)]), F.col("value").cast("string").eqNullSafe(F.col("_v"))).drop("_v") for c in dense}
 
-        binary = classes == 2
         tables = embed(df)
         wide = augment(df, dense, tables)
         prep = fit_prep(wide, config.target, ignore)
