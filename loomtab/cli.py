@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from .operators.search import SPACES, importances, search
+from .operators.search import SPACES, hash_sample, importances, search, successive_halving
 from .session import ExperimentConfig, ExperimentSession
 
 
@@ -52,6 +52,8 @@ def main(argv: list[str] | None = None) -> int:
     lineage.add_argument("product")
     hpo.add_argument("--model", default="gbt")
     hpo.add_argument("--trials", type=int, default=10)
+    hpo.add_argument("--sampler", default="tpe", choices=["tpe", "random"])
+    hpo.add_argument("--halving", action="store_true", help="try on growing samples, the best on all rows")
     drift = sub.add_parser("drift")
     drift.add_argument("--reference", required=True)
     drift.add_argument("--new", required=True)
@@ -108,8 +110,13 @@ def main(argv: list[str] | None = None) -> int:
         metric = "r2" if a.task == "regression" else "roc_auc"
         # fitted on each fold's training rows, so that no trial sees its validation rows
         prepare = lambda train: fit_prep(train.drop("_fold"), a.target).transform
-        best, trials = search(lambda s: cross_validate(df, features, a.target, make_model(a.model, a.task, **s), [metric], a.folds, prepare=prepare)[metric][0], SPACES[a.model], metric, a.trials)
-        print(json.dumps({"best": best.settings, metric: best.score, "importances": importances(trials)}))
+        score = lambda rows, s: cross_validate(rows, features, a.target, make_model(a.model, a.task, **s), [metric], a.folds, prepare=prepare)[metric][0]
+        if a.halving:
+            best, rungs = successive_halving(lambda s, share: score(hash_sample(df, share), s), SPACES[a.model], metric, a.trials)
+            trials = [t for rung in rungs for t in rung]
+        else:
+            best, trials = search(lambda s: score(df, s), SPACES[a.model], metric, a.trials, sampler=a.sampler)
+        print(json.dumps({"best": best.settings, metric: best.score, "importances": importances(trials, metric, SPACES[a.model])}))
     elif a.command == "drift":
         print(json.dumps(session.drift_check(session.load(a.reference), session.load(a.new), a.method), default=lambda o: o.__dict__))
     elif a.command == "leaderboard":

@@ -733,10 +733,11 @@ def interaction_discovery(spark, d):
 
 @query()
 def hpo_search(spark, d):
-    from ..operators.search import SPACES, search
+    from ..operators.search import SPACES, hash_sample, successive_halving
 
     rows = _model_rows(spark, d).cache()
-    best, _ = search(lambda s: models.cross_validate(rows, _X, "y", models.make_model("linear", "classification", **s), ["roc_auc"], folds=2)["roc_auc"][0], SPACES["linear"], "roc_auc", trials=2)
+    score = lambda s, share: models.cross_validate(hash_sample(rows, share), _X, "y", models.make_model("linear", "classification", **s), ["roc_auc"], folds=2)["roc_auc"][0]
+    best, _ = successive_halving(score, SPACES["linear"], "roc_auc", trials=4, keep=2)
     return _values(spark, {"c": best.settings["c"], "roc_auc": best.score})
 
 
