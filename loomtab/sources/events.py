@@ -46,6 +46,17 @@ def read_events(spark: SparkSession, paths: str | list[str], on_error: str = "ra
     return good.select("file", line.alias("line"), *[F.col(f"e.{n}").alias(n) for n in names])
 
 
+def stream_events(spark: SparkSession, path: str, backups: int = 5, on_error: str = "raise") -> DataFrame:
+    """The events of a log as a stream, from its oldest kept file on: each line once, however the files are rotated.
+
+    A line counts once its end is written.  A file that is rotated away before a batch reads it is an error.
+    """
+    from .event_stream import EventStreamSource
+
+    spark.dataSource.register(EventStreamSource)
+    return spark.readStream.format(EventStreamSource.name()).options(path=path, backups=str(backups), on_error=on_error).load()
+
+
 class EventLog:
     """Appends events to a JSON-lines file, safely from threads; keeps ``backups`` files of ``max_bytes``."""
 

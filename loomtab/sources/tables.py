@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sqlite3
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sqlite import SqliteSource
+
 
 class DataLoadError(ValueError):
     """A source that can't be read."""
@@ -53,29 +54,19 @@ def check_select(query: str) -> str:
     return body
 
 
-_SQL_TYPES = {int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType()}
-
+def load_sqlite(spark: SparkSession, database: str, query: str | None = None, table: str | None = None, partitions: int = 8) -> DataFrame:
+    """Rows of a SQLite file on a shared folder, read by executors: a table in ranges of row ids, a SELECT by one task.
 
-def load_sqlite(spark: SparkSession, database: str, query: str, most: int = 1_000_000) -> DataFrame:
-    """Rows of a SELECT over a local SQLite file.  The driver reads it, so more than ``most`` rows are an error."""
-    query = check_select(query)
+    A table's types are those declared, else, as for a query, those of the values; a value that does not fit is null.
+    """
+    if (query is None) == (table is None):
+        raise DataLoadError("give a query or a table")
+    source = {"query": check_select(query)} if query is not None else {"table": table}
+    spark.dataSource.register(SqliteSource)
     try:
-        with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as con:
-            cursor = con.execute(query)
-            names = [d[0] for d in cursor.description]
-            rows = cursor.fetchmany(most + 1)
-    except sqlite3.Error as e:
+        return spark.read.format(SqliteSource.name()).options(path=database, partitions=str(partitions), **source).load()
+    except Exception as e:
         raise DataLoadError(f"{database}: {e}") from e
-    if len(rows) > most:
-        raise DataLoadError(f"{database}: more than {most} rows")
-    fields = []
-    for i, name in enumerate(names):
-        kinds = {type(r[i]) for r in rows if r[i] is not None}
-        kind = T.DoubleType() if kinds == {int, float} else _SQL_TYPES.get(next(iter(kinds)), T.StringType()) if len(kinds) == 1 else T.StringType()
-        fields.append(T.StructField(name, kind))
-    cast = {T.DoubleType(): float, T.StringType(): str}
-    made = [tuple(None if v is None else cast.get(f.dataType, lambda x: x)(v) for v, f in zip(r, fields, strict=True)) for r in rows]
-    return spark.createDataFrame(made, T.StructType(fields))
 
 
 @dataclass(frozen=True)
