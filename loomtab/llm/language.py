@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,38 @@ def _grams(h: np.ndarray, word: np.ndarray, at: np.ndarray, word_end: np.ndarray
     return first, mix(gram_hash(h, at[first], stop) ^ np.uint64(size))
 
 
+#: Bytes of words that are looked at together.
+PORTION = 1 << 18
+
+
+def _portions(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Words in portions: (bytes, starts, ends, bytes to count from, first word, last word, None).
+
+    A word longer than a portion comes in pieces, each with some characters of the next one to see its n-grams; the last field
+    then says whether the word ends with it.  Such a word is in no table of words.
+    """
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PORTION, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        if b - a <= PORTION:
+            yield data[a:b], starts[i:j] - a, ends[i:j] - a, b - a, i, j, None
+        else:
+            while a < b:
+                c = _character(data, min(a + PORTION, b), b)
+                look = _character(data, min(c + 6 * NGRAMS[0], b), b)
+                yield data[a:look], np.zeros(1, np.int64), np.array([look - a]), c - a, i, j, c == b
+                a = c
+        i = j
+
+
+def _character(data: np.ndarray, at: int, end: int) -> int:
+    """The first place from ``at`` on where a character begins, or the end."""
+    while at < end and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Languages, and per table (words, then each n-gram length) sorted hashes with a row of log frequencies."""
@@ -74,32 +107,53 @@ class LanguageModel:
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         return keys[at] == hashes, at
 
+    @cached_property
+    def _stacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the floor, then the logs of all n-gram tables, as rows of one; the first row of each table)."""
+        rows = np.cumsum([1, *(len(x) for x in self.logs[1:])])
+        return np.concatenate([self.floor[None], *self.logs[1:]]), rows
+
+    def _spelled(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, upto: int):
+        """(sums of the characters' log frequencies by word and language, characters) of those that begin before ``upto``."""
+        logs, first_row = self._stacked
+        word, pos = _char_spans(data, starts, ends)
+        choice, open_ = np.zeros(len(pos), np.int64), np.ones(len(pos), bool)
+        for table, size in enumerate(NGRAMS, 1):
+            i, gram = _grams(h, word, pos, ends, size)
+            i, gram = i[open_[i]], gram[open_[i]]
+            hit, row = self._look(table, gram)
+            choice[i[hit]] = first_row[table - 1] + row[hit]
+            open_[i[hit]] = False
+        own = pos < upto
+        word, choice = word[own], choice[own]
+        return np.stack([np.bincount(word, weights=logs[choice, k], minlength=len(starts)) for k in range(len(self.langs))], 1), np.bincount(word, minlength=len(starts))
+
     def scores(self, data: np.ndarray, offsets: np.ndarray):
-        """(log likelihood per document and language, words per document)."""
+        """(log likelihood per document and language, words per document), in portions of words."""
         docs, wide = len(offsets) - 1, len(self.langs)
         data, starts, ends, first = _letter_words(data, offsets)
-        h = prefix_hash(data)
-        hashes = gram_hash(h, starts, ends)
-        known, at = self._look(0, hashes)
-        value = np.zeros((len(starts), wide))
-        value[known] = self.logs[0][at[known]]
-        miss = np.flatnonzero(~known)
-        if len(miss):
-            word, pos = _char_spans(data, starts[miss], ends[miss])
-            best = np.tile(self.floor, (len(pos), 1))
-            open_ = np.ones(len(pos), bool)
-            for table, size in enumerate(NGRAMS, 1):
-                i, gram = _grams(h, word, pos, ends[miss], size)
-                i, gram = i[open_[i]], gram[open_[i]]
-                hit, row = self._look(table, gram)
-                best[i[hit]] = self.logs[table][row[hit]]
-                open_[i[hit]] = False
-            chars = np.maximum(np.bincount(word, minlength=len(miss)), 1)
+        doc = np.repeat(np.arange(docs), np.diff(first))
+        total = np.zeros((docs, wide))
+        held, chars = np.zeros(wide), 0
+        for block, own, stop, upto, i, j, ended in _portions(data, starts, ends):
+            h = prefix_hash(block)
+            if ended is None:
+                known, at = self._look(0, gram_hash(h, own, stop))
+                value = np.zeros((j - i, wide))
+                value[known] = self.logs[0][at[known]]
+                miss = np.flatnonzero(~known)
+                if len(miss):
+                    sums, n = self._spelled(h, block, own[miss], stop[miss], upto)
+                    value[miss] = sums / np.maximum(n, 1)[:, None]
+            else:
+                sums, n = self._spelled(h, block, own, stop, upto)
+                held, chars = held + sums[0], chars + int(n[0])
+                if not ended:
+                    continue
+                value, held, chars = held[None] / max(chars, 1), np.zeros(wide), 0
             for k in range(wide):
-                value[miss, k] = np.bincount(word, weights=best[:, k], minlength=len(miss)) / chars
-        total = np.zeros((len(starts) + 1, wide))
-        np.cumsum(value, axis=0, out=total[1:])
-        return total[first[1:]] - total[first[:-1]], np.diff(first)
+                total[:, k] += np.bincount(doc[i:j], weights=value[:, k], minlength=docs)
+        return total, np.diff(first)
 
     def predict(self, texts: pa.Array):
         """(language or ``und``, score) of each text: und, with score 0, where it is null or has no letter."""
@@ -113,9 +167,10 @@ class LanguageModel:
         p = np.exp(scaled)
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
-        ascii_letter = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(~_BREAK[data] & (data < 128), out=ascii_letter[1:])
-        plain = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
+        plain = np.zeros(len(texts), bool)
+        filled = np.flatnonzero(np.diff(offsets))
+        if len(filled):
+            plain[filled] = np.logical_or.reduceat(~_BREAK[data] & (data < 128), offsets[:-1][filled])
         langs, score = [self.langs[b] for b in best], p[np.arange(len(best)), best]
         for i in np.flatnonzero(~plain):
             text = texts[int(i)].as_py()
@@ -124,6 +179,19 @@ class LanguageModel:
         return langs, score
 
 
+def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, who: np.ndarray):
+    """(size, hashes, language of each) of the words (size 0) and n-grams, portion by portion."""
+    for block, own, stop, upto, i, j, ended in _portions(data, starts, ends):
+        h = prefix_hash(block)
+        if ended is None:
+            yield 0, gram_hash(h, own, stop), who[i:j]
+        word, pos = _char_spans(block, own, stop)
+        for size in NGRAMS:
+            at, gram = _grams(h, word, pos, stop, size)
+            ok = pos[at] < upto
+            yield size, gram[ok], who[i:j][word[at[ok]]]
+
+
 def count_features(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(size, hash, lang, n): how often each word (size 0) and character n-gram stands in the texts of a language."""
     slim = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null and text is not null")
@@ -134,14 +202,8 @@ def count_features(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                 langs, of = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
                 data, offsets = text_bytes(part.column(0))
                 data, starts, ends, first = _letter_words(data, offsets)
-                h = prefix_hash(data)
                 doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-                word, pos = _char_spans(data, starts, ends)
-                found = [(0, gram_hash(h, starts, ends), of[doc])]
-                for size in NGRAMS:
-                    i, gram = _grams(h, word, pos, ends, size)
-                    found.append((size, gram, of[doc[word[i]]]))
-                for size, hashes, who in found:
+                for size, hashes, who in _features(data, starts, ends, of[doc]):
                     order = np.lexsort((hashes, who))
                     hashes, who = hashes[order], who[order]
                     cut = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (who[1:] != who[:-1])])) if len(hashes) else np.zeros(0, np.int64)

@@ -62,7 +62,10 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url"
     best = cut(hits.groupBy("host", "at").agg(F.min(found).alias("hit")))
     if best.count() <= BROADCAST_IDS:
         best = F.broadcast(best)
-    joined = seen.join(best, ["host", "at"], "left")
+    # captures without a host or a time match nothing; in the join they would all be one key
+    whole = F.col("host").isNotNull() & F.col("at").isNotNull()
+    joined = seen.where(whole).join(best, ["host", "at"], "left").select("row", "host", "hit")
+    joined = joined.unionByName(seen.where(~whole).select("row", "host", F.lit(None).cast(best.schema["hit"].dataType).alias("hit")))
     return joined.select(
         *[F.col("row").getField(c).alias(c) for c in captures.columns],
         "host",
@@ -80,7 +83,7 @@ def _sized(spans: DataFrame, asked: DataFrame, active: Column) -> DataFrame:
 
 def example_captures(pages: DataFrame) -> DataFrame:
     """The pages as captures.  The table has no fetch time; page_id stands for one, spread over 2024."""
-    day = (F.pmod(F.col("page_id") * 37, F.lit(365))).cast("int")
+    day = (F.pmod(F.col("page_id"), F.lit(365)) * 37 % 365).cast("int")  # the product of a large id would overflow
     return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched"))
 
 

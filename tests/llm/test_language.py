@@ -88,3 +88,35 @@ def test_whole_table_against_brute_force(spark, sf):
     for i, (lang, score) in zip(docs, brute(train, [d.text for d in docs.values()]), strict=True):
         assert out[i].held_out == held[i] and out[i].lang_pred == lang, i
         assert math.isclose(out[i].score, score, abs_tol=1e-9), i
+
+
+def test_portions_change_nothing(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    letters = list("abcdeäöß日本")
+    train = ["".join(r.choice([*letters, " "], 300)) for _ in range(30)]
+    keys, logs = [], []
+    for size in (0, *L.NGRAMS):
+        grams = sorted({g for t in train for w in plain_words(t) for g in ([w] if not size else [w[i : i + size] for i in range(len(w) - size + 1)])})[:: 2 if size > 1 else 1]
+        data = "".join(f" {g}" for g in grams).encode()
+        masked, starts, ends, _ = L._letter_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        h = L.prefix_hash(masked)
+        found = L.gram_hash(h, starts, ends) if not size else L.mix(L.gram_hash(h, starts, ends) ^ np.uint64(size))
+        order = np.argsort(found)
+        keys.append(found[order])
+        logs.append(r.normal(size=(len(found), 3))[order])
+    model = L.LanguageModel(("x", "y", "z"), tuple(keys), tuple(logs), np.full(3, -12.0))
+    texts = ["", "a bc", "".join(r.choice(letters, 900)), " ".join("".join(r.choice(letters, int(n))) for n in r.integers(1, 200, 40)), "    " * 100 + "ab" + " " * 300, train[0]]
+    data, offsets = L.text_bytes(L.pa.array(texts))
+    whole = model.scores(data, offsets)
+    for portion in (1, 37, 200):
+        monkeypatch.setattr(L, "PORTION", portion)
+        # only words over a portion may differ: they are in no table of words
+        got = model.scores(data, offsets)
+        assert np.array_equal(got[1], whole[1])
+        if portion == 200:
+            assert np.allclose(got[0], whole[0])
+    monkeypatch.setattr(L, "PORTION", 1)
+    single = model.scores(*L.text_bytes(L.pa.array([texts[2]])))[0]
+    assert np.allclose(single, model.scores(data, offsets)[0][2]) and np.allclose(single, whole[0][2])

@@ -1,7 +1,8 @@
-from datetime import date
+from datetime import date, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomtab.llm import url_lists as L
 
@@ -72,3 +73,8 @@ def test_clashing_names_and_bare_labels(spark, monkeypatch):
         assert got.columns == [*df.columns, "host", "blocked", "list_name", "domain", "since"]
         assert got.select(*df.columns).exceptAll(df).isEmpty()
         assert {r.row: (r.blocked, r.domain) for r in got.collect()} == {1: (True, "zip"), 2: (True, "localhost"), 3: (False, None), 4: (True, "x.bad.example")}
+
+
+def test_large_ids(spark):
+    pages = spark.createDataFrame([(2**62, "http://a.test/"), (5, None)], "page_id long, url string")
+    assert [str(r.fetched) for r in L.example_captures(pages).orderBy(F.desc("page_id")).collect()] == [str(D(1) + timedelta(days=2**62 * 37 % 365)), str(D(1) + timedelta(days=185))]
