@@ -48,6 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     verify = sub.add_parser("verify")
     verify.add_argument("layer")
     verify.add_argument("product")
+    verify.add_argument("--deep", action="store_true", help="compare the rows, and name the ranges that differ")
     lineage = sub.add_parser("lineage")
     lineage.add_argument("product")
     hpo.add_argument("--model", default="gbt")
@@ -65,7 +66,14 @@ def main(argv: list[str] | None = None) -> int:
     diff.add_argument("b")
     sub.add_parser("state")
     catalog = sub.add_parser("catalog")
-    catalog.add_argument("query")
+    catalog.add_argument("query", nargs="?", help="a SELECT over products and lineage; without one, the newest products")
+    catalog.add_argument("--limit", type=int, default=100)
+    catalog.add_argument("--rebuild", action="store_true", help="make the catalog anew from the committed manifests")
+    init = sub.add_parser("init")
+    init.add_argument("--force-reset-registry", action="store_true")
+    docs = sub.add_parser("docs")
+    docs.add_argument("--out", help="folder of the published documents; else below the workspace")
+    docs.add_argument("--limit", type=int, default=100)
     gc = sub.add_parser("gc")
     gc.add_argument("--delete", action="store_true")
     a = p.parse_args(argv)
@@ -88,7 +96,8 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "predict":
         session.predictor(a.bundle)(session.load(a.data)).drop("probability").write.mode("errorifexists").parquet(a.out)
     elif a.command == "verify":
-        lake.Lake(spark, f"{a.workspace}/lake").open(a.layer, a.product, verify=True)
+        store = lake.Lake(spark, f"{a.workspace}/lake")
+        store.verify(store.open(a.layer, a.product), a.deep)
         print("as committed")
     elif a.command == "lineage":
         lake.Lake(spark, f"{a.workspace}/lake").catalog()
@@ -128,9 +137,19 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "medallion":
         print(json.dumps(session.medallion_run(session.load(a.data), a.target, a.task, folds=a.folds)))
     elif a.command == "catalog":
-        lake.Lake(spark, f"{a.workspace}/lake").catalog()
-        for line in lake.catalog_query(spark, a.query).toJSON().collect():
-            print(line)
+        store = lake.Lake(spark, f"{a.workspace}/lake")
+        if a.rebuild:
+            print(store.rebuild_catalog())
+        elif not a.query:
+            print("\n".join(json.dumps(p, sort_keys=True) for p in store.products(limit=a.limit)))
+        else:
+            store.catalog()
+            for line in lake.catalog_query(spark, a.query).limit(a.limit).toJSON().collect():
+                print(line)
+    elif a.command == "init":
+        print(session.init(a.force_reset_registry))
+    elif a.command == "docs":
+        print(session.publish(a.out, a.limit))
     elif a.command == "gc":
         print("\n".join(lake.Lake(spark, f"{a.workspace}/lake").collect_garbage(not a.delete)))
     return 0

@@ -57,7 +57,59 @@ def frame_digest(df: DataFrame) -> DataFrame:
     return agg.select("n_rows", F.sha2(F.concat_ws("|", F.lit(schema_string(df)), F.col("n_rows").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("digest"))
 
 
-def strict_digest(df: DataFrame) -> DataFrame:
-    """One row (n_rows, digest): SHA-256 over the sorted row hashes.  For small frames: the hashes meet in one row."""
-    rows = df.select(F.sha2(canonical(df), 256).alias("h"))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.concat(F.lit(schema_string(df) + "|"), F.concat_ws("", F.array_sort(F.collect_list("h")))), 256).alias("digest"))
+#: Hex digits of a row's digest that name its range, at the tree's leaves; each inner node has 16 children.
+DEPTH = 3
+
+
+def digest_leaves(df: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(prefix, n_rows, digest): the leaves of the frame's tree, one for each range of row digests that has rows.
+
+    A leaf's digest is that of its number of rows and of four sums over their SHA-256, so no row is gathered, repeated
+    rows count, and order doesn't.
+    """
+    rows = df.select(F.sha2(canonical(df), 256).alias("h")).withColumn("prefix", F.substring("h", 1, depth))
+    part = lambda i: F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    agg = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n_rows"), *[part(i).alias(f"s{i}") for i in range(4)])
+    return agg.select("prefix", "n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("digest"))
+
+
+def merkle_nodes(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(prefix, n_rows, digest) of all nodes: an inner node's digest is that of its children's prefixes and digests in order.
+
+    A node has 16 children at most, so each level is one aggregate of small groups; the root's prefix is empty.
+    """
+    out = level = leaves
+    for k in range(depth - 1, -1, -1):
+        child = F.struct("prefix", "digest")
+        above = level.groupBy(F.substring("prefix", 1, k).alias("up")).agg(F.sum("n_rows").alias("n_rows"), F.array_sort(F.collect_list(child)).alias("c"))
+        level = above.select(F.col("up").alias("prefix"), "n_rows", F.sha2(F.concat_ws("|", F.transform("c", lambda x: F.concat(x["prefix"], F.lit(":"), x["digest"]))), 256).alias("digest"))
+        out = out.unionByName(level)
+    return out
+
+
+def merkle_digest(df: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """One row (n_rows, digest): SHA-256 of the schema and of the tree's root; an empty frame has the root of no leaves."""
+    root = merkle_nodes(digest_leaves(df, depth), depth).where("prefix = ''").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("digest"), F.lit("")).alias("digest"))
+    return root.select("n_rows", F.sha2(F.concat_ws("|", F.lit(schema_string(df)), "digest"), 256).alias("digest"))
+
+
+def differing_ranges(left: DataFrame, right: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(prefix, n_left, n_right): the leaves in which two trees (``merkle_nodes`` of equal depth) differ.
+
+    Nodes are compared from the root down; below nodes that agree nothing is looked at.
+    """
+    found = None
+    for k in range(depth + 1):
+        own, other = (x.where(F.length("prefix") == k) for x in (left, right))
+        pairs = own.select("prefix", F.col("n_rows").alias("n_left"), F.col("digest").alias("dl")).join(other.select("prefix", F.col("n_rows").alias("n_right"), F.col("digest").alias("dr")), "prefix", "full_outer")
+        pairs = pairs.where(~F.col("dl").eqNullSafe(F.col("dr"))).select("prefix", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+        if found is not None:
+            pairs = pairs.join(found.select(F.col("prefix").alias("up")), F.substring("prefix", 1, k - 1) == F.col("up"), "left_semi")
+        found = pairs
+    return found
+
+
+def rows_of_ranges(df: DataFrame, ranges: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The rows whose digest lies in one of ``ranges`` (prefix): what has to be looked at, or restored."""
+    names = [col(c) for c in df.columns]
+    return df.withColumn("_prefix", F.substring(F.sha2(canonical(df), 256), 1, depth)).join(F.broadcast(ranges.select(F.col("prefix").alias("_prefix"))), "_prefix", "left_semi").select(*names)

@@ -239,11 +239,6 @@ def sample_exact(spark, d):
     return exact_sample(_copies(spark, d), 0.1, 42)
 
 
-@query("select count(*) as n_rows, sha256('r_name:string,r_regionkey:int|' || string_agg(h, '' order by h)) as digest from (select sha256(concat_ws('|', '=' || r_name, '=' || r_regionkey::varchar)) as h from region)")
-def frame_digest(spark, d):
-    return identity.strict_digest(table(spark, d, "region"))
-
-
 _DIGITS = ", ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::bigint::hugeint)::varchar as s{i}" for i in range(4))
 
 
@@ -256,6 +251,32 @@ def frame_digest_scalable(spark, d):
     return identity.frame_digest(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+_LEAVES = f"""h as (select sha256(concat_ws('|', '=' || l_linenumber::varchar, '=' || l_linestatus, '=' || l_orderkey::varchar, '=' || l_returnflag)) as h from lineitem),
+n3 as (select prefix, n_rows, sha256(concat_ws('|', n_rows::varchar, s0, s1, s2, s3)) as digest from (select substr(h, 1, 3) as prefix, count(*) as n_rows, {_DIGITS} from h group by 1)),
+n2 as (select substr(prefix, 1, 2) as prefix, sum(n_rows) as n_rows, sha256(string_agg(prefix || ':' || digest, '|' order by prefix)) as digest from n3 group by 1),
+n1 as (select substr(prefix, 1, 1) as prefix, sum(n_rows) as n_rows, sha256(string_agg(prefix || ':' || digest, '|' order by prefix)) as digest from n2 group by 1),
+n0 as (select '' as prefix, sum(n_rows) as n_rows, sha256(string_agg(prefix || ':' || digest, '|' order by prefix)) as digest from n1)"""
+
+
+@query(f"with {_LEAVES} select n_rows::bigint as n_rows, sha256('l_linenumber:' || (select typeof(l_linenumber) from lineitem limit 1).lower().replace('integer', 'int') || ',l_linestatus:string,l_orderkey:bigint,l_returnflag:string|' || digest) as digest from n0")
+def frame_digest(spark, d):
+    return identity.merkle_digest(table(spark, d, "lineitem").select(*_LINE))
+
+
+@query(f"with {_LEAVES} select prefix, n_rows::bigint as n_rows, digest from n3 union all select prefix, n_rows::bigint, digest from n2 union all select prefix, n_rows::bigint, digest from n1 union all select prefix, n_rows::bigint, digest from n0")
+def merkle_tree(spark, d):
+    return identity.merkle_nodes(identity.digest_leaves(table(spark, d, "lineitem").select(*_LINE)))
+
+
+@query("""with h as (select substr(sha256(concat_ws('|', '=' || l_linenumber::varchar, '=' || l_linestatus, '=' || l_orderkey::varchar, '=' || l_returnflag)), 1, 3) as prefix, l_orderkey % 5000 = 7 as gone from lineitem)
+  select prefix, count(*) as n_left, count(*) filter (not gone) as n_right from h group by 1 having bool_or(gone)""")
+def damaged_ranges(spark, d):
+    rows = table(spark, d, "lineitem").select(*_LINE)
+    tree = lambda df: identity.merkle_nodes(identity.digest_leaves(df))
+    return identity.differing_ranges(tree(rows), tree(rows.where(F.col("l_orderkey") % 5000 != 7)))
+
+
 def _ids(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("row_id"), F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("y"), F.col("o_custkey").alias("g"))
 
@@ -547,23 +568,47 @@ def exact_quantiles(spark, d):
 
 # ---- catalog ------------------------------------------------------------------------------------------------
 
-_EDGES = [("bronze-a", "silver-a"), ("silver-a", "gold-a"), ("gold-a", "platinum-a"), ("bronze-b", "silver-b"), ("bronze-b", "gold-a")]
-_EDGES_SQL = "edges(upstream, downstream) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ")"
+def _lake_root(spark) -> str:
+    """A new folder for a lake, in the shared folder of the cluster."""
+    import tempfile
 
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if base and not base.startswith(("file:", "/")):
+        raise ValueError("the lake needs a mounted shared folder")
+    return tempfile.mkdtemp(dir=base.removeprefix("file://").removeprefix("file:") if base else None)
+
+
+def _orders_lake(spark, d):
+    """A lake with the orders as bronze, silver and gold products; the gold one."""
+    from ..operators.profile import Contract
+    from .lake import Lake
 
-@query(f"with {_EDGES_SQL} select downstream as product_id, count(*) as n_inputs from edges group by 1")
+    lake = Lake(spark, _lake_root(spark))
+    bronze = lake.bronze(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), {"table": "orders"})
+    gold = lake.gold(lake.silver(bronze, Contract()), "o_orderpriority", "kfold", 5)
+    lake.catalog()
+    return gold
+
+
+@query(
+    """with n as (select count(*) as n from orders)
+  select 'bronze' as layer, 1::bigint as n_products, n as row_count from n union all select 'silver', 1, n + 4 from n union all select 'gold', 1, 7 * n from n"""
+)
 def catalog_query(spark, d):
     from .lake import catalog_query as run
 
-    spark.createDataFrame(_EDGES, "upstream string, downstream string").createOrReplaceTempView("lineage")
-    return run(spark, "select downstream as product_id, count(*) as n_inputs from lineage group by 1")
+    _orders_lake(spark, d)
+    return run(spark, "with p as (select * from products) select layer, count(*) as n_products, sum(row_count) as row_count from p group by layer")
 
 
-@query(f"with recursive {_EDGES_SQL}, up as (select upstream as product_id from edges where downstream = 'platinum-a' union select e.upstream from up join edges e on e.downstream = up.product_id) select product_id from up")
+@query("select 'bronze' as layer, count(*) as row_count from orders union all select 'silver', count(*) + 4 from orders")
 def lineage_edges(spark, d):
     from .lake import lineage_closure
 
-    return lineage_closure(spark.createDataFrame(_EDGES, "upstream string, downstream string"), "platinum-a")
+    gold = _orders_lake(spark, d)
+    return lineage_closure(spark.table("lineage"), gold.product_id).join(spark.table("products"), "product_id").select("layer", "row_count")
 
 
 _FOLDED = """folded as (select (l_orderkey % 5)::int as fold, 1.0::double as one, l_quantity::double - 25 as quantity, l_discount::double as discount,
@@ -743,16 +788,9 @@ def hpo_search(spark, d):
 
 @query()
 def medallion_run(spark, d):
-    import tempfile
-
     from .lake import medallion_run as run
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    if base and not base.startswith(("file:", "/")):
-        raise ValueError("the lake needs a mounted shared folder")
-    root = tempfile.mkdtemp(dir=base.removeprefix("file://").removeprefix("file:") if base else None)
+    root = _lake_root(spark)
     out = run(spark, root, _model_rows(spark, d).drop("row_id"), "y", "classification", folds=2)
     return spark.createDataFrame([(k, str(v)) for k, v in out.items()], "name string, value string")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import shutil
 import uuid
 from dataclasses import asdict, dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import splits as S
-from ..operators.identity import frame_digest, schema_string, with_row_ids
+from ..operators.identity import differing_ranges, digest_leaves, frame_digest, merkle_nodes, schema_string, with_row_ids
 from ..operators.profile import Contract, null_counts
 from ..sources.tables import describe_parquet
 
@@ -42,6 +43,11 @@ def _digest(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
+def _catalog_line(m: dict) -> str:
+    one = {"product_id": m["product_id"], "layer": m["layer"], "row_count": sum(t["row_count"] for t in m["tables"].values()), "created_at": m["created_at"], "inputs": m["inputs"]}
+    return json.dumps(one, sort_keys=True) + "\n"
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, Path(root)
@@ -57,6 +63,8 @@ class Lake:
         for name, df in tables.items():
             df.write.parquet(str(staging / name))
             refs[name] = asdict(describe_parquet(self.spark, str(staging / name))) | {"path": name, "schema": schema_string(df)}
+            # the leaves of the rows' tree, by which a deep check names the part that has changed
+            digest_leaves(self.spark.read.parquet(str(staging / name))).coalesce(1).write.parquet(str(staging / "trees" / name))
         manifest = {"layer": layer, "product_id": product_id, "key": key, "tables": refs, "inputs": list(inputs), "created_at": datetime.now(timezone.utc).isoformat(), **(extra or {})}
         staging.mkdir(parents=True, exist_ok=True)
         (staging / "manifest.json").write_text(json.dumps(manifest, sort_keys=True, indent=2, default=str))
@@ -65,6 +73,7 @@ class Lake:
         except OSError:  # another writer was first: its product must be the same
             shutil.rmtree(staging)
             return self.open(layer, product_id, verify=True)
+        self.register(manifest)
         return Product(layer, product_id, str(final), manifest)
 
     def open(self, layer: str, product_id: str, verify: bool = False) -> Product:
@@ -79,15 +88,24 @@ class Lake:
             self.verify(product)
         return product
 
-    def verify(self, product: Product) -> None:
-        """Every table's files have the size and digest of the manifest."""
+    def verify(self, product: Product, deep: bool = False) -> None:
+        """Every table's files have the size and digest of the manifest; ``deep``: or else which ranges of rows differ is told."""
         for name, ref in product.manifest["tables"].items():
             try:
                 now = describe_parquet(self.spark, f"{product.path}/{name}")
             except Exception as e:
                 raise LakeError(f"{product.product_id}/{name}: {e}") from e
             if (now.size, now.digest) != (ref["size"], ref["digest"]):
-                raise LakeError(f"{product.product_id}/{name} has changed")
+                parts = f" in {self._damage(product, name)}" if deep else ""
+                raise LakeError(f"{product.product_id}/{name} has changed{parts}")
+            if deep and (damage := self._damage(product, name)):
+                raise LakeError(f"{product.product_id}/{name} has changed in {damage}")
+
+    def _damage(self, product: Product, name: str) -> str:
+        """The first ranges of row digests in which a table differs from its tree, with their rows then and now."""
+        then, now = self.spark.read.parquet(f"{product.path}/trees/{name}"), digest_leaves(product.table(self.spark, name)).cache()
+        found = differing_ranges(merkle_nodes(then), merkle_nodes(now)).orderBy("prefix").limit(6).collect()
+        return ", ".join(f"{r.prefix} ({r.n_left} rows, now {r.n_right})" for r in found[:5]) + ("..." if len(found) > 5 else "")
 
     def bronze(self, df: DataFrame, source: dict) -> Product:
         """An immutable snapshot, keyed by content and source."""
@@ -131,11 +149,45 @@ class Lake:
     def manifests(self) -> list[dict]:
         return [json.loads(p.read_text()) for p in sorted(self.root.glob("*/*/manifest.json")) if not p.parent.name.startswith(".")]
 
-    def catalog(self) -> None:
-        """Temp views ``products`` and ``lineage`` over the manifests."""
+    @property
+    def catalog_file(self) -> Path:
+        return self.root / "catalog.jsonl"
+
+    def register(self, manifest: dict) -> None:
+        """Add a product to the catalog, which lasts beyond the session; a product that is there twice counts once."""
+        self.catalog_file.parent.mkdir(parents=True, exist_ok=True)
+        with self.catalog_file.open("a") as f:
+            f.write(_catalog_line(manifest))
+            f.flush()
+            os.fsync(f.fileno())
+
+    def rebuild_catalog(self) -> int:
+        """Make the catalog anew from the committed manifests, in one step; the number of products."""
         found = self.manifests()
-        products = [(m["product_id"], m["layer"], sum(t["row_count"] for t in m["tables"].values()), m["created_at"]) for m in found]
-        edges = [(u, m["product_id"]) for m in found for u in m["inputs"]]
+        self.root.mkdir(parents=True, exist_ok=True)
+        staging = self.root / f".catalog-{uuid.uuid4().hex[:8]}.jsonl"
+        staging.write_text("".join(map(_catalog_line, found)))
+        staging.replace(self.catalog_file)
+        return len(found)
+
+    def products(self, layer: str | None = None, limit: int = 100) -> list[dict]:
+        """The newest products first, at most ``limit``: product_id, layer, row_count, created_at, inputs."""
+        lines = self.catalog_file.read_text().splitlines() if self.catalog_file.exists() else []
+        found = {}
+        for line in lines:
+            try:
+                one = json.loads(line)
+            except ValueError:  # a torn line: the manifest is there, and rebuild_catalog finds it
+                continue
+            found[one["product_id"]] = one
+        kept = [p for p in found.values() if layer in (None, p["layer"])]
+        return sorted(kept, key=lambda p: (p["created_at"], p["product_id"]), reverse=True)[:limit]
+
+    def catalog(self) -> None:
+        """Temp views ``products`` and ``lineage`` over the catalog."""
+        found = self.products(limit=2**31)
+        products = [(p["product_id"], p["layer"], p["row_count"], p["created_at"]) for p in found]
+        edges = [(u, p["product_id"]) for p in found for u in p["inputs"]]
         self.spark.createDataFrame(products, "product_id string, layer string, row_count long, created_at string").createOrReplaceTempView("products")
         self.spark.createDataFrame(edges, "upstream string, downstream string").createOrReplaceTempView("lineage")
 
@@ -148,6 +200,22 @@ class Lake:
         return left
 
 
+_WRITERS = ("Insert", "Create", "Replace", "Drop", "Delete", "Update", "Merge", "Command", "Alter", "Truncate", "Overwrite", "Append", "Cache", "Call", "Load", "Set")
+
+
+def _writes(plan) -> str | None:
+    """The name of a node that writes or commands, anywhere in a parsed plan."""
+    open_ = [plan]
+    while open_:
+        node = open_.pop()
+        name = node.getClass().getSimpleName()
+        if any(w in name for w in _WRITERS) and name not in ("SetOperation",):
+            return name
+        for part in (node.children(), node.innerChildren()):
+            open_ += [part.apply(i) for i in range(part.size())]
+    return None
+
+
 def catalog_query(spark: SparkSession, query: str) -> DataFrame:
     """One SELECT, WITH or EXPLAIN over the catalog views; anything else, or more, is an error."""
     from ..sources.tables import DataLoadError
@@ -156,8 +224,8 @@ def catalog_query(spark: SparkSession, query: str) -> DataFrame:
     if ";" in body or body.split(None, 1)[0].lower() not in ("select", "with", "explain", "values"):
         raise DataLoadError("only a single query is allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
-    if any(word in plan.getClass().getSimpleName() for word in ("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Command")) and not body.lower().startswith("explain"):
-        raise DataLoadError("only a query is allowed")
+    if body.split(None, 1)[0].lower() != "explain" and (found := _writes(plan)):
+        raise DataLoadError(f"only a query is allowed, not {found}")
     return spark.sql(body)
 
 

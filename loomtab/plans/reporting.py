@@ -85,6 +85,10 @@ class Registry:
         staging.write_text(json.dumps(data, sort_keys=True, indent=2))
         staging.replace(self.path)
 
+    def reset(self) -> None:
+        """No champions."""
+        self._save({})
+
     def promote(self, key: str, entry: dict, force: bool = False) -> bool:
         """Take the entry if it is strictly better; one of another metric only by ``force``."""
         data = self.load()

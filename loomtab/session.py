@@ -113,6 +113,26 @@ class ExperimentSession:
         self.log = EventLog(str(self.workspace / "events.jsonl"))
         self.registry = reporting.Registry(str(self.workspace / "registry.json"))
 
+    def init(self, reset_registry: bool = False) -> str:
+        """Make the workspace's folders; what is there stays, but for a registry that is to be reset."""
+        for folder in ("artifacts", "lake", "docs"):
+            (self.workspace / folder).mkdir(parents=True, exist_ok=True)
+        if reset_registry or not self.registry.path.exists():
+            self.registry.reset()
+        return str(self.workspace)
+
+    def publish(self, folder: str | None = None, limit: int = 100) -> str:
+        """Write the published documents as JSON files, each replaced in one step; runs and products, at most ``limit`` of the newest."""
+        out = Path(folder) if folder else self.workspace / "docs"
+        out.mkdir(parents=True, exist_ok=True)
+        found = reporting.docs_json(self.events(), self.registry.load(), limit) if self.log.files() else {}
+        found["catalog"] = json.dumps(lake.Lake(self.spark, str(self.workspace / "lake")).products(limit=limit), sort_keys=True)
+        for name, text in found.items():
+            staging = out / f".{name}.json"
+            staging.write_text(text)
+            staging.replace(out / f"{name}.json")
+        return str(out)
+
     def load(self, path: str) -> DataFrame:
         return load_data(self.spark, path)
 
