@@ -3,11 +3,12 @@
 Each leaf holds the rank of the pair that starts at a live byte position, each inner node the leftmost
 minimum below it.  The root names the next merge; a merge rewrites three leaves (the merged position, its
 live left neighbour, the position that vanished) in logarithmically many nodes.  Short words run in lanes,
-one numpy row per word; a word over ``LANE`` bytes runs alone, with the same tree as a Python list.
+one numpy row per word; a word over ``LANE`` bytes runs alone, with the same tree in a compact array.
 """
 
 from __future__ import annotations
 
+from array import array
 import base64
 from collections.abc import Iterator
 
@@ -124,16 +125,20 @@ class SegmentTreeBPE:
         n = len(word)
         width = 1 << max(1, (n - 1).bit_length())
         free, pairs = int(_FREE), self.pairs
-        ids = [int(x) for x in self.byte[np.frombuffer(word, np.uint8)]] + [-1]
-        after = [*range(1, n + 1), n]
-        before = list(range(-1, n))
-        tree = [free] * (2 * width)
-        for p in range(n - 1):
-            rank = pairs.get(ids[p] << 32 | ids[p + 1])
-            if rank is not None:
-                tree[width + p] = rank * width + p
-        for node in range(width - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        # compact arrays: some 30 bytes for each byte of the word
+        first = self.byte[np.frombuffer(word, np.uint8)]
+        leaves = np.full(2 * width, _FREE, np.int64)
+        rank = self._rank(first[:-1], first[1:])
+        leaves[width : width + n - 1] = np.where(rank < _FREE, rank * width + np.arange(n - 1), _FREE)
+        level = width
+        while level > 1:
+            np.minimum(leaves[level : 2 * level : 2], leaves[level + 1 : 2 * level : 2], out=leaves[level // 2 : level])
+            level //= 2
+        tree = array("q")
+        tree.frombytes(memoryview(leaves).cast("B"))
+        del leaves, rank
+        ids, after, before = array("i", first.astype(np.int32).tobytes()), array("i", np.minimum(np.arange(1, n + 2, dtype=np.int32), n).tobytes()), array("i", np.arange(-1, n, dtype=np.int32).tobytes())
+        ids.append(-1)
 
         def put(p: int, value: int) -> None:
             node = width + p

@@ -32,6 +32,15 @@ def test_long_and_lanes_agree():
     assert [bpe.encode_long(w) for w in words] == bpe.encode_words(words)
 
 
+@pytest.mark.parametrize("n", [129, 1000, 30_000])
+def test_words_without_an_end(library, n):
+    bpe = SegmentTreeBPE(load_ranks(P.path("byte_bpe_50k.tiktoken")))
+    r = np.random.default_rng(n)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "ä日e"):
+        word = "".join(r.choice(list(letters), n))
+        assert bpe.encode_long(word.encode()) == library.encode_ordinary(word)
+
+
 def test_whole_table(spark, sf, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op10_byte_bpe(spark, sf).collect()
