@@ -280,10 +280,16 @@ def cross_validate(
 
     def one(pair: tuple[DataFrame, DataFrame]) -> dict[str, float | None]:
         train, valid = pair
-        if prepare:
-            change = prepare(train)
-            train, valid = change(train), change(valid)
-        return measure(fit(train, features, label)(valid), label, metrics, classes)
+        if not prepare:
+            return measure(fit(train, features, label)(valid), label, metrics, classes)
+        change = prepare(train)
+        try:
+            return measure(fit(change(train), features, label)(change(valid)), label, metrics, classes)
+        finally:
+            # what a preparation has cached is of no use to other folds
+            release = getattr(getattr(change, "__self__", change), "release", None)
+            if release:
+                release()
 
     try:
         if workers > 1:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import as_number, categorical_columns, col, date_columns, numeric_columns, unpivoted
+from ..schema import as_number, categorical_columns, col, date_columns, free_name, numeric_columns, unpivoted
 from .quantiles import quantiles
 from .splits import range_of, value_codes
 
@@ -99,8 +99,9 @@ class PrepModel:
             filled = F.coalesce(col(c), F.lit(top))
             if c in self.tables:
                 table, n = self.tables[c]
-                df = df.join(table.select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}")), filled == F.col(f"_v{i}"), "left")
-                filled = F.when(filled.isNotNull(), F.coalesce(F.col(f"_c{i}"), F.lit(n)).cast("int"))
+                value, code = (free_name(df, f"_{x}{i}") for x in "vc")
+                df = df.join(table.select(F.col("value").alias(value), F.col("code").alias(code)), filled == F.col(value), "left")
+                filled = F.when(filled.isNotNull(), F.coalesce(F.col(code), F.lit(n)).cast("int"))
             if c in self.codes:
                 # the last known value that isn't greater, if it is equal; unseen values get the next code
                 known = F.array(*[F.lit(v) for v in self.codes[c]]) if self.codes[c] else F.array().cast("array<string>")
@@ -110,6 +111,12 @@ class PrepModel:
         return date_parts(df.select(*[col(c) for c in rest], *number, *text), [d for d in self.dates if d in df.columns])
 
 
+    def release(self) -> None:
+        """Give up the cached code tables, when nothing is transformed any more; they would be made anew."""
+        for table, _ in self.tables.values():
+            table.unpersist()
+
+
 #: Distinct values up to which a category column is coded by an inline table.
 INLINE_CODES = 1000
 

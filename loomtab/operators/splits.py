@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..schema import col
 
 SCHEMA = "row_id string, fold smallint, role string, repeat smallint"
-#: Ranges of the ordering key that are numbered apart.
-RANGES = 256
+#: Ranges of the ordering key that are numbered apart; hex digits of a hash that name a range of it.
+RANGES, DIGITS = 256, 3
 
 
 class SplitError(ValueError):
@@ -38,19 +38,27 @@ def range_of(value: Column, bounds: list) -> Column:
     return F.when(value.isNull() | (block == 0), 0).otherwise((block - 1) * step + upto(F.get(F.array(*blocks), block - 1)))
 
 
-def positions(df: DataFrame, order: list[Column], name: str = "pos", within: list[str] | None = None, bounds: list | None = None, hexed: bool = False) -> DataFrame:
+def positions(df: DataFrame, order: list[Column], name: str = "pos", within: list[str] | None = None, bounds: list | None = None, hexed: bool = False, hexed_ties: bool = False) -> DataFrame:
     """Add the 0-based position in the order of ``order`` (within groups of equal ``within``).
 
     The first order column cuts the rows into ranges at approximate quantiles or ``bounds``; each range is numbered by
     itself and moved on by the rows of the ranges before.  ``hexed``: it is a hash in lower-case hex digits, whose
-    first two name the range.
+    first ``DIGITS`` name the range.  ``hexed_ties``: the second order column is such a hash; rows that share a frequent
+    value of the first, a day's or an instant's, are then parted by it.
     """
     within = within or []
     keyed = df.withColumns({f"_o{i}": o for i, o in enumerate(order)})
+    digits = lambda c: F.conv(F.substring(c, 1, DIGITS), 16, 10).cast("int")
     if hexed:
-        part = F.conv(F.substring("_o0", 1, 2), 16, 10).cast("int")
+        part = digits("_o0")
     else:
-        part = range_of(F.col("_o0"), [r for r in (_bounds(keyed) if bounds is None else bounds) if r is not None])
+        key = _spread(keyed)
+        found = [r for r in (_quantiles(keyed, key) if bounds is None else bounds) if r is not None]
+        part = range_of(key if bounds is None else F.col("_o0"), sorted(set(found)))
+        if hexed_ties and bounds is None and (often := sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})):
+            # a bound that comes twice is a value of many rows: first of its range, in ranges of the ties' hash
+            wide = 16**DIGITS + 1
+            part = part * wide + F.when(key.isin(often), digits("_o1")).otherwise(wide - 1)
     cut = keyed.withColumn("_part", part)
     counts = cut.groupBy(*within, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*within).orderBy("_part")) - F.col("_n")).drop("_n")
@@ -60,19 +68,22 @@ def positions(df: DataFrame, order: list[Column], name: str = "pos", within: lis
     return joined.withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).select(*[col(c) for c in df.columns], name)
 
 
-def _bounds(keyed: DataFrame) -> list:
-    """Range bounds of the first order column: quantiles of a string, number or time."""
+def _spread(keyed: DataFrame) -> Column:
+    """The first order column, a time as microseconds: of the instant, or of the written date and time."""
     kind = dict(keyed.dtypes)["_o0"]
-    if kind == "string":
-        return text_bounds(keyed.select("_o0").distinct(), "_o0")
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        # days are enough to spread a time
-        days = keyed.select(F.unix_date(F.col("_o0").cast("date")).alias("d")).agg(F.percentile_approx("d", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-        import datetime
+    if kind == "timestamp":
+        return F.unix_micros("_o0")
+    if kind == "timestamp_ntz":
+        seconds = F.unix_date(F.col("_o0").cast("date")).cast("long") * 86400 + F.hour("_o0") * 3600 + F.minute("_o0") * 60
+        return seconds * 1_000_000 + (F.expr("extract(second from _o0)") * 1_000_000).cast("long")
+    return F.unix_date("_o0") if kind == "date" else F.col("_o0")
+
 
-        dates = [datetime.date(1970, 1, 1) + datetime.timedelta(days=d) for d in sorted(set(days))]
-        return dates if kind == "date" else [datetime.datetime.combine(d, datetime.time()) for d in dates]
-    return sorted(set(keyed.agg(F.percentile_approx("_o0", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []))
+def _quantiles(keyed: DataFrame, key: Column) -> list:
+    """Range bounds of the first order column in ascending order; one that stands for much comes several times."""
+    if dict(keyed.dtypes)["_o0"] == "string":
+        return text_bounds(keyed.select("_o0").distinct(), "_o0")
+    return sorted(keyed.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or [])
 
 
 def value_codes(df: DataFrame, column: str, value: str = "value", code: str = "code") -> DataFrame:
@@ -91,8 +102,8 @@ def text_bounds(values: DataFrame, column: str) -> list[str]:
 
 
 def _all_hex(key: Column) -> Column:
-    """Whether every key begins with two lower-case hex digits."""
-    return F.bool_and(F.coalesce(F.substring(key, 1, 2).rlike("^[0-9a-f]{2}$"), F.lit(False)))
+    """Whether every key begins with as many lower-case hex digits as name a range."""
+    return F.bool_and(F.coalesce(F.substring(key, 1, DIGITS).rlike(f"^[0-9a-f]{{{DIGITS}}}$"), F.lit(False)))
 
 
 def _members(folded: DataFrame, folds: int, repeat: int = 0) -> DataFrame:
@@ -188,14 +199,13 @@ def time_split(rows: DataFrame, time: str, folds: int = 5, gap: int = 0, embargo
 
     ``embargo`` drops as many of the last training rows besides.  A null time is an error.
     """
-    stats = rows.agg(F.count(F.lit(1)), F.count_if(col(time).isNull())).first()
-    n, missing = stats
+    n, missing, plain = rows.agg(F.count(F.lit(1)), F.count_if(col(time).isNull()), _all_hex(F.col("row_id"))).first()
     if missing:
         raise SplitError(f"{missing} rows without {time}")
     size = n // (folds + 1)
     if size == 0:
         raise SplitError(f"{n} rows for {folds} folds")
-    placed = positions(rows.select("row_id", col(time).alias("t")), [F.col("t"), F.col("row_id")])
+    placed = positions(rows.select("row_id", col(time).alias("t")), [F.col("t"), F.col("row_id")], hexed_ties=bool(plain))
     each = placed.select("row_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     start = n - (folds - F.col("fold")) * size
     role = F.when((F.col("pos") >= start) & (F.col("pos") < start + size), "validation").when(F.col("pos") < start - gap - embargo, "train")

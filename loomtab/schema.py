@@ -41,3 +41,10 @@ def unpivoted(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value): the numbers of the columns, a row each; nulls and NaN left out."""
     entries = F.array(*[F.struct(F.lit(n).alias("column"), as_number(n).alias("value")) for n in names])
     return df.select(F.explode(entries).alias("e")).select("e.*").where("value is not null")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it one that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -192,12 +192,13 @@ class ExperimentSession:
         def prepare(train: DataFrame):
             train = train.drop("_fold", "row_id", "fold", "role")
             found = embed(train)
-            change = fit_prep(augment(train, dense, found), config.target, ignore).transform
+            learned = fit_prep(augment(train, dense, found), config.target, ignore)
 
             def apply(new: DataFrame) -> DataFrame:
-                out = change(augment(new, dense, found))
+                out = learned.transform(augment(new, dense, found))
                 return out.withColumns({i.name: i.expression for i in interactions}) if interactions else out
 
+            apply.release = learned.release
             return apply
 
         done, baseline = len(past), self._scores(run_id, "naive") if "naive" in past else {}
