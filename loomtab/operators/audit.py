@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import col
-from .features import numbered, permuted
+from .features import permuted, placed
 from .models import cross_validate, logistic, out_of_fold, ridge
 from .quantiles import order_statistics
 
@@ -113,12 +113,13 @@ def leakage_audit(df: DataFrame, features: list[str], label: str, task: str, thr
     Copies of a row are numbered, so that they go to folds and places of their own.
     """
     metric, fit = ("r2", ridge()) if task == "regression" else ("roc_auc", logistic(scaled=True))
-    rows = numbered(df.select(*[col(c) for c in [*features, label]])).cache()
+    rows = placed(df.select(*[col(c) for c in [*features, label]])).cache()
     try:
-        base = cross_validate(rows, features, label, fit, [metric], folds, seed, classes=classes)[metric][0]
+        keys = [*features, label, "_copy"]
+        base = cross_validate(rows, features, label, fit, [metric], folds, seed, classes=classes, keys=keys)[metric][0]
         found = []
         for i, f in enumerate(features):
-            score = cross_validate(permuted(rows, f, seed + i), features, label, fit, [metric], folds, seed, classes=classes)[metric][0]
+            score = cross_validate(permuted(rows, f, seed + i), features, label, fit, [metric], folds, seed, classes=classes, keys=keys)[metric][0]
             if base - score > threshold:
                 found.append(LeakageFinding(f, round(base, 4), round(score, 4)))
         return sorted(found, key=lambda x: -x.drop)

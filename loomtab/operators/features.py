@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
@@ -96,22 +97,35 @@ def numbered(df: DataFrame, name: str = "_copy") -> DataFrame:
     return dealt.select(*names, F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)).alias(name))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """The frame with ``_copy``, a row's number among equal rows, and ``_at``, its position in the order of a hash of both."""
+    rows = df if "_copy" in df.columns else numbered(df)
+    names = [col(c) for c in rows.columns]
+    return positions(rows, [F.lower(F.lpad(F.hex(F.xxhash64(F.lit(7919), *names)), 16, "0")), *names], "_at", hexed=True)
+
+
 def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """The frame with one column's values dealt to other rows.
+    """The frame with one column's values dealt to other rows, by a permutation of all rows.
 
-    Rows have positions in two hash orders and are joined by position: a permutation of all rows.  Copies of a row are
-    told apart by their number, ``_copy`` if the frame has it.
+    Rows have positions in a hash order, of ``placed`` if the frame comes from there, so that all columns can be permuted off
+    one numbering; the row at position i gets the value of that from which (a i + b) mod n leads to it.
     """
-    rows = df if "_copy" in df.columns else numbered(df)
-    names = [col(c) for c in rows.columns]
-    at = lambda s: positions(rows, [F.lower(F.lpad(F.hex(F.xxhash64(F.lit(s), *names)), 16, "0")), *names], "_i", hexed=True)
-    values = at(seed + 7919).select("_i", col(column).alias(column))
-    return at(seed).drop(column).join(values, "_i").select(*[col(c) for c in df.columns])
+    rows = df if "_at" in df.columns else placed(df)
+    n = rows.count()
+    if n < 2:
+        return df
+    r = random.Random(f"{seed}:{column}")
+    step = r.randrange(1, min(n, 1 << 20)) if n > 2 else 1
+    while math.gcd(step, n) > 1:
+        step = step % min(n, 1 << 20) + 1
+    to = (F.col("_at") % n * step + r.randrange(1, n)) % n
+    values = rows.select(to.alias("_at"), col(column).alias(column))
+    return rows.drop(column).join(values, "_at").select(*[col(c) for c in df.columns])
 
 
 def permutation_importance(df: DataFrame, features: list[str], label: str, fit: Fit, metric: str, repeats: int = 5, seed: int = 42, classes: int = 2) -> dict[str, float]:
-    """Mean loss of the metric when a feature is permuted; the model is fitted once."""
-    rows = numbered(df.select(*[col(c) for c in [*features, label]])).cache()
+    """Mean loss of the metric when a feature is permuted; the model is fitted once, and the rows are numbered once."""
+    rows = placed(df.select(*[col(c) for c in [*features, label]])).cache()
     try:
         score = fit(rows, features, label)
         base = measure(score(rows), label, [metric], classes)[metric]
