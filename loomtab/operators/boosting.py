@@ -109,10 +109,7 @@ def fit_boosted(df: DataFrame, features: list[Column], label: str, classes: int,
     held: list[DataFrame] = []
     try:
         for i in range(trees):
-            p = softmax(F.col("scores"))
-            one = lambda q, k: F.struct(F.col("n") * (q - (F.col("y") == k).cast("double")), F.col("n") * F.greatest(q * (1 - q), F.lit(1e-16)))
-            slopes = F.transform(F.col("p"), lambda q, k: one(q, k))
-            now = scored.withColumn("p", p).withColumn("slopes", slopes).select("y", "bins", "n", "scores", "slopes").persist(StorageLevel.MEMORY_AND_DISK)
+            now = with_slopes(scored).persist(StorageLevel.MEMORY_AND_DISK)
             held.append(now)
             grown = _grow(now, classes, depth, ridge, least, step)
             if all(t["feature"][0] < 0 for t in grown):
@@ -133,17 +130,27 @@ def fit_boosted(df: DataFrame, features: list[Column], label: str, classes: int,
     return model
 
 
+def with_slopes(rows: DataFrame) -> DataFrame:
+    """Add ``slopes``: each class's gradient and hessian of the loss, from ``y``, the number of rows ``n`` and the ``scores``."""
+    one = lambda q, k: F.struct((F.col("n") * (q - (F.col("y") == k).cast("double"))).alias("g"), (F.col("n") * F.greatest(q * (1 - q), F.lit(1e-16))).alias("h"))
+    return rows.withColumn("p", softmax(F.col("scores"))).withColumn("slopes", F.transform("p", one)).select("y", "bins", "n", "scores", "slopes")
+
+
+def histogram(rows: DataFrame, trees: list[dict], level: int) -> DataFrame:
+    """(class, node, feature, bin, g, h): sums of the slopes of rows by their node at a level of each class's tree."""
+    leaf = F.transform(_trees(trees), lambda t: _leaf(t, F.col("bins"), level))
+    each = F.transform(leaf, lambda node, k: F.struct(k.alias("class"), node.alias("node"), F.get("slopes", k)["g"].alias("g"), F.get("slopes", k)["h"].alias("h")))
+    # nodes of this level only: others have ended
+    live = rows.select("bins", F.explode(F.filter(each, lambda x: x["node"] >= 2**level - 1)).alias("x")).select("bins", "x.*")
+    return live.select("class", "node", "g", "h", F.posexplode("bins").alias("feature", "bin")).groupBy("class", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+
 def _grow(rows: DataFrame, classes: int, depth: int, ridge: float, least: float, step: float) -> list[dict]:
     """A tree for each class, level by level."""
     size = 2 ** (depth + 1) - 1
     grown = [{"feature": [-1] * size, "bin": [0] * size, "value": [0.0] * size} for _ in range(classes)]
     for level in range(depth):
-        first = 2**level - 1
-        leaf = F.transform(_trees(grown), lambda t: _leaf(t, F.col("bins"), level))
-        each = F.transform(leaf, lambda node, k: F.struct(k.alias("class"), node.alias("node"), F.get("slopes", k)["col1"].alias("g"), F.get("slopes", k)["col2"].alias("h")))
-        # nodes of this level only: others have ended
-        live = rows.select("bins", F.explode(F.filter(each, lambda x: x["node"] >= first)).alias("x")).select("bins", "x.*")
-        cells = live.select("class", "node", "g", "h", F.posexplode("bins").alias("feature", "bin")).groupBy("class", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        cells = histogram(rows, grown, level)
         within = Window.partitionBy("class", "node", "feature")
         upto = within.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = cells.withColumns({"gl": F.sum("g").over(upto), "hl": F.sum("h").over(upto), "ga": F.sum("g").over(within), "ha": F.sum("h").over(within)})

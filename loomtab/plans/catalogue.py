@@ -705,6 +705,41 @@ def denoised_categories(spark, d):
     return rows.select("l_orderkey", "l_linenumber", *[F.round(F.get(z, F.lit(i)), 6).alias(f"z{i}") for i in range(4)])
 
 
+_FLAGS = """flags as (select case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as y,
+  (l_quantity >= 10)::int + (l_quantity >= 20)::int + (l_quantity >= 30)::int + (l_quantity >= 40)::int as quantity, (l_discount >= 0.03)::int + (l_discount >= 0.06)::int as discount from lineitem)"""
+
+
+@query(
+    f"""with {_FLAGS}, total as (select count(*)::double as n from flags), prior as (select k, count(*) filter (y = k) / max(t.n) as p from flags, (select unnest([0, 1, 2]) as k), total t group by k),
+  cells as (select p.k, p.p, 0 as feature, quantity as bin, y from flags, prior p union all select p.k, p.p, 1, discount, y from flags, prior p)
+  select k as class, feature, bin, round(sum(p - (y = k)::int), 5) as g, round(sum(p * (1 - p)), 5) as h from cells group by k, feature, bin"""
+)
+def boosting_histogram(spark, d):
+    import math
+
+    from ..operators import boosting
+
+    at_least = lambda c, edges: sum(((F.col(c) >= e).cast("int") for e in edges), F.lit(0))
+    y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    bins = F.array(at_least("l_quantity", (10, 20, 30, 40)), at_least("l_discount", (0.03, 0.06)))
+    rows = table(spark, d, "lineitem").select(y.alias("y"), bins.alias("bins")).groupBy("y", "bins").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    prior = [math.log(sizes[k] / sum(sizes.values())) for k in range(3)]
+    root = [{"feature": [-1], "bin": [0], "value": [0.0]}] * 3
+    cells = boosting.histogram(boosting.with_slopes(rows.withColumn("scores", F.array(*map(F.lit, prior)))), root, 0)
+    return cells.select("class", "feature", "bin", F.round("g", 5).alias("g"), F.round("h", 5).alias("h"))
+
+
+@query()
+def gbt_three_classes(spark, d):
+    from ..operators.labels import fit_labels
+
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount", F.year("l_shipdate").cast("double").alias("year"))
+    coded = fit_labels(rows, "l_returnflag").encode(rows)
+    fitted = models.make_model("gbt", "classification", 3, trees=2, depth=3)(coded, ["l_quantity", "l_discount", "year"], "l_returnflag")
+    return _values(spark, models.measure(fitted(coded), "l_returnflag", ["accuracy", "log_loss", "roc_auc"], 3))
+
+
 # ---- models: rows only --------------------------------------------------------------------------------------
 
 
