@@ -345,7 +345,14 @@ def temporal_check(spark, d):
     return splits.temporal_summary(splits.time_split(ids, "t", 4), ids, "t")
 
 
-@query()
+@query(
+    """with recursive g as (select o_custkey::varchar as g, count(*) as n, row_number() over (order by count(*) desc, o_custkey::varchar) as i from orders group by 1),
+  dealt as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as loads union all
+    select g.i, list_transform(loads, lambda x, k: x + case when k = list_position(loads, list_min(loads)) then g.n else 0 end) from dealt join g on g.i = dealt.i + 1),
+  last as (select loads from dealt order by i desc limit 1),
+  v as (select f - 1 as fold, loads[f] as own, list_sum(loads)::bigint as total from last, (select unnest(range(1, 6)) as f) f)
+  select fold::smallint as fold, 'validation' as role, own as n from v union all select fold::smallint, 'train', total - own from v"""
+)
 def group_split(spark, d):
     return splits.fold_counts(splits.group_kfold(_ids(spark, d), "g", 5))
 
