@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -41,11 +42,11 @@ class Boosted:
         """The classes' probabilities of rows with these features."""
         bins = F.array(*[range_of(x, e) for x, e in zip(features, self.edges, strict=True)])
 
-        def score(k: int) -> Column:
+        def score(k: int, bins: Column) -> Column:
             own = F.transform(_trees([trees[k] for trees in self.rounds]), lambda t: _value(t, bins, self.depth))
             return F.aggregate(own, F.lit(self.prior[k]), lambda a, x: a + x)
 
-        return softmax(F.array(*map(score, range(len(self.prior)))))
+        return softmax(_let(bins, lambda b: F.array(*[score(k, b) for k in range(len(self.prior))])))
 
     @property
     def depth(self) -> int:
@@ -72,10 +73,15 @@ def _value(tree: Column, bins: Column, depth: int) -> Column:
     return F.get(tree["value"], _leaf(tree, bins, depth))
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` the value, which is computed once however often it stands there."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of scores."""
-    parts = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.transform(parts, lambda p: p / F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+    parts = lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+    return _let(scores, lambda s: _let(parts(s), lambda p: _let(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(p, lambda x: x / total))))
 
 
 def bin_edges(df: DataFrame, features: list[Column], bins: int) -> list[list[float]]:
