@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomtab.llm import packing as K
+from loomtab.llm.pieces import library_cache
 
 
 def fewest(lengths, capacity):
@@ -83,6 +84,21 @@ def test_clashing_names_and_equal_rows(spark):
         K.pack_pieces(df.withColumn("offset", F.lit(1)))
 
 
+def test_words_are_held_in_lower_case():
+    cache, tokenizer = library_cache(P.path("word_bpe_49k.json"), spaced=False, limit=500), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    cache(["Oak oak OAK oAk \u00c9t\u00c9 \u00e9T\u00e9"])
+    assert list(cache.known) == ["oak", " oak", " \u00e9t\u00e9"]  # were six
+    # capitals that may compose with what follows: lower H and U+0331 do, upper ones don't
+    r = random.Random(5)
+    parts = ["H", "h", "J", "T", "W", "I", "\u0331", "\u030c", "\u0308", "\u030a", "\u0307", "\u00c4", "\u00e4", "\u00de", "\u00d7", "\u00f7", "\u0130", "\u0410", "\u0419", "\u0439", "\u03a3", "\u1e9e", "\u00df", "ab", "AB", "'S", "'s", "1", ".", " ", "\n", "|", "\u0483", "\u212a"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(4000)]
+    for k in range(0, len(texts), 400):
+        ids, at = cache(texts[k : k + 400])
+        for i, t in enumerate(texts[k : k + 400]):
+            assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "word " * 9000), (4, "a b"), (4, "a b"), (None, "x")]
     pieces = K.token_pieces(spark.createDataFrame(rows, "doc_id long, text string"))
