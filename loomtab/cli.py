@@ -125,7 +125,7 @@ def main(argv: list[str] | None = None) -> int:
             trials = [t for rung in rungs for t in rung]
         else:
             best, trials = search(lambda s: score(df, s), SPACES[a.model], metric, a.trials, sampler=a.sampler)
-        print(json.dumps({"best": best.settings, metric: best.score, "importances": importances(trials, metric, SPACES[a.model])}))
+        print(json.dumps({"best": best.settings, metric: best.score, "importances": importances(trials, metric, SPACES[a.model], even=True)}))
     elif a.command == "drift":
         print(json.dumps(session.drift_check(session.load(a.reference), session.load(a.new), a.method), default=lambda o: o.__dict__))
     elif a.command == "leaderboard":

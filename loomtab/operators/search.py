@@ -189,12 +189,15 @@ def successive_halving(objective: Callable[[dict, float], float], space: dict, m
     return _winner(found[-1], metric, 1), found
 
 
-def importances(trials: list[Trial], metric: str = "roc_auc", space: dict | None = None, share: float = 0.25, points: int = 1001) -> dict[str, float]:
+def importances(trials: list[Trial], metric: str = "roc_auc", space: dict | None = None, share: float = 0.25, points: int = 1001, even: bool | None = None) -> dict[str, float]:
     """How much each setting decides whether a trial is among the best ``share``; sums to 1 if any does.
 
-    It is the Pearson divergence between the setting's Parzen densities over the best trials and over all of them.  Without
-    ``space``, a number's range is that of the trials.
+    It is the Pearson divergence between the setting's Parzen densities over the best trials and over all of them, or, if
+    ``even``, an even one.  A search that learns draws most trials near the best, so that these differ little from
+    all in what decides, and by chance in what does not: its trials need ``even``.  Without ``space``, a number's range is
+    that of the trials, numbers of few values (each met four times on average) are choices, and ``even`` is taken unless it is False.
     """
+    even = space is None if even is None else even
     ranked = _best_first(trials, metric)
     if len(ranked) < 2:
         return {}
@@ -204,14 +207,14 @@ def importances(trials: list[Trial], metric: str = "roc_auc", space: dict | None
         values = [t.settings.get(name) for t in ranked]
         what = (space or {}).get(name)
         if what is None:
-            numbers = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
+            numbers = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values) and 4 * len(set(values)) > len(values)
             what = ("float", min(values), max(values)) if numbers else sorted({str(v) for v in values})
         if isinstance(what, list):
-            best, whole = _shares(values[:n], what), _shares(values, what)
+            best, whole = _shares(values[:n], what), _shares([] if even else values, what)
             out[name] = sum((best[str(c)] / whole[str(c)] - 1) ** 2 * whole[str(c)] for c in what)
         else:
             x = (np.arange(points) + 0.5) / points
-            best, whole = (Parzen.of([_unit(float(v), what) for v in part]).density(x) for part in (values[:n], values))
+            best, whole = (Parzen.of([_unit(float(v), what) for v in part]).density(x) for part in (values[:n], [] if even else values))
             out[name] = float(np.mean((best / whole - 1) ** 2 * whole))
     total = sum(out.values())
     return {k: v / total if total else 0.0 for k, v in out.items()}

@@ -64,6 +64,15 @@ def test_samples_are_nested(spark):
     assert ninth.subtract(third).count() == 0 and abs(third.count() - 667) < 100 and S.hash_sample(df, 1.0).count() == 2000
 
 
+def test_an_idle_setting_of_a_learning_search_decides_nothing():
+    """All best trials had one value of ``z`` by chance, which took over half of the importance for most seeds."""
+    space = {"x": ("float", 0, 6), "z": [1, 2]}
+    for seed in range(42, 52):
+        trials = S.search(lambda s: -((s["x"] - 3) ** 2), space, "roc_auc", 40, seed=seed)[1]
+        for got in (S.importances(trials), S.importances(trials, "roc_auc", space, even=True)):
+            assert got["x"] > 0.75 and sum(got.values()) == pytest.approx(1)
+
+
 def test_importance_agrees_with_a_direct_integral():
     r = random.Random(1)
     trials = [S.Trial({"x": (x := r.uniform(-5, 5)), "idle": r.random(), "kind": (k := r.choice("ab"))}, -((x - 2) ** 2) - (k == "a")) for _ in range(300)]
