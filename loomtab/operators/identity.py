@@ -33,13 +33,20 @@ def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Add a SHA-256 of the row's content and its number among equal rows; independent of any order."""
     row = F.struct(*[col(c) for c in df.columns])
     # equal rows are counted, and the counts unfolded again in stretches that are dealt to all tasks
-    kinds = df.select(F.sha2(canonical(df), 256).alias("digest"), row.alias("row")).groupBy("digest").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    kinds = df.select(F.unhex(F.sha2(canonical(df), 256)).alias("digest"), row.alias("row")).groupBy("digest").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n"))
     small = kinds.where(F.col("n") <= COPIES).select("digest", "row", "n", F.lit(0).cast("long").alias("k"))
     large = kinds.where(F.col("n") > COPIES).select("digest", "row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))).alias("k"))
     first = F.col("k") * COPIES
     dealt = small.unionByName(large.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest", "k"))
     each = dealt.select("digest", "row", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)).alias("turn"))
-    return each.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.sha2(F.concat_ws(":", F.col("digest"), F.col("turn").cast("string")), 256).alias(name))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.sha2(F.concat_ws(":", F.lower(F.hex("digest")), F.col("turn").cast("string")), 256).alias(name))
+
+
+def row_id_parts(df: DataFrame, parts: int, name: str = "row_id") -> list[DataFrame]:
+    """``with_row_ids`` in parts by a hash of the rows, equal rows together: each shuffles its own share of them only."""
+    hashed = [col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(F.lit(31), *hashed), F.lit(parts)) if hashed else F.lit(0)
+    return [with_row_ids(df.where(part == i), name) for i in range(parts)]
 
 
 def schema_string(df: DataFrame) -> str:

@@ -11,6 +11,7 @@ import json
 import os
 import shutil
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 from pathlib import Path
@@ -18,12 +19,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import discard, tidy, written
 from ..operators import splits as S
-from ..operators.identity import differing_ranges, digest_leaves, frame_digest, merkle_nodes, schema_string, with_row_ids
+from ..operators.identity import differing_ranges, digest_leaves, frame_digest, merkle_nodes, row_id_parts, schema_string
 from ..operators.profile import Contract, null_counts
+from ..schema import col, free_name
 from ..sources.tables import describe_parquet
 
 
+#: Parts in which rows get their ids, so that no more than one is shuffled at a time.
+PARTS = 4
+
+
 class LakeError(RuntimeError):
     """A product that is broken, or differs from what was committed before."""
 
@@ -36,7 +43,12 @@ class Product:
     manifest: dict
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+        """A table, or columns of a stored one; ``inline`` names an array of which each entry is a row."""
+        ref = self.manifest["tables"].get(name, {})
+        stored = spark.read.parquet(f"{self.path}/{ref.get('path', name)}")
+        if "columns" not in ref:
+            return stored
+        return stored.select(*map(col, ref["columns"]), *([F.inline(col(ref["inline"]))] if "inline" in ref else []))
 
 
 def _digest(value: object) -> str:
@@ -52,19 +64,47 @@ class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, Path(root)
 
-    def commit(self, layer: str, key: dict, tables: dict[str, DataFrame], inputs: list[str] = (), extra: dict | None = None) -> Product:
-        """Write the tables unless a product of this key is there: that one is verified and returned."""
+    def committed(self, layer: str, key: dict) -> Product | None:
+        """The verified product of this key, if there is one."""
+        product_id = f"{layer}-{_digest(key)[:24]}"
+        return self.open(layer, product_id, verify=True) if (self.root / layer / product_id / "manifest.json").exists() else None
+
+    def commit(
+        self,
+        layer: str,
+        key: dict,
+        tables: dict[str, DataFrame | Iterable[DataFrame]],
+        inputs: list[str] = (),
+        extra: dict | None = None,
+        views: Callable[[DataFrame], dict[str, dict]] | None = None,
+    ) -> Product:
+        """Write the tables unless a product of this key is there: that one is verified and returned.
+
+        A table may come in several frames, one written after the other.  ``views`` checks the stored table, if there is
+        only one, and says which tables are read from it: their columns, rows and arrays to ``inline``.
+        """
+        if found := self.committed(layer, key):
+            return found
         product_id = f"{layer}-{_digest(key)[:24]}"
         final = self.root / layer / product_id
-        if (final / "manifest.json").exists():
-            return self.open(layer, product_id, verify=True)
         staging = self.root / layer / f".{product_id}-{uuid.uuid4().hex[:8]}"
         refs = {}
-        for name, df in tables.items():
-            df.write.parquet(str(staging / name))
-            refs[name] = asdict(describe_parquet(self.spark, str(staging / name))) | {"path": name, "schema": schema_string(df)}
+        for name, frames in tables.items():
+            for df in [frames] if isinstance(frames, DataFrame) else frames:
+                df.write.mode("append").parquet(str(staging / name), compression="zstd")
+            stored = self.spark.read.parquet(str(staging / name))
+            refs[name] = asdict(describe_parquet(self.spark, str(staging / name))) | {"path": name, "schema": schema_string(stored)}
             # the leaves of the rows' tree, by which a deep check names the part that has changed
-            digest_leaves(self.spark.read.parquet(str(staging / name))).coalesce(1).write.parquet(str(staging / "trees" / name))
+            digest_leaves(stored).coalesce(1).write.parquet(str(staging / "trees" / name))
+        if views:
+            (name, ref), *_ = refs.items()
+            try:
+                found = views(self.spark.read.parquet(str(staging / name)))
+            except Exception:
+                shutil.rmtree(staging)
+                raise
+            product = Product(layer, product_id, str(staging), {"tables": {n: {"path": name} | v for n, v in found.items()}})
+            refs = {n: ref | {"path": name, "schema": schema_string(product.table(self.spark, n))} | v for n, v in found.items()}
         manifest = {"layer": layer, "product_id": product_id, "key": key, "tables": refs, "inputs": list(inputs), "created_at": datetime.now(timezone.utc).isoformat(), **(extra or {})}
         staging.mkdir(parents=True, exist_ok=True)
         (staging / "manifest.json").write_text(json.dumps(manifest, sort_keys=True, indent=2, default=str))
@@ -90,7 +130,7 @@ class Lake:
 
     def verify(self, product: Product, deep: bool = False) -> None:
         """Every table's files have the size and digest of the manifest; ``deep``: or else which ranges of rows differ is told."""
-        for name, ref in product.manifest["tables"].items():
+        for name, ref in {ref["path"]: ref for ref in product.manifest["tables"].values()}.items():
             try:
                 now = describe_parquet(self.spark, f"{product.path}/{name}")
             except Exception as e:
@@ -103,7 +143,7 @@ class Lake:
 
     def _damage(self, product: Product, name: str) -> str:
         """The first ranges of row digests in which a table differs from its tree, with their rows then and now."""
-        then, now = self.spark.read.parquet(f"{product.path}/trees/{name}"), digest_leaves(product.table(self.spark, name)).cache()
+        then, now = self.spark.read.parquet(f"{product.path}/trees/{name}"), digest_leaves(self.spark.read.parquet(f"{product.path}/{name}")).cache()
         found = differing_ranges(merkle_nodes(then), merkle_nodes(now)).orderBy("prefix").limit(6).collect()
         return ", ".join(f"{r.prefix} ({r.n_left} rows, now {r.n_right})" for r in found[:5]) + ("..." if len(found) > 5 else "")
 
@@ -119,28 +159,54 @@ class Lake:
         return self.commit("silver", {"input": bronze.product_id, "contract": asdict(contract)}, {"data": df, "quality": null_counts(df)}, [bronze.product_id])
 
     def gold(self, silver: Product, target: str, strategy: str | None = None, folds: int = 5, seed: int | None = None, column: str | None = None, gap: int = 0, embargo: int = 0) -> Product:
-        """Features, labels and splits by row id.  Without a strategy: stratified up to 20 labels, else kfold."""
-        rows = with_row_ids(silver.table(self.spark, "data"))
+        """Features, labels and splits by row id.  Without a strategy: stratified up to 20 labels, else kfold.
+
+        A row is stored once, with its id, its label and an array of its memberships; the three tables are read from that.
+        """
+        df = silver.table(self.spark, "data")
         if strategy is None:
-            strategy = "stratified" if rows.select(target).distinct().limit(21).count() <= 20 else "kfold"
+            strategy = "stratified" if df.select(col(target)).distinct().limit(21).count() <= 20 else "kfold"
         key = {"input": silver.product_id, "target": target, "strategy": strategy, "folds": folds, "seed": seed, "column": column, "gap": gap, "embargo": embargo}
+        if strategy not in ("kfold", "stratified", "time", "purged_time", "group"):
+            raise S.SplitError(f"no strategy {strategy}")
         if strategy in ("time", "purged_time", "group") and not column:
             raise S.SplitError(f"{strategy} needs a column")
-        if strategy == "kfold":
-            members = S.kfold(rows, folds, seed)
-        elif strategy == "stratified":
-            members = S.stratified(rows, target, folds, seed)
-        elif strategy == "group":
-            members = S.group_kfold(rows, column, folds)
-        elif strategy in ("time", "purged_time"):
-            members = S.time_split(rows, column, folds, gap, embargo if strategy == "purged_time" else 0)
-        else:
-            raise S.SplitError(f"no strategy {strategy}")
-        S.validate_split(members)
-        if strategy in ("time", "purged_time"):
-            S.validate_time_split(members, rows, column)
-        labels = rows.select("row_id", target)
-        return self.commit("gold", key, {"features": rows.drop(target), "labels": labels, "splits": members}, [silver.product_id], {"strategy": strategy})
+        if found := self.committed("gold", key):
+            return found
+        parts = [written(p, "zstd") for p in row_id_parts(df, PARTS)]
+        try:
+            rows = parts[0]
+            for p in parts[1:]:
+                rows = rows.unionByName(p)
+            name = free_name(rows, "splits")
+            if strategy in ("kfold", "stratified"):
+                own, add = free_name(rows, "_own"), S.fold_bounds(rows, folds, target if strategy == "stratified" else None, seed)
+                with_splits = lambda p: add(p, own).withColumn(name, S.listed(F.col(own), folds)).drop(own)
+            else:
+                members = S.group_kfold(rows, column, folds) if strategy == "group" else S.time_split(rows, column, folds, gap, embargo if strategy == "purged_time" else 0)
+                members = written(members, "zstd")
+                parts.append(members)
+                if strategy != "group":
+                    S.validate_time_split(members, rows, column)
+                # rows that are in no fold, as a gap leaves them, have an empty array
+                each = members.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("fold", "role", "repeat"))).alias(name))
+                none = F.array().cast("array<struct<fold: smallint, role: string, repeat: smallint>>")
+                with_splits = lambda p: p.join(each, "row_id", "left").withColumn(name, F.coalesce(name, none))
+
+            def dealt() -> Iterator[DataFrame]:
+                for p in parts[:PARTS]:
+                    yield with_splits(p)
+                    discard(p)
+
+            def views(stored: DataFrame) -> dict[str, dict]:
+                n, m = S.validate_listed(stored, name)
+                plain = [c for c in stored.columns if c not in (target, name)]
+                return {"features": {"columns": plain, "row_count": n}, "labels": {"columns": ["row_id", target], "row_count": n}, "splits": {"columns": ["row_id"], "inline": name, "row_count": m}}
+
+            return self.commit("gold", key, {"rows": dealt()}, [silver.product_id], {"strategy": strategy}, views)
+        finally:
+            for p in parts:
+                discard(p)
 
     def platinum(self, gold: Product, metrics: dict) -> Product:
         table = self.spark.createDataFrame([(k, float(v)) for k, v in sorted(metrics.items())], "metric string, value double")
@@ -259,13 +325,19 @@ def medallion_run(spark: SparkSession, root: str, df: DataFrame, target: str, ta
     from ..schema import numeric_columns
 
     lake = Lake(spark, root)
-    bronze = lake.bronze(df, {"target": target})
-    silver = lake.silver(bronze, contract or Contract())
-    gold = lake.gold(silver, target, **split)
-    rows = gold.table(spark, "features").join(gold.table(spark, "labels"), "row_id")
-    prepared = fit_prep(rows.drop("row_id"), target).transform(rows)
-    features = [c for c in numeric_columns(prepared) if c != target]
-    metric = "r2" if task == "regression" else "roc_auc"
-    scores = cross_validate(prepared, features, target, make_model("linear", task), [metric], membership=gold.table(spark, "splits"))
-    platinum = lake.platinum(gold, {metric: round(scores[metric][0], 6)})
+    with tidy(spark):
+        bronze = lake.bronze(df, {"target": target})
+        silver = lake.silver(bronze, contract or Contract())
+        gold = lake.gold(silver, target, **split)
+        name = gold.manifest["tables"]["splits"].get("inline")
+        if name:
+            rows, members = gold.table(spark, "rows"), name
+        else:  # a product of three stored tables
+            rows, members = gold.table(spark, "features").join(gold.table(spark, "labels"), "row_id"), gold.table(spark, "splits")
+        prepared = fit_prep(rows.drop("row_id", name or ""), target).transform(rows)
+        features = [c for c in numeric_columns(prepared) if c != target]
+        metric = "r2" if task == "regression" else "roc_auc"
+        # one fold after the other: each holds its training rows in memory, or else on disk
+        scores = cross_validate(prepared, features, target, make_model("linear", task), [metric], membership=members, workers=1)
+        platinum = lake.platinum(gold, {metric: round(scores[metric][0], 6)})
     return {"bronze": bronze.product_id, "silver": silver.product_id, "gold": gold.product_id, "platinum": platinum.product_id, metric: scores[metric][0]}
