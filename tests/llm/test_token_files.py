@@ -117,7 +117,7 @@ def test_literal_ids_are_entropy_coded():
 
 
 def test_both_votes_are_mixed():
-    """Order 1's offers come true after one id and fail after another, though both ids are known alike: order 0 tells."""
+    """The vote on order 1's id has weights of its own at the head, and they are fitted to the block."""
     r = np.random.default_rng(5)
     pairs = np.where(r.random(2000) < 0.5, 7, r.integers(100, 900, 2000))
     block = np.stack([r.integers(0, 3, 2000), pairs], 1).ravel().astype(np.uint32)
